@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .arrays import SPACED, blocks, buffers, byte_table, gram_hashes, gram_rows, word_hashes, word_spans
 
@@ -147,9 +148,7 @@ def measure(docs: DataFrame, rules: Rules = Rules(), clean: bool = False) -> Dat
     names = docs.columns if clean else ["doc_id", "text"]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     at = names.index("text")
-    schema = docs.schema if clean else docs.select("doc_id").schema
-    for name in _COUNTS:
-        schema = schema.add(name, "long")
+    schema = StructType([f for f in docs.schema.fields if clean or f.name != "text"] + [StructField(name, LongType()) for name in _COUNTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

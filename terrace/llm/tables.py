@@ -50,18 +50,20 @@ def bitmap(keys: DataFrame, slots: Column) -> DataFrame:
     return at.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is among keys: first by a bitmap of bounded size, so that few rows are shuffled, then exactly."""
-    keys = keys.select(key).distinct()
-    bits = bitmap(keys, slot(F.col(key)))
+def bitmap_filter(df: DataFrame, keys: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """The rows of df whose key may be among keys, by a bitmap of bounded size; or with ``inside=False`` all others.
+
+    Null keys are among the others.
+    """
+    bits = bitmap(keys.select(key).distinct(), slot(F.col(key))).withColumnsRenamed({"bucket": "__bucket", "bits": "__bits"})
     at = slot(F.col(key)) + 1
     place = F.bitmap_bit_position(at)
     byte = F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))
-    on = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (place % 8).cast("int")) == 1
-    near = df.join(F.broadcast(bits.withColumnsRenamed({"bucket": "__bucket", "bits": "__bits"})), F.bitmap_bucket_number(at) == F.col("__bucket")).filter(on)
-    return near.drop("__bucket", "__bits").join(keys, key, "left_semi")
+    on = F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (place % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    joined = df.join(F.broadcast(bits), F.bitmap_bucket_number(at) == F.col("__bucket"), "left")
+    return joined.filter(on if inside else ~on).drop("__bucket", "__bits")
 
 
-def ones(df: DataFrame, schema: str) -> DataFrame:
-    """An empty table of the given schema."""
-    return session(df).createDataFrame([], schema)
+def keep_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among keys: first by a bitmap of bounded size, so that few rows are shuffled, then exactly."""
+    return bitmap_filter(df, keys, key).join(keys.select(key).distinct(), key, "left_semi")

@@ -23,9 +23,9 @@ BLOCKED_HOSTS = (
     "xxx-adult", "porn-free", "sex-cams", "live-sex", "ads-track", "ad-tracker", "track-clicks", "click-ads", "popup-ads", "free-prizes", "loan-fast", "payday-loan",
 )
 ALLOWED_HOSTS = (
-    "thering", "tionsh", "ththan", "tionble", "therly", "anders", "wetter", "nachricht", "lecture", "library", "garden", "history", "museum", "science", "weather", "kitchen",
-    "journal", "reading", "travel", "research", "maison", "musique", "historia", "ciencia", "theater", "stories", "farmer", "adults-education", "winter-sport", "trackfield", "news-daily", "open-data",
-    "local-history", "bookshop", "railway", "mountain",
+    "thering", "tionsh", "ththan", "tionble", "therly", "wetter-heute", "nachrichten", "lecture-notes", "city-library", "winter-garden", "casa-rural", "farm-museum", "data-science", "weather", "shop-local", "maison-bleue",
+    "daily-news", "reading-club", "travel-guide", "research", "musique", "historia", "ciencia", "free-software", "online-learning", "sport-results", "adult-education", "track-and-field", "open-data", "best-recipes",
+    "link-archive", "bookshop", "railway-history", "mountain-club", "health-care", "win-win-school",
 )
 _PREFIXES = ("", "www.", "m.", "blog.")
 _ENDINGS = ("example.com", "example.net", "example.org")
