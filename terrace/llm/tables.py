@@ -40,6 +40,17 @@ def known_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def on_path(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it."""
+    import os
+
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    own = spark.sparkContext.environment
+    if top not in own.get("PYTHONPATH", "").split(os.pathsep):
+        own["PYTHONPATH"] = os.pathsep.join(filter(None, [top, own.get("PYTHONPATH", "")]))
+    return spark
+
+
 def slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SLOTS))
 
