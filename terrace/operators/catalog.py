@@ -33,12 +33,13 @@ def filter_datasets(
 
 def relevance(query: str, name: Column, tags: Column, description: Column) -> Column:
     """For each term of the query: 3 for the name, 2 for a tag, 1 for the description."""
-    out = F.lit(0)
-    for term in query.lower().split():
-        tag = F.coalesce(F.exists(tags, lambda t, term=term: F.lower(t).contains(term)), F.lit(False))
-        hit = lambda c, term=term: F.coalesce(F.lower(c).contains(term), F.lit(False)).cast("int")
-        out = out + 3 * hit(name) + 2 * tag.cast("int") + hit(description)
-    return out
+
+    def of(term: str) -> Column:
+        tag = F.coalesce(F.exists(tags, lambda t: F.lower(t).contains(term)), F.lit(False)).cast("int")
+        hit = lambda c: F.coalesce(F.lower(c).contains(term), F.lit(False)).cast("int")
+        return 3 * hit(name) + 2 * tag + hit(description)
+
+    return sum((of(term) for term in query.lower().split()), F.lit(0))
 
 
 def search(catalog: DataFrame, query: str, limit: int = 20) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +20,9 @@ def find_duplicates(table: DataFrame, dims: Sequence[str]) -> DataFrame:
     counts = table.groupBy(*dims).agg(F.count(F.lit(1)).alias("_n"))
     order = Window.orderBy(F.desc("_n"), *[F.col(d).asc_nulls_first() for d in dims])
     groups = counts.filter("_n > 1").withColumn("duplicate_group", F.row_number().over(order)).drop("_n")
-    same = [table[d].eqNullSafe(groups[d]) for d in dims]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    joined = table.join(groups, on, "left").select(*[table[c] for c in table.columns], "duplicate_group")
+    groups = groups.withColumnsRenamed({d: f"_key{i}" for i, d in enumerate(dims)})
+    on = reduce(lambda x, y: x & y, [F.col(d).eqNullSafe(F.col(f"_key{i}")) for i, d in enumerate(dims)])
+    joined = table.join(groups, on, "left").select(*table.columns, "duplicate_group")
     return joined.withColumn("is_potential_duplicate", F.col("duplicate_group").isNotNull()).withColumn("duplicate_group", F.coalesce("duplicate_group", F.lit(0)))
 
 
