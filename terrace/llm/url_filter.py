@@ -62,10 +62,10 @@ def grams(host: Column, path: Column) -> Column:
     route = F.concat(F.lit("^"), F.regexp_replace(path, "[0-9]+", "0"), F.lit("$"))
 
     def of(text: Column, kind: int) -> Column:
-        parts = [
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i, n=n: F.pmod(F.xxhash64(F.lit(kind), F.substring(text, i, F.lit(n))), F.lit(FEATURES)).cast("int"))
-            for n in GRAMS
-        ]
+        def starting(n: int):
+            return lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(text, i, F.lit(n))), F.lit(FEATURES)).cast("int")
+
+        parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), starting(n)) for n in GRAMS]
         return F.flatten(F.array(*parts))
 
     return F.array_distinct(F.concat(of(name, 1), of(route, 2)))
