@@ -1,14 +1,15 @@
 """Near-duplicate documents by SetSketch registers, banding, joint estimates and an exact check.
 
-A document is its set of 5-word shingles. Its sketch has 64 registers: each keeps the least of exponentially spaced
+A document is its set of 5-word shingles. Its sketch has 256 registers: each keeps the least of exponentially spaced
 draws of the shingles, on a logarithmic scale of base 1.001. Sketches of unions are register-wise maxima, and equal
 registers are about as frequent as shared shingles. Documents that agree on a band of registers are candidates;
 similarity is estimated by maximum likelihood from the registers and the set sizes, and what may reach the threshold
 is confirmed on the full sets.
 
 No bucket is expanded into all its pairs beyond ``SMALL_BUCKET`` members. In larger buckets every member is compared
-with the most central one, and then only those that are still apart from the bucket's main component, after two exact
-bounds from the number of shingles that a document shares with no other document of any large bucket.
+with the most central one. Those still apart from the bucket's main component are then compared with the others by
+their registers, part by part, after an exact bound from the shingles that a document has alone among all documents of
+large buckets; only pairs that may be links are built.
 """
 
 from __future__ import annotations
@@ -25,15 +26,18 @@ from .components import connected
 from .tables import keep_keys, stage
 
 _U = np.uint64
-REGISTERS = 64
+REGISTERS = 256
 BAND = 3
-BANDS = REGISTERS // BAND
+#: The first BANDS * BAND registers are banded; all of them serve estimates.
+BANDS = 21
 BASE = 1.001
 SHINGLE = 5
 #: Buckets up to this size are compared pair by pair.
 SMALL_BUCKET = 24
-#: Pairs estimated this far below the threshold are dropped: over five standard errors of 64 registers.
-MARGIN = 0.25
+#: Pairs estimated this far below the threshold are dropped: over five standard errors of 256 registers.
+MARGIN = 0.115
+#: Members of a large bucket that one task compares with as many others at a time.
+PART = 256
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -57,9 +61,9 @@ def shingle_sets(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def registers(keys: np.ndarray, rows: int) -> np.ndarray:
-    """(rows, 64) registers as uint16; rows without shingles have none and get zeros.
+    """(rows, 256) registers as uint16; rows without shingles have none and get zeros.
 
-    A shingle's draws ascend: draw t lies in the t-th of 64 equally probable slices of the exponential distribution
+    A shingle's draws ascend: draw t lies in the t-th of 256 equally probable slices of the exponential distribution
     and goes to a register of its own, so a row is done once all registers hold a value.
     """
     least = np.full(rows * REGISTERS, _NONE)
@@ -68,9 +72,9 @@ def registers(keys: np.ndarray, rows: int) -> np.ndarray:
     for t in range(REGISTERS):
         if not len(row):
             break
-        register = ((seed + _U(t) * ((seed >> _U(6)) | _U(1))) & _U(REGISTERS - 1)).astype(np.int64)
-        draw = mix(seed + _U((t + 1) * int(_GOLD) & (1 << 64) - 1)) >> _U(6)
-        np.minimum.at(least, row * REGISTERS + register, draw | (_U(t) << _U(58)))
+        register = ((seed + _U(t) * ((seed >> _U(8)) | _U(1))) & _U(REGISTERS - 1)).astype(np.int64)
+        draw = mix(seed + _U((t + 1) * int(_GOLD) & (1 << 64) - 1)) >> _U(8)
+        np.minimum.at(least, row * REGISTERS + register, draw | (_U(t) << _U(56)))
         if t < REGISTERS - 1:
             open_row = (least.reshape(rows, REGISTERS) == _NONE).any(axis=1)
             more = open_row[row]
@@ -118,33 +122,74 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, regs binary, bands array<long>")
 
 
-def estimate(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity, estimated jointly, is ``least`` or more; regs_a, regs_b, n_a, n_b are taken off.
+def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of each row of registers a with that of b, by maximum likelihood; na, nb: set sizes.
 
-    With set sizes known, the counts of registers that are larger, smaller and equal are multinomial in the Jaccard
+    With set sizes known, the counts of registers that are larger, smaller and equal are multinomial in the
     similarity j; the likelihood is compared over a grid of j.
     """
-    grid = np.linspace(0.0, 1.0, 101)
+    up, down = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
+    u, v = (na / (na + nb))[:, None], (nb / (na + nb))[:, None]
+    share = lambda x: np.clip(-np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE), 1e-9, 1)
+    j = np.minimum(np.linspace(0.0, 1.0, 101)[None, :], np.minimum(na / nb, nb / na)[:, None])
+    p_up, p_down = share(u - v * j), share(v - u * j)
+    likely = up * np.log(p_up) + down * np.log(p_down) + (REGISTERS - up - down) * np.log(np.clip(1 - p_up - p_down, 1e-9, 1))
+    return j[np.arange(len(j)), likely.argmax(axis=1)]
+
+
+def _registers_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def estimate(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, similar): the pairs whose estimated similarity is ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
             na, nb = (batch[c].to_numpy().astype(float) for c in ("n_a", "n_b"))
-            up, down = (a > b).sum(axis=1), (a < b).sum(axis=1)
-            u, v = (na / (na + nb))[:, None], (nb / (na + nb))[:, None]
-            share = lambda x: np.clip(-np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE), 1e-9, 1)
-            j = np.minimum(grid[None, :], np.minimum(na / nb, nb / na)[:, None])
-            p_up, p_down = share(u - v * j), share(v - u * j)
-            likely = up[:, None] * np.log(p_up) + down[:, None] * np.log(p_down) + (REGISTERS - up - down)[:, None] * np.log(np.clip(1 - p_up - p_down, 1e-9, 1))
-            best = j[np.arange(len(j)), likely.argmax(axis=1)]
+            best = similarity(_registers_of(batch["regs_a"]), _registers_of(batch["regs_b"]), na, nb)
             keep = pa.array(best >= least)
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep), pa.array(best[best >= least])], names=["a", "b", "similar"])
 
     return pairs.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(run, "a long, b long, similar double")
 
 
+def compare_parts(parts: DataFrame, percent: int, least: float) -> DataFrame:
+    """(a, b): from rows (band, xs, ys) of bucket parts, the pairs of different components that may reach the threshold.
+
+    Set sizes and own shingles must allow a link and the estimate must be ``least`` or more. A pair that shares
+    several bands comes from the first of them alone. Parts are bounded, and no pair is built that fails.
+    """
+
+    def unpack(items: pa.StructArray) -> list[np.ndarray]:
+        return [*(items.field(k).to_numpy() for k in range(4)), _registers_of(items.field(4))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [], []
+            for band, xs, ys in zip(batch["band"].to_pylist(), batch["xs"], batch["ys"]):
+                (idx, cx, nx, ox, rx), (idy, cy, ny, oy, ry) = unpack(xs.values), unpack(ys.values)
+                top = np.minimum((nx - ox)[:, None], (ny - oy)[None, :])
+                may = (cx[:, None] != cy[None, :]) & (100 * top >= percent * (nx[:, None] + ny[None, :] - top))
+                for i in range(len(idx)):
+                    k = np.flatnonzero(may[i])
+                    k = k[(ry[k] == rx[i]).sum(axis=1) >= (least - 0.02) * REGISTERS]
+                    if not len(k):
+                        continue
+                    shared = (ry[k, : BAND * BANDS].reshape(-1, BANDS, BAND) == rx[i, : BAND * BANDS].reshape(BANDS, BAND)).all(axis=2)
+                    k = k[bands(rx[i : i + 1]).view(np.int64)[0][shared.argmax(axis=1)] == band]
+                    if len(k):
+                        k = k[similarity(np.broadcast_to(rx[i], (len(k), REGISTERS)), ry[k], np.full(len(k), float(nx[i])), ny[k].astype(float)) >= least]
+                        out_a.append(np.minimum(idx[i], idy[k]))
+                        out_b.append(np.maximum(idx[i], idy[k]))
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+
+    return parts.select("band", "xs", "ys").mapInArrow(run, "a long, b long")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
     pairs = stage(pairs.select("a", "b"))
@@ -250,11 +295,13 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     of = large.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     counted = of.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
     main = counted.groupBy("band").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    outside = of.join(main, "band").filter("component <> main").select("band", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
-    inside = of.select("band", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("n_b"), F.col("own").alias("own_b"))
-    late = outside.join(inside, (outside["band"] == inside["band"]) & (F.col("cx") != F.col("cy")) & _may_link(percent))
-    late = late.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    late = estimate(_with(late, info, "n", "regs"), least).select("a", "b")
+    of = of.join(info.select("doc_id", "regs"), "doc_id").join(main, "band")
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        at = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / PART))
+        return rows.groupBy("band", at.alias(f"part_{name}")).agg(F.collect_list(F.struct("doc_id", "component", "n", "own", "regs")).alias(name))
+
+    late = compare_parts(parts(of.filter("component <> main"), "xs").join(parts(of, "ys"), "band"), percent, least)
     second = confirm(rest.union(late).distinct(), docs, percent)
     return first.union(second)
 
@@ -267,6 +314,9 @@ def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs with one document of each near-duplicate component, that of the least id; the columns stay as they are."""
-    kept = near_components(docs, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one document of each near-duplicate component, that of the least id; the columns stay as they are.
+
+    Documents without an id and texts without words stay; of rows with equal ids all stay or go together.
+    """
+    lost = near_components(docs, percent).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
