@@ -69,15 +69,13 @@ def nested_json(log: DataFrame) -> DataFrame:
 def save(table: DataFrame, folder: str, node: str, parent: str | None, level: int, action: str, decision: str = "", options: Mapping[str, object] | None = None) -> DataFrame:
     """Writes a level's table as Parquet below ``folder`` and appends its row to the log; gives that row.
 
-    The row count is observed while the table is written, so that it costs no job of its own.
+    The rows are counted from what was written, so the table itself is computed once.
     """
-    from pyspark.sql import Observation
-
-    seen = Observation()
     path = f"{folder}/artifacts/{node}"
-    table.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    table.write.mode("overwrite").parquet(path)
+    rows = table.sparkSession.read.schema(table.schema).parquet(path).count()  # from the files' footers
     text = decision or json.dumps(options or {}, sort_keys=True)
-    row = table.sparkSession.createDataFrame([(node, parent, level, action, text, int(seen.get["n"]), list(table.columns), path)], "id string, parent_id string, level int, action string, decision string, row_count long, columns array<string>, path string")
+    row = table.sparkSession.createDataFrame([(node, parent, level, action, text, rows, list(table.columns), path)], "id string, parent_id string, level int, action string, decision string, row_count long, columns array<string>, path string")
     row = row.withColumn("created_at", F.current_timestamp())
     row.write.mode("append").parquet(f"{folder}/log")
     return row

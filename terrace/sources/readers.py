@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
-ENCODINGS = ("utf-8", "cp1252", "iso-8859-1")
+#: Spark reads these; ISO-8859-1 takes every byte, and letters of Windows texts are the same in it.
+ENCODINGS = ("utf-8", "iso-8859-1")
 SEPARATORS = (";", ",", "\t", "|")
 
 
@@ -54,8 +55,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, **option
 def read_sniffed(spark: SparkSession, path: str, bad_lines: str = "drop", schema: str | None = None) -> DataFrame:
     """A delimited file of unknown encoding and separator. bad_lines: ``drop``, ``keep`` (cut or filled) or ``count`` (in ``_bad``)."""
     encoding, sep = sniff(spark, path)
-    spark_name = {"utf-8": "UTF-8", "cp1252": "windows-1252", "iso-8859-1": "ISO-8859-1"}[encoding]
-    options = {"header": True, "sep": sep, "encoding": spark_name, "mode": "DROPMALFORMED" if bad_lines == "drop" else "PERMISSIVE"}
+    options = {"header": True, "sep": sep, "encoding": encoding, "mode": "DROPMALFORMED" if bad_lines == "drop" else "PERMISSIVE"}
     if bad_lines == "count":
         columns = spark.read.options(**options).csv(path).limit(0).columns
         typed = ", ".join(f"`{c}` string" for c in columns) + ", `_bad` string"
