@@ -149,7 +149,7 @@ def test_dimensions(spark):
 def test_text_functions(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first().x
-    assert value(T.friendly_name(F.lit("fr-en-college-effectifs-niveau-sexe-lv.csv"))) == "College Effectifs Niveau"
+    assert value(T.friendly_name(F.lit("fr-en-lycee-resultats-niveau-gt.csv"))) == "Lycee Resultats Niveau"
     assert value(T.friendly_name(F.lit("data_253ecdc0.csv"))) == "253ecdc0"
     assert value(T.friendly_name(F.lit("ab.csv"))) == "Data"
     assert value(T.property_name(F.lit("9 lives -- x!"))) == "col_9_lives_x" and value(T.property_name(F.lit("--"))) == "unknown"
