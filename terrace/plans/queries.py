@@ -405,7 +405,7 @@ def numeric_key_join(spark, d):
     return joins.key_join(read(spark, d, "nation"), read(spark, d, "region"), "n_regionkey", "r_regionkey", "inner", numeric_keys=True).select("n_nationkey", "r_name")
 
 
-@query("SELECT n_nationkey, s_suppkey, score FROM nation JOIN (SELECT s_suppkey, s_nationkey, 0.9 AS score FROM supplier) ON n_nationkey = s_nationkey")
+@query("SELECT n_nationkey, s_suppkey, score FROM nation JOIN (SELECT s_suppkey, s_nationkey, CAST(0.9 AS DOUBLE) AS score FROM supplier) ON n_nationkey = s_nationkey")
 def match_table_join(spark, d):
     n, s = read(spark, d, "nation"), read(spark, d, "supplier")
     table = n.select(F.col("n_nationkey").cast("string").alias("value1"), F.col("n_nationkey").cast("string").alias("value2"), F.lit(0.9).alias("score"))
@@ -636,7 +636,7 @@ def completeness(spark, d):
 
 @query("""
 WITH p AS (SELECT unnest([3.0 / 5, 1.0 / 5, 1.0 / 5]) AS p), s AS (SELECT count(*) AS n FROM lineitem)
-SELECT 100.0 AS completeness, round(100 * sum(-p * log2(p)) / log2(3), 6) AS diversity, round((SELECT CASE WHEN n < 50 THEN n / 50 * 50 WHEN n <= 10000 THEN 100 ELSE 100 - least(50, (n - 10000) / 2000) END FROM s), 6) AS size_score,
+SELECT CAST(100.0 AS DOUBLE) AS completeness, round(100 * sum(-p * log2(p)) / log2(3), 6) AS diversity, round((SELECT CASE WHEN n < 50 THEN n / 50 * 50 WHEN n <= 10000 THEN 100 ELSE 100 - least(50, (n - 10000) / 2000) END FROM s), 6) AS size_score,
  round(0.3 * 100 + 0.2 * 100 * sum(-p * log2(p)) / log2(3) + 0.1 * (SELECT CASE WHEN n < 50 THEN n / 50 * 50 WHEN n <= 10000 THEN 100 ELSE 100 - least(50, (n - 10000) / 2000) END FROM s), 6) AS usability FROM p""")
 def usability_scores(spark, d):
     out = quality.scores(read(spark, d, "lineitem").select(*_PROFILED))
