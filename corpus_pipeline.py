@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents share stay in one of them; documents left without a word go."""
     on_path(spark)
-    return _as_documents(line_dedup.dedup_lines(docs), docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return _as_documents(line_dedup.clean_lines(docs), docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

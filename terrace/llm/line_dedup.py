@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stage
+from .tables import aside
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _LINES = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
@@ -70,6 +70,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     return _rebuilt(docs, drop_lists(docs, min_docs, min_chars), min_chars)
 
 
+def clean_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
+    """docs with ``text`` cleaned as by ``dedup_lines``; the columns stay as they are, whatever their names."""
+    own, back = aside(docs, ("n_lines", "n_dropped", "__drop"))
+    return dedup_lines(own, min_docs, min_chars).select(*own.columns).withColumnsRenamed(back)
+
+
 def _rebuilt(docs: DataFrame, drops: DataFrame, min_chars: int) -> DataFrame:
     joined = docs.join(drops.withColumnRenamed("drop", "__drop"), "doc_id", "left")
     at = joined.columns.index("text")

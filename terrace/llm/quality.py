@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .arrays import SPACED, blocks, buffers, byte_table, gram_hashes, gram_rows, word_hashes, word_spans
+from .tables import aside
 
 _U = np.uint64
 _LINE = byte_table("0A")
@@ -179,5 +180,6 @@ def measure(docs: DataFrame, rules: Rules = Rules(), clean: bool = False) -> Dat
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that the rules keep, without their failing lines; the columns stay as they are."""
-    return measure(docs, rules, clean=True).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the rules keep, without their failing lines; the columns stay as they are, whatever their names."""
+    own, back = aside(docs, (*_COUNTS, "base_failed", "kept"))
+    return measure(own, rules, clean=True).filter("kept").select(*own.columns).withColumnsRenamed(back)

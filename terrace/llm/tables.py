@@ -51,6 +51,12 @@ def on_path(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of these names (in any case) renamed, and the way back: an operator's own columns don't meet them."""
+    back = {f"__own_{i}": c for i, c in enumerate(df.columns) if c.lower() in {n.lower() for n in names}}
+    return df.withColumnsRenamed({c: k for k, c in back.items()}), back
+
+
 def slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SLOTS))
 

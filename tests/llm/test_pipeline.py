@@ -6,6 +6,7 @@ from .test_near_dedup import brute as near
 from .test_packing import check_whole
 
 import corpus_pipeline
+from terrace.llm import decontaminate
 from terrace.llm.tables import stage
 
 SENTENCES = ["The quiet river runs past the old mill and into the wide green valley below.", "Nobody knew who had left the lamp burning through the night.", "A long road led them to the sea, where the boats lay waiting."]
@@ -48,3 +49,15 @@ def test_every_stage_against_brute_force(spark, tmp_path):
             check_whole(rows, dict(before), 2048)
     assert [r.n_chars == len(r.text) for r in got["lines"]]
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in got["packing"])
+
+
+def test_clashing_columns_stay(spark):
+    names = "n_words n_lines n_dropped kept base_failed n_lost_words drop key hits n band size row h pos spans".split()
+    docs, items = corpus()
+    df = spark.createDataFrame([(d[0], d[1], *names) for d in docs[:20]], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    steps = (lambda x: corpus_pipeline.quality_rules(spark, x, ""), lambda x: corpus_pipeline.shared_lines(spark, x, ""), lambda x: corpus_pipeline.near_duplicates(spark, x, ""), lambda x: decontaminate.decontaminate(x, bench))
+    for step in steps:
+        df = stage(step(df))
+        assert df.columns == ["doc_id", "text", *names]
+        assert df.count() > 10 and all(list(r)[2:] == names for r in df.collect())
