@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import aside
+from .tables import aside, stage
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _LINES = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
@@ -52,7 +52,7 @@ def drop_lists(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataF
     """(doc_id, drop): the keys that a document loses, for documents that lose any."""
     keys = line_keys(docs, min_chars)
     shared = keys.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
-    shared = shared.filter(F.col("n") >= min_docs).select("key", "keeper")
+    shared = stage(shared.filter(F.col("n") >= min_docs).select("key", "keeper"))  # a plain side, so that Spark can split a hot key
     lost = keys.join(shared, "key").filter("doc_id <> keeper")
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
