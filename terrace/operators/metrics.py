@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import running
+
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": F.median}
 
 
@@ -186,16 +188,15 @@ def roc(table: DataFrame, label: str, score: str) -> DataFrame:
     """(score, tpr, fpr): one row for each distinct score, from the highest."""
     counts = table.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
     total = counts.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    down = Window.orderBy(F.desc("score"))
-    run = counts.withColumns({"cp": F.sum("p").over(down), "cn": F.sum("n").over(down)}).join(F.broadcast(total))
+    run = running(counts, -F.col("score"), cp=F.col("p"), cn=F.col("n")).join(F.broadcast(total))
     return run.select("score", (F.col("cp") / F.col("tp")).alias("tpr"), (F.col("cn") / F.col("tn")).alias("fpr"))
 
 
 def auc(table: DataFrame, label: str, score: str) -> DataFrame:
     """One row: the area under the curve, by mean ranks of the positives (equal scores share a rank)."""
     counts = table.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1 - F.col(label).cast("double")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return counts.withColumn("wins", F.col("p") * (below + F.col("n") / 2)).agg((F.sum("wins") / (F.sum("p") * F.sum("n"))).alias("auc"))
+    upto = running(counts, F.col("score"), upto=F.col("n"))
+    return upto.withColumn("wins", F.col("p") * (F.col("upto") - F.col("n") / 2)).agg((F.sum("wins") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
 def complexity_order(table: DataFrame, groups: str | None = None) -> DataFrame:

@@ -7,9 +7,36 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from .joins import small
 
+#: Up to so many rows a global order is one task's window; beyond, it is dealt over ranges of the key.
+PLAIN_ROWS = 100_000
+
+
+def running(table: DataFrame, key: Column, parts: int = 200, **sums: Column) -> DataFrame:
+    """table with running sums, each up to and with the row itself, in the order of a unique key (nulls first).
+
+    Large tables are cut into ranges of the key at ``parts`` values of a hashed sample; a window goes over each range,
+    and the totals of the ranges before (one row a range) are added. Only the cuts come to the driver.
+    """
+    keyed = table.withColumn("_key", key)
+    if keyed.limit(PLAIN_ROWS + 1).count() <= PLAIN_ROWS:
+        w = Window.orderBy("_key")
+        return keyed.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}).drop("_key")
+    seen = keyed.select(F.xxhash64("_key").alias("h"), "_key").orderBy("h").limit(parts * 16).select(F.struct("_key").alias("k")).orderBy("k").collect()
+    cuts = [r["k"] for r in seen[8::16]]
+    bounds = table.sparkSession.createDataFrame([(cuts,)], StructType([StructField("_cuts", ArrayType(keyed.select(F.struct("_key").alias("k")).schema["k"].dataType))]))
+    at = F.size(F.filter("_cuts", lambda x: x <= F.struct("_key")))
+    placed = keyed.join(F.broadcast(bounds)).withColumn("_part", at).drop("_cuts")
+    totals = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    within = Window.partitionBy("_part").orderBy("_key")
+    out = placed.join(F.broadcast(before), "_part").withColumns({n: F.sum(c).over(within) + F.col(f"_b_{n}") for n, c in sums.items()})
+    return out.drop("_key", "_part", *[f"_b_{n}" for n in sums])
+
 
 def find_duplicates(table: DataFrame, dims: Sequence[str]) -> DataFrame:
     """table with is_potential_duplicate and duplicate_group: 1 for the most frequent key that occurs twice, 0 for unique keys.
@@ -18,8 +45,8 @@ def find_duplicates(table: DataFrame, dims: Sequence[str]) -> DataFrame:
     over duplicate keys only, not over rows.
     """
     counts = table.groupBy(*dims).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy(F.desc("_n"), *[F.col(d).asc_nulls_first() for d in dims])
-    groups = counts.filter("_n > 1").withColumn("duplicate_group", F.row_number().over(order)).drop("_n")
+    numbered = running(counts.filter("_n > 1"), F.struct((-F.col("_n")).alias("n"), *dims), duplicate_group=F.lit(1))
+    groups = numbered.withColumn("duplicate_group", F.col("duplicate_group").cast("int")).drop("_n")
     groups = groups.withColumnsRenamed({d: f"_key{i}" for i, d in enumerate(dims)})
     on = reduce(lambda x, y: x & y, [F.col(d).eqNullSafe(F.col(f"_key{i}")) for i, d in enumerate(dims)])
     joined = table.join(groups, on, "left").select(*table.columns, "duplicate_group")
@@ -29,7 +56,7 @@ def find_duplicates(table: DataFrame, dims: Sequence[str]) -> DataFrame:
 def group_ids(table: DataFrame, dims: Sequence[str], row_id: str = "_rid") -> DataFrame:
     """table with group_id: 0 for the key that appears first (by row id), then 1, ..."""
     first = table.groupBy(*dims).agg(F.min(row_id).alias("_f"))
-    ids = first.withColumn("group_id", F.row_number().over(Window.orderBy("_f")) - 1).drop("_f")
+    ids = running(first, F.col("_f"), group_id=F.lit(1)).withColumn("group_id", (F.col("group_id") - 1).cast("int")).drop("_f")
     return table.join(small(ids), list(dims))
 
 
@@ -37,7 +64,7 @@ def percentile_of(table: DataFrame, score: str) -> DataFrame:
     """table with percentile: the share of rows whose score is not higher, in percent."""
     counts = table.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t"))
-    run = counts.withColumn("_c", F.sum("_n").over(Window.orderBy(score))).join(F.broadcast(total))
+    run = running(counts, F.col(score), _c=F.col("_n")).join(F.broadcast(total))
     return table.join(run.select(score, (100 * F.col("_c") / F.col("_t")).alias("percentile")), score)
 
 
@@ -45,8 +72,8 @@ def average_rank(table: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """table with the mean rank of equal values over n + 1; rows with a null value are left out."""
     counts = table.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("_r", before + (F.col("_n") + 1) / 2).join(F.broadcast(total)).select(value, (F.col("_r") / (F.col("_t") + 1)).alias(name))
+    upto = running(counts, F.col(value), _c=F.col("_n"))
+    ranks = upto.withColumn("_r", F.col("_c") - F.col("_n") + (F.col("_n") + 1) / 2).join(F.broadcast(total)).select(value, (F.col("_r") / (F.col("_t") + 1)).alias(name))
     return table.join(ranks, value)
 
 
@@ -96,8 +123,7 @@ def spaced_sample(table: DataFrame, value: str, n: int = 1000) -> DataFrame:
     """n distinct values at even distances in their order (all if there are fewer)."""
     distinct = table.select(value).na.drop().distinct()
     total = distinct.agg(F.count(F.lit(1)).alias("_t"))
-    at = F.row_number().over(Window.orderBy(value)) - 1
-    placed = distinct.withColumn("_i", at).join(F.broadcast(total))
+    placed = running(distinct, F.col(value), _i=F.lit(1)).withColumn("_i", F.col("_i") - 1).join(F.broadcast(total))
     step = F.greatest((F.col("_t") - 1) / F.lit(max(n - 1, 1)), F.lit(1.0))
     slot = F.floor(F.col("_i") / step + 1e-9)
     return placed.withColumn("_s", slot).groupBy("_s").agg(F.min(value).alias(value)).drop("_s")
@@ -113,8 +139,7 @@ def label_codes(table: DataFrame, column: str, order: str = "sorted", row_id: st
     """(value, code): codes from 0 by sorted value, or by first appearance."""
     values = table.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
     first = values.agg((F.min(row_id) if order == "first" else F.lit(0)).alias("_f"))
-    by = [F.col("_f"), F.col("value")] if order == "first" else [F.col("value")]
-    return first.withColumn("code", F.row_number().over(Window.orderBy(*by)) - 1).drop("_f")
+    return running(first, F.struct("_f", "value"), code=F.lit(1)).withColumn("code", (F.col("code") - 1).cast("int")).drop("_f")
 
 
 def label_encode(table: DataFrame, column: str, codes: DataFrame | None = None, name: str | None = None) -> DataFrame:

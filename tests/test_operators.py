@@ -280,3 +280,19 @@ def test_guards(spark):
     assert extract.name_column(table(spark, [(1, "x", "y")], "a int, other string, title string")) == "title"
     rows = extract.linkage_markers(table(spark, [(1,)], "uid int")).first()
     assert (rows._l3_linked, rows._linkage_column) == (True, "uid")
+
+
+def test_global_orders_are_dealt_over_ranges(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("i"), ((F.col("id") * 7919) % 1009).cast("double").alias("v"), F.concat(F.lit("k"), F.col("id") % 37).alias("s"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+
+    def every():
+        return [
+            sorted(map(tuple, windows.percentile_of(df, "v").select("i", "percentile").collect())), sorted(map(tuple, windows.average_rank(df, "v").select("i", "rank").collect())),
+            sorted(map(tuple, windows.label_codes(df, "s").collect())), sorted(map(tuple, windows.group_ids(df, ["s"], "i").select("i", "group_id").collect())),
+            sorted(map(tuple, windows.find_duplicates(df, ["v", "s"]).select("i", "duplicate_group").collect())), sorted(map(tuple, windows.spaced_sample(df, "v", 50).collect())),
+            sorted(map(tuple, metrics.roc(df, "y", "v").collect())), [round(metrics.auc(df, "y", "v").first().auc, 12)],
+        ]
+
+    plain = every()
+    monkeypatch.setattr(windows, "PLAIN_ROWS", 10)
+    assert every() == plain
