@@ -123,3 +123,11 @@ def sample_values(table: DataFrame, column: str, n: int = 5) -> DataFrame:
 def exact_sample(table: DataFrame, n: int, row_id: str = "_rid", seed: int = 42) -> DataFrame:
     """n rows, the same for the same seed: those of the least hashes."""
     return table.orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id).limit(n)
+
+
+def vector_kind(vector: DataFrame, value: str = "value") -> str:
+    """numeric, categorical (under 50 distinct values, or under 20 % of the rows) or text."""
+    if isinstance(vector.schema[value].dataType, NumericType):
+        return "numeric"
+    r = vector.agg(F.count_distinct(value).alias("u"), F.count(value).alias("n")).first()
+    return "categorical" if r["u"] < 50 or r["u"] < 0.2 * r["n"] else "text"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions import numeric
+from terrace.functions.text import row_text
 
 #: Rows up to which a side is broadcast, after a count.
 SMALL_ROWS = 100_000
@@ -178,6 +179,23 @@ def semantic_match_summary(left: DataFrame, right: DataFrame, left_key: str, rig
     return best.agg(F.count(F.lit(1)).alias("matches"), F.avg("similarity").alias("mean_similarity"))
 
 
+def row_similarity_join(left: DataFrame, right: DataFrame, left_columns: Sequence[str], right_columns: Sequence[str], left_id: str, right_id: str, threshold: float = 0.75, embed: Callable[[Column], Column] = hashed_ngrams) -> DataFrame:
+    """(left id, right id, similarity): for each left row the right row whose chosen columns, as one text, are most alike."""
+    a = left.select(F.col(left_id).alias("_a"), embed(row_text(left_columns, " ", labelled=False)).alias("vector"))
+    b = right.select(F.col(right_id).alias("_b"), embed(row_text(right_columns, " ", labelled=False)).alias("vector"))
+    best = best_match(similar_pairs(a, b, threshold, "_a", "_b"), "_a", "_b", "similarity")
+    return best.select(F.col("_a").alias("left_id"), F.col("_b").alias("right_id"), "similarity")
+
+
+def similarity_edges(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str, threshold: float = 0.8, embed: Callable[[Column], Column] = hashed_ngrams) -> DataFrame:
+    """(src, dst, similarity): an edge for every pair of nodes whose texts are similar; distinct texts are compared once."""
+    a = left.select(F.col(left_text).alias("x")).na.drop().distinct().withColumn("vector", embed(F.col("x")))
+    b = right.select(F.col(right_text).alias("y")).na.drop().distinct().withColumn("vector", embed(F.col("y")))
+    pairs = similar_pairs(a, b, threshold, "x", "y")
+    src, dst = left.select(F.col(left_id).alias("src"), F.col(left_text).alias("x")), right.select(F.col(right_id).alias("dst"), F.col(right_text).alias("y"))
+    return src.join(pairs, "x").join(dst, "y").select("src", "dst", "similarity")
+
+
 def row_pair_best(links: DataFrame) -> DataFrame:
     """(src, dst, score): the highest score of each pair of rows."""
     return links.groupBy("src", "dst").agg(F.max("score").alias("score"))

@@ -319,6 +319,12 @@ def anomaly_summary(found: DataFrame, rows: int) -> DataFrame:
     )
 
 
+def top_contributors(found: DataFrame, most: int = 5) -> DataFrame:
+    """(feature, n): the features that contribute most often to flagged rows."""
+    each = found.select(F.explode("contributors").alias("c")).groupBy(F.col("c.feature").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+    return each.orderBy(F.desc("n"), "feature").limit(most)
+
+
 def assess(table: DataFrame, target: str, row_id: str = "_rid") -> DataFrame:
     """One row: sub-scores, usability with the cross-validated score, light and export flag, and the profile as an array."""
     from terrace.functions.categories import traffic_light

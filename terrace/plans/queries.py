@@ -390,6 +390,28 @@ def extracted_vector(spark, d):
     return extract.vector(extract.with_row_id(read(spark, d, "part"), "p_partkey"), "p_retailprice", "p_size > 10", drop_null=True)
 
 
+@query("SELECT attribute, value FROM (SELECT c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_mktsegment AS VARCHAR) AS c_mktsegment FROM customer WHERE c_custkey = 5) UNPIVOT (value FOR attribute IN (c_name, c_nationkey, c_mktsegment))")
+def row_vector(spark, d):
+    return extract.row_vector(read(spark, d, "customer").drop("c_acctbal"), "c_custkey", 5)
+
+
+@query("SELECT DISTINCT p_type FROM part ORDER BY p_type LIMIT 3")
+def sample_values(spark, d):
+    return extract.sample_values(read(spark, d, "part"), "p_type", 3)
+
+
+@query("SELECT o_orderkey, o_orderdate AS day FROM orders")
+def iso_timestamps(spark, d):
+    text = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    return read(spark, d, "orders").select("o_orderkey", T.iso_timestamp(text).cast("timestamp_ntz").alias("day"))
+
+
+@query("SELECT o_orderkey, 'x' AS _rel_o_custkey_customer, TRUE AS _l3_linked, 'o_custkey' AS _linkage_column FROM orders")
+def marked_links(spark, d):
+    o = extract.relation_markers(read(spark, d, "orders"), [("o_custkey", "customer", "x"), ("absent", "y", "z")])
+    return extract.linkage_markers(o, "o_custkey").select("o_orderkey", "_rel_o_custkey_customer", "_l3_linked", "_linkage_column")
+
+
 # Joins
 
 
@@ -486,6 +508,47 @@ def semantic_match_summary(spark, d):
     return joins.semantic_match_summary(read(spark, d, "documents").filter("length(text) < 400"), read(spark, d, "benchmark"), "text", "text", 0.5)
 
 
+@query("SELECT r_regionkey, n_nationkey FROM region, nation")
+def guarded_cross_join(spark, d):
+    return joins.cross_join(read(spark, d, "region").select("r_regionkey"), read(spark, d, "nation").select("n_nationkey"), 1000)
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 9500")
+def common_key_join(spark, d):
+    c = read(spark, d, "customer").filter("c_acctbal > 9500").select(F.col("c_nationkey").alias("nation"), "c_custkey")
+    return joins.common_key_join(c, read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))).select("c_custkey", "s_suppkey")
+
+
+@query("SELECT doc_id, source, quality FROM documents LEFT JOIN labels USING (doc_id)")
+def positional_enrichment(spark, d):
+    docs = read(spark, d, "documents").withColumn("_rid", F.col("doc_id"))
+    return joins.by_row_id(docs, read(spark, d, "labels").withColumn("_rid", F.col("doc_id")), ["quality"]).select("doc_id", "source", "quality")
+
+
+@query("SELECT o_orderkey, o_totalprice, 'large' AS flag FROM orders WHERE o_totalprice > 490000")
+def flagged_rows(spark, d):
+    o = read(spark, d, "orders").withColumn("_rid", F.col("o_orderkey"))
+    flags = o.filter("o_totalprice > 490000").select("_rid", F.lit("large").alias("flag"))
+    return joins.flagged_rows(o, flags).select("o_orderkey", "o_totalprice", "flag")
+
+
+@query("SELECT src, dst, max(score) AS score FROM (SELECT c_custkey AS src, s_suppkey AS dst, 0.9 :: DOUBLE AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey UNION ALL SELECT c_custkey, s_suppkey, 0.5 :: DOUBLE FROM customer JOIN supplier ON c_custkey = s_suppkey) GROUP BY 1, 2")
+def row_links(spark, d):
+    return discovery.row_links(read(spark, d, "customer"), read(spark, d, "supplier"), "c_custkey", "s_suppkey", [("c_nationkey", "s_nationkey", 0.9), ("c_custkey", "s_suppkey", 0.5)])
+
+
+@query()
+def row_similarity_join(spark, d):
+    p = read(spark, d, "part")
+    return joins.row_similarity_join(p.filter("p_size <= 25"), p.filter("p_size > 45"), ["p_name", "p_brand"], ["p_name", "p_brand"], "p_partkey", "p_partkey", 0.75)
+
+
+@query()
+def similarity_edges(spark, d):
+    p = read(spark, d, "part")
+    return joins.similarity_edges(p.filter("p_size = 1"), p.filter("p_size = 2"), "p_partkey", "p_partkey", "p_name", "p_name", 0.9)
+
+
 # Sets
 
 
@@ -610,6 +673,21 @@ def star_graph(spark, d):
     return nodes.agg(F.count(F.lit(1)).alias("nodes")).join(edges.agg(F.count(F.lit(1)).alias("edges")))
 
 
+@query("SELECT 'Nation_' || n_nationkey AS id, n_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
+def categorisable_nodes(spark, d):
+    return graph.categorisable(_nation_graph(spark, d)[0], "Nation", "n_name")
+
+
+@query("SELECT 'Nation_' || n_nationkey AS id, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def nodes_as_table(spark, d):
+    return graph.nodes_of_type(_nation_graph(spark, d)[0], "Nation", ["n_name", "r_name"])
+
+
+@query("SELECT 'node' AS kind, 'Nation' AS label, (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'edge', 'IN', count(*) FROM supplier")
+def ingest_batches(spark, d):
+    return graph.batches(graph.to_records(*_nation_graph(spark, d), ["Nation"]))
+
+
 # Quality
 
 
@@ -777,3 +855,10 @@ def lineage_paths(spark, d):
 @query(f"SELECT parent_id AS id, count(*) AS children FROM {_PARENTS} WHERE parent_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def lineage_branch_points(spark, d):
     return lineage.branch_points(_log(spark, d))
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT * FROM {_PARENTS}), up AS (SELECT id, parent_id FROM n WHERE id = '1234' UNION ALL SELECT n.id, n.parent_id FROM up JOIN n ON n.id = up.parent_id)
+SELECT CAST(o_orderkey % 5 AS INTEGER) AS level, last(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS id FROM orders JOIN up ON CAST(o_orderkey AS VARCHAR) = up.id GROUP BY 1""")
+def lineage_latest_by_level(spark, d):
+    return lineage.latest_by_level(_log(spark, d), "1234").select("level", "id")
