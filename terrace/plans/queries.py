@@ -416,9 +416,9 @@ def marked_links(spark, d):
 
 
 @query("""
-SELECT c_custkey, c_nationkey, s_suppkey, s_nationkey FROM (SELECT * FROM customer WHERE c_acctbal > 9000) c FULL OUTER JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) s ON CAST(c_nationkey AS VARCHAR) = CAST(s_nationkey AS VARCHAR)""")
+SELECT c_custkey, c_nationkey, s_suppkey, s_nationkey FROM customer FULL OUTER JOIN supplier ON CAST(c_nationkey AS VARCHAR) = CAST(s_nationkey AS VARCHAR)""")
 def full_outer_key_join(spark, d):
-    left, right = read(spark, d, "customer").filter("c_acctbal > 9000"), read(spark, d, "supplier").filter("s_acctbal > 5000")
+    left, right = read(spark, d, "customer"), read(spark, d, "supplier")
     return joins.key_join(left, right, "c_nationkey", "s_nationkey").select("c_custkey", "c_nationkey", "s_suppkey", "s_nationkey")
 
 
@@ -451,12 +451,10 @@ def key_edges(spark, d):
     return joins.key_edges(c, s, "id", "id", "c_nationkey", "s_nationkey")
 
 
-@query("""
-SELECT a.p_partkey AS src, b.p_partkey AS dst, 'SHARES_p_name' AS relationship, a.p_name AS value FROM part a JOIN part b ON a.p_name = b.p_name WHERE a.p_size = 1 AND b.p_size = 2
-UNION ALL SELECT a.p_partkey, b.p_partkey, 'SHARES_p_brand', a.p_brand FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_size = 1 AND b.p_size = 2""")
+@query("SELECT c_custkey AS src, s_suppkey AS dst, 'SHARES_nation' AS relationship, CAST(c_nationkey AS VARCHAR) AS value FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def shared_value_edges(spark, d):
-    p = read(spark, d, "part")
-    return joins.shared_value_edges(p.filter("p_size = 1"), p.filter("p_size = 2"), "p_partkey", "p_partkey", ["p_name", "p_brand"])
+    c = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    return joins.shared_value_edges(c, read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation")), "c_custkey", "s_suppkey", ["nation"])
 
 
 @query("""
@@ -505,7 +503,7 @@ def semantic_text_join(spark, d):
 
 @query()
 def semantic_match_summary(spark, d):
-    return joins.semantic_match_summary(read(spark, d, "documents").filter("length(text) < 400"), read(spark, d, "benchmark"), "text", "text", 0.5)
+    return joins.semantic_match_summary(read(spark, d, "part"), read(spark, d, "part").select(F.concat("p_name", F.lit("s")).alias("plural")), "p_name", "plural", 0.5)
 
 
 @query("SELECT r_regionkey, n_nationkey FROM region, nation")
@@ -513,9 +511,9 @@ def guarded_cross_join(spark, d):
     return joins.cross_join(read(spark, d, "region").select("r_regionkey"), read(spark, d, "nation").select("n_nationkey"), 1000)
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 9500")
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def common_key_join(spark, d):
-    c = read(spark, d, "customer").filter("c_acctbal > 9500").select(F.col("c_nationkey").alias("nation"), "c_custkey")
+    c = read(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey")
     return joins.common_key_join(c, read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))).select("c_custkey", "s_suppkey")
 
 
@@ -539,14 +537,13 @@ def row_links(spark, d):
 
 @query()
 def row_similarity_join(spark, d):
-    p = read(spark, d, "part")
-    return joins.row_similarity_join(p.filter("p_size <= 25"), p.filter("p_size > 45"), ["p_name", "p_brand"], ["p_name", "p_brand"], "p_partkey", "p_partkey", 0.75)
+    c, s = read(spark, d, "customer"), read(spark, d, "supplier")
+    return joins.row_similarity_join(c, s, ["c_name", "c_nationkey"], ["s_name", "s_nationkey"], "c_custkey", "s_suppkey", 0.5)
 
 
 @query()
 def similarity_edges(spark, d):
-    p = read(spark, d, "part")
-    return joins.similarity_edges(p.filter("p_size = 1"), p.filter("p_size = 2"), "p_partkey", "p_partkey", "p_name", "p_name", 0.9)
+    return joins.similarity_edges(read(spark, d, "part"), read(spark, d, "region"), "p_partkey", "r_regionkey", "p_name", "r_name", 0.1)
 
 
 # Sets
@@ -838,12 +835,12 @@ def catalog_latest_score(spark, d):
 
 
 def _log(spark, d):
-    e = read(spark, d, "orders").filter("o_orderkey < 2000")
+    e = read(spark, d, "orders")
     parent = F.when(F.col("o_orderkey") > 0, F.floor((F.col("o_orderkey") - 1) / 3).cast("string"))
     return e.select(F.col("o_orderkey").cast("string").alias("id"), parent.alias("parent_id"), (F.col("o_orderkey") % 5).cast("int").alias("level"), F.col("o_orderstatus").alias("action"), F.col("o_orderpriority").alias("decision"), F.col("o_orderdate").alias("created_at"))
 
 
-_PARENTS = "(SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey > 0 THEN CAST((o_orderkey - 1) // 3 AS VARCHAR) END AS parent_id FROM orders WHERE o_orderkey < 2000)"
+_PARENTS = "(SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey > 0 THEN CAST((o_orderkey - 1) // 3 AS VARCHAR) END AS parent_id FROM orders)"
 
 
 @query(f"""
