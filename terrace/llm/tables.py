@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: computed once, and lost executors cost nothing of it."""
     path = shared_dir(session(df))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return session(df).read.schema(df.schema).parquet(path)
 
 
