@@ -12,6 +12,10 @@ from terrace.llm import decontaminate, line_dedup, near_dedup, packing, quality
 from terrace.llm.tables import on_path, stage
 
 
+#: Percent of Jaccard similarity of 5-word shingles from which the pipeline takes documents for copies.
+NEAR_PERCENT = 85
+
+
 def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
     """out with the columns of docs, and n_chars after the change of text."""
     if "n_chars" in docs.columns:
@@ -31,10 +35,10 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _as_documents(line_dedup.clean_lines(docs), docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = NEAR_PERCENT) -> DataFrame:
     """One document of each near-duplicate component stays."""
     on_path(spark)
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, percent)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, LOWER, blocks, buffers, gram_hashes, gram_rows, minimisers, word_hashes, word_spans
-from .tables import SLOTS, bitmap, known_small
+from .tables import SLOTS, aside, bitmap, known_small, stage
 
 GRAM = 5
 _HIT = "array<struct<start:int,len:int,key:binary>>"
@@ -141,6 +141,11 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFram
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFrame:
-    """The rows of docs that share no window with the items; their columns stay as they are. Ids must be unique and not null."""
-    bad = contamination(docs, items, span).filter("n_hit > 0").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that share no window with the items; their columns stay as they are.
+
+    Each row is judged by its own text: null and repeated ids are no exception.
+    """
+    own, back = aside(docs, ("__row",))
+    rows = stage(own.withColumn("__row", F.monotonically_increasing_id()))  # written, so that both reads see the same numbers
+    bad = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), items, span).filter("n_hit > 0").select(F.col("doc_id").alias("__row"))
+    return rows.join(bad, "__row", "left_anti").drop("__row").withColumnsRenamed(back).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,19 +28,31 @@ from .tables import keep_keys, stage
 _U = np.uint64
 REGISTERS = 256
 BAND = 3
-#: The first BANDS * BAND registers are banded; all of them serve estimates.
-BANDS = 21
+#: A pair at the threshold shares no band with this probability at most, as far as the registers go (from 73 % on).
+MISS = 2.1e-9
 BASE = 1.001
 SHINGLE = 5
 #: Buckets up to this size are compared pair by pair.
 SMALL_BUCKET = 24
-#: Pairs estimated this far below the threshold are dropped: over five standard errors of 256 registers.
-MARGIN = 0.115
+#: Pairs estimated so many standard errors of 256 registers below the threshold are dropped.
+MARGIN = 5.16
 #: Members of a large bucket that one task compares with as many others at a time.
 PART = 256
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
 
 
+def band_count(percent: int) -> int:
+    """How many bands a threshold takes: 21 at 85 %, 28 at 80 %. The first of the registers are banded; all of them serve estimates."""
+    alone = 1 - (percent / 100) ** BAND
+    return int(np.clip(np.ceil(np.log(MISS) / np.log(alone)), 1, REGISTERS // BAND)) if 0 < alone < 1 else 1 if alone <= 0 else REGISTERS // BAND
+
+
+def least_estimate(percent: int) -> float:
+    """The estimate below which no pair is confirmed."""
+    share = percent / 100
+    return share - MARGIN * float(np.sqrt(share * (1 - share) / REGISTERS))
+
+
 def shingle_sets(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row (upper 12 bits) and 52-bit shingle hash of every distinct shingle, ascending; and the set size of each row.
 
@@ -84,18 +96,18 @@ def registers(keys: np.ndarray, rows: int) -> np.ndarray:
     return np.clip(value, 0, 65535).astype(np.uint16)
 
 
-def bands(values: np.ndarray) -> np.ndarray:
-    """(rows, 21) hashes of three registers each."""
-    parts = values[:, : BAND * BANDS].reshape(len(values), BANDS, BAND).astype(_U)
-    joined = parts[:, :, 0] | (parts[:, :, 1] << _U(16)) | (parts[:, :, 2] << _U(32)) | (np.arange(BANDS, dtype=_U) << _U(48))[None, :]
+def bands(values: np.ndarray, count: int) -> np.ndarray:
+    """(rows, count) hashes of three registers each."""
+    parts = values[:, : BAND * count].reshape(len(values), count, BAND).astype(_U)
+    joined = parts[:, :, 0] | (parts[:, :, 1] << _U(16)) | (parts[:, :, 2] << _U(32)) | (np.arange(count, dtype=_U) << _U(48))[None, :]
     return mix(joined + _GOLD)
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("regs", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s1, s2, regs, bands): set size, a 128-bit digest of the set, registers and band hashes of each document."""
+def sketches(docs: DataFrame, count: int) -> DataFrame:
+    """(doc_id, n, s1, s2, regs, bands): set size, a 128-bit digest of the set, registers and ``count`` band hashes of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +122,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                     sums = np.zeros(len(keys) + 1, _U)
                     np.cumsum(mix((keys & _U((1 << 52) - 1)) + _U(salt * int(_GOLD) * 3 & (1 << 64) - 1)), out=sums[1:])
                     digest.append((sums[edge[1:]] - sums[edge[:-1]]).view(np.int64))
-                band = bands(value).view(np.int64)
+                band = bands(value, count).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(i, rows).cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(d, pa.int64()) for d in digest),
-                        pa.array([v.tobytes() for v in value], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), pa.array(band.ravel(), pa.int64())),
+                        pa.array([v.tobytes() for v in value], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * count, pa.int32()), pa.array(band.ravel(), pa.int64())),
                     ],
                     schema=_SKETCH,
                 )
@@ -163,6 +175,8 @@ def compare_parts(parts: DataFrame, percent: int, least: float) -> DataFrame:
     several bands comes from the first of them alone. Parts are bounded, and no pair is built that fails.
     """
 
+    count = band_count(percent)
+
     def unpack(items: pa.StructArray) -> list[np.ndarray]:
         return [*(items.field(k).to_numpy() for k in range(4)), _registers_of(items.field(4))]
 
@@ -178,8 +192,8 @@ def compare_parts(parts: DataFrame, percent: int, least: float) -> DataFrame:
                     k = k[(ry[k] == rx[i]).sum(axis=1) >= (least - 0.02) * REGISTERS]
                     if not len(k):
                         continue
-                    shared = (ry[k, : BAND * BANDS].reshape(-1, BANDS, BAND) == rx[i, : BAND * BANDS].reshape(BANDS, BAND)).all(axis=2)
-                    k = k[bands(rx[i : i + 1]).view(np.int64)[0][shared.argmax(axis=1)] == band]
+                    shared = (ry[k, : BAND * count].reshape(-1, count, BAND) == rx[i, : BAND * count].reshape(count, BAND)).all(axis=2)
+                    k = k[bands(rx[i : i + 1], count).view(np.int64)[0][shared.argmax(axis=1)] == band]
                     if len(k):
                         k = k[similarity(np.broadcast_to(rx[i], (len(k), REGISTERS)), ry[k], np.full(len(k), float(nx[i])), ny[k].astype(float)) >= least]
                         out_a.append(np.minimum(idx[i], idy[k]))
@@ -250,7 +264,7 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     with the same id. Other columns are left out.
     """
     docs = docs.select("doc_id", "text")
-    sketched = stage(sketches(docs))
+    sketched = stage(sketches(docs, band_count(percent)))
     classes = stage(
         sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min("regs").alias("regs"), F.min("bands").alias("bands"))
     )
@@ -265,7 +279,7 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes, enough to connect every component."""
-    least = percent / 100 - MARGIN
+    least = least_estimate(percent)
     entries = classes.select("doc_id", F.explode("bands").alias("band"))
     sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stage(entries.join(sizes, "band"))

@@ -62,3 +62,10 @@ def test_decontaminate_keeps_clean_rows(spark):
     d = spark.createDataFrame([(1, "x " + passage), (2, "nothing here"), (3, None)], "doc_id long, text string")
     b = spark.createDataFrame([(1, passage)], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.decontaminate(d, b).collect()) == [2, 3]
+
+
+def test_decontaminate_judges_each_row(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    d = spark.createDataFrame([(None, "x " + passage), (None, "nothing here"), (4, passage), (4, "clean text")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert sorted(r.text for r in decontaminate.decontaminate(d.withColumn("__row", d.text), b).collect()) == ["clean text", "nothing here"]

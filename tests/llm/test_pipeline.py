@@ -6,7 +6,7 @@ from .test_near_dedup import brute as near
 from .test_packing import check_whole
 
 import corpus_pipeline
-from terrace.llm import decontaminate
+from terrace.llm import decontaminate, near_dedup
 from terrace.llm.tables import stage
 
 SENTENCES = ["The quiet river runs past the old mill and into the wide green valley below.", "Nobody knew who had left the lamp burning through the night.", "A long road led them to the sea, where the boats lay waiting."]
@@ -61,3 +61,16 @@ def test_clashing_columns_stay(spark):
         df = stage(step(df))
         assert df.columns == ["doc_id", "text", *names]
         assert df.count() > 10 and all(list(r)[2:] == names for r in df.collect())
+
+
+def test_near_stage_at_80_percent(spark):
+    rng = random.Random(5)
+    docs = []
+    for g in range(30):
+        base = [f"w{g}x{i}" for i in range(300)]
+        docs += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(base[: rng.randrange(235, 275)]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = lambda percent: {d for d, x in near(docs, percent).items() if x[2]}
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "", percent=80).collect()}
+    assert got == kept(80) != kept(85)
+    assert 0.8 - near_dedup.least_estimate(80) > 5 * 0.025 and near_dedup.band_count(80) == 28 and near_dedup.band_count(85) == 21
