@@ -281,7 +281,7 @@ def standardised(table: DataFrame, columns: Sequence[str], row_id: str = "_rid")
 
 def lof(points: DataFrame, row_id: str = "_rid", k: int = 20, bands: int | None = None, width: float = 1.0, dims: int | None = None) -> DataFrame:
     """(row_id, score): local outlier factor; higher is more anomalous."""
-    near = windows.nearest(points, row_id, "vector", k, bands, width, dims).withColumnRenamed(row_id, "i")
+    near = windows.kept(windows.nearest(points, row_id, "vector", k, bands, width, dims).withColumnRenamed(row_id, "i"))
     reach = near.groupBy("i").agg(F.max("distance").alias("kd"))
     r = near.join(reach.withColumnsRenamed({"i": "neighbour", "kd": "nkd"}), "neighbour").withColumn("rd", F.greatest("distance", "nkd"))
     density = r.groupBy("i").agg((1 / (F.avg("rd") + 1e-10)).alias("lrd"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -164,31 +166,116 @@ def score_changes(reports: DataFrame, group: str, order: str, score: str) -> Dat
     return reports.withColumns({"change": F.col(score) - F.lag(score).over(w), "since_first": F.col(score) - F.first(score).over(w)})
 
 
+#: Distinct points in a block of the exact neighbour search, at least.
+BLOCK = 512
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once: written to spark.checkpoint.dir, or kept by the executors where that is unset."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def _exact(points: DataFrame, k: int) -> DataFrame:
+    """(i, j, distance, n): the k nearest other points of each point (i, u), of equal distances the least j; null vectors are left out.
+
+    Equal points are searched once, and only their k + 1 least ids can be neighbours. Distinct points go in Z-order into
+    blocks of ``BLOCK`` or more; the k-th distance inside its own block bounds a point's search, and a block meets the
+    blocks whose boxes lie within its greatest bound. No task holds more than two blocks, whatever the input.
+    """
+    own = kept(points.filter("u IS NOT NULL"))
+    first = own.withColumn("_n", F.row_number().over(Window.partitionBy("u").orderBy("i"))).filter(F.col("_n") <= k + 1)
+    groups = kept(first.groupBy("u").agg(F.sort_array(F.collect_list("i")).alias("ids")))
+    total = groups.count()
+    if not total:
+        return own.select("i", F.col("i").alias("j"), F.lit(0.0).alias("distance"), F.lit(1).alias("n"))
+    dims = groups.select(F.size("u")).first()[0]
+    used = min(dims, 6)
+    ends = groups.agg(*[f(F.col("u")[d]) for d in range(used) for f in (F.min, F.max)]).first()
+    bits = min(60 // max(used, 1), 20)
+    z = F.lit(0).cast("long")
+    for d in range(used):
+        low, high = ends[2 * d], ends[2 * d + 1]
+        cell = F.floor((F.col("u")[d] - low) / ((high - low) or 1.0) * ((1 << bits) - 1)).cast("long")
+        for b in range(bits):
+            z = z + F.shiftleft(F.shiftright(cell, b).bitwiseAND(F.lit(1).cast("long")), b * used + d)
+    numbered = kept(running(groups.withColumn("_z", z), F.struct("_z", "u"), at=F.lit(1)).drop("_z"))
+    block = F.floor((F.col("at") - 1) * max(total // BLOCK, 1) / total)
+    dealt = numbered.groupBy(block.alias("block")).agg(F.collect_list(F.struct("at", F.size("ids").alias("w"), "u")).alias("p"))
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(a), len(b)))
+        for d in range(dims):
+            out += (a[:, d][:, None] - b[:, d][None, :]) ** 2
+        return np.sqrt(out)
+
+    def reach(far: np.ndarray, w: np.ndarray) -> np.ndarray:
+        order = far.argsort(axis=1)
+        many = w[order].cumsum(axis=1) > k
+        at = many.argmax(axis=1)[:, None]
+        return np.where(many[:, -1], np.take_along_axis(far, np.take_along_axis(order, at, 1), 1)[:, 0], np.inf)
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, p in zip(batch["block"].to_pylist(), batch["p"]):
+                at, w = p.values.field(0).to_numpy(), p.values.field(1).to_numpy()
+                u = p.values.field(2).flatten().to_numpy().reshape(len(at), dims)
+                most = reach(apart(u, u), w)
+                out.append({"block": name, "at": at, "w": w, "u": u.ravel(), "most": most, "low": u.min(axis=0), "high": u.max(axis=0), "radius": float(most.max())})
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    real = pa.list_(pa.float64())
+    shape = pa.schema([("block", pa.int64()), ("at", pa.list_(pa.int64())), ("w", pa.list_(pa.int32())), ("u", real), ("most", real), ("low", real), ("high", real), ("radius", pa.float64())])
+    blocks = kept(dealt.mapInArrow(bounds, "block long, at array<long>, w array<int>, u array<double>, most array<double>, low array<double>, high array<double>, radius double"))
+    a = blocks.select(F.col("block").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), "radius")
+    b = blocks.select(F.col("block").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    gaps = [F.greatest(F.col("lb")[d] - F.col("ha")[d], F.col("la")[d] - F.col("hb")[d], F.lit(0.0)) for d in range(dims)]
+    gap = F.sqrt(reduce(lambda x, y: x + y, [g * g for g in gaps], F.lit(0.0)))
+    met = a.crossJoin(small(b)).filter(gap <= F.col("radius") * (1 + 1e-9)).select("a", "b")
+    met = met.join(blocks.select(F.col("block").alias("a"), F.col("at").alias("at_a"), F.col("u").alias("u_a"), "most"), "a")
+    met = met.join(blocks.select(F.col("block").alias("b"), F.col("at").alias("at_b"), "w", F.col("u").alias("u_b")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at_a, u_a, most, at_b, w, u_b in zip(*[batch[c] for c in ("at_a", "u_a", "most", "at_b", "w", "u_b")]):
+                at_a, u_a, most, at_b, w, u_b = (x.values.to_numpy() for x in (at_a, u_a, most, at_b, w, u_b))
+                far = apart(u_a.reshape(-1, dims), u_b.reshape(-1, dims))
+                x, y = np.nonzero(far <= np.minimum(most, reach(far, w))[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(at_a[x]), pa.array(at_b[y]), pa.array(far[x, y])], names=["x", "y", "distance"])
+
+    close = met.select("at_a", "u_a", "most", "at_b", "w", "u_b").mapInArrow(compare, "x long, y long, distance double")
+    each = close.join(numbered.select(F.col("at").alias("y"), F.explode("ids").alias("j")), "y")
+    ranked = each.withColumn("_n", F.row_number().over(Window.partitionBy("x").orderBy("distance", "j"))).filter(F.col("_n") <= k + 1)
+    lists = ranked.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("distance", "j"))).alias("near"))
+    named = numbered.select(F.col("at").alias("x"), "u").join(lists, "x").select("u", "near")
+    others = F.slice(F.filter("near", lambda e: e["j"] != F.col("i")), 1, k)
+    out = own.join(named, "u").select("i", F.posexplode(others).alias("_p", "e"))
+    return out.select("i", F.col("e.j").alias("j"), F.col("e.distance").alias("distance"), (F.col("_p") + 1).alias("n"))
+
+
 def nearest(points: DataFrame, row_id: str, vector: str, k: int, bands: int | None = None, width: float = 1.0, dims: int | None = None) -> DataFrame:
     """(row_id, neighbour, distance): the k nearest other points of each.
 
-    Without ``bands`` exact, with the points broadcast against themselves (few points only: a count checks that). With
-    ``bands`` points are compared inside buckets of random projections of that ``width``; recall grows with bands.
+    Without ``bands`` exact, block by block, for any number of points. With ``bands`` points are compared inside buckets
+    of random projections of that ``width``; recall grows with bands, and a point alone in its buckets has no row.
     """
-    from .joins import SMALL_ROWS, _planes
-
+    if bands is None:
+        found = _exact(points.select(F.col(row_id).alias("i"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("u")), k)
+        return found.select(F.col("i").alias(row_id), F.col("j").alias("neighbour"), "distance", "n")
     a = points.select(F.col(row_id).alias("i"), F.col(vector).alias("u"))
     b = points.select(F.col(row_id).alias("j"), F.col(vector).alias("v"))
     apart: Column = F.sqrt(F.aggregate(F.zip_with("u", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    if bands is None:
-        if b.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
-            raise ValueError("too many points for exact neighbours; set bands")
-        pairs = a.crossJoin(F.broadcast(b)).filter("i <> j")
-    else:
-        from terrace.functions.numeric import dot
+    from terrace.functions.numeric import dot
 
-        def keys(vec: Column) -> Column:
-            out = []
-            for band in range(bands):
-                cells = [F.floor(dot(vec, F.array(*[F.lit(x) for x in plane])) / width).cast("string") for plane in _planes(2, dims or 1, band)]
-                out.append(F.concat_ws(":", F.lit(str(band)), *cells))
-            return F.array(*out)
+    from .joins import _planes
+
+    def keys(vec: Column) -> Column:
+        out = []
+        for band in range(bands):
+            cells = [F.floor(dot(vec, F.array(*[F.lit(x) for x in plane])) / width).cast("string") for plane in _planes(2, dims or 1, band)]
+            out.append(F.concat_ws(":", F.lit(str(band)), *cells))
+        return F.array(*out)
 
-        pairs = a.withColumn("c", F.explode(keys(F.col("u")))).join(b.withColumn("c", F.explode(keys(F.col("v")))), "c").filter("i <> j").dropDuplicates(["i", "j"])
+    pairs = a.withColumn("c", F.explode(keys(F.col("u")))).join(b.withColumn("c", F.explode(keys(F.col("v")))), "c").filter("i <> j").dropDuplicates(["i", "j"])
     ranked = pairs.withColumn("distance", apart).withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy("distance", "j"))).filter(F.col("n") <= k)
     return ranked.select(F.col("i").alias(row_id), F.col("j").alias("neighbour"), "distance", "n")

@@ -753,8 +753,7 @@ def z_reasons(spark, d):
 @query()
 def local_outliers(spark, d):
     p = read(spark, d, "part").select(F.col("p_partkey").alias("_rid"), "p_size", "p_retailprice")
-    dims = 2
-    return quality.anomalies(p, ["p_size", "p_retailprice"], bands=6, width=0.25, dims=dims).select("_rid", "score", "percentile")
+    return quality.anomalies(p, ["p_size", "p_retailprice"]).select("_rid", "score", "percentile")
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from terrace.functions import categories as C
 from terrace.functions import numeric as N
 from terrace.functions import text as T
 from terrace.operators import catalog, categorize, discovery, extract, graph, joins, metrics, quality, sets, synth, windows
-from terrace.plans import levels, lineage
+from terrace.plans import levels, lineage, queries
 
 
 def table(spark, rows, schema):
@@ -105,6 +106,34 @@ def test_nearest_in_buckets_agrees(spark):
     assert exact.join(near, "i").filter("abs(d - e) < 1e-9").count() >= 72
 
 
+def test_local_outliers_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK", 32)
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_retailprice").orderBy("p_partkey").collect()
+    x = np.array([[r.p_size, r.p_retailprice] for r in rows], float)
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    x = np.concatenate([x, [x[0]] * 60, [[50.0, -40.0]]])  # a heap of equal points and an isolated one
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(far, np.inf)
+
+    def brute(far):
+        near = np.argsort(far, axis=1, kind="stable")[:, :20]
+        dist = np.take_along_axis(far, near, 1)
+        density = 1 / (np.maximum(dist, dist[near, -1]).mean(axis=1) + 1e-10)
+        return dist, density[near].mean(axis=1) / density
+
+    dist, score = brute(far)
+    points = table(spark, [(i, v.tolist()) for i, v in enumerate(x)], "_rid long, vector array<double>")
+    got = {(r._rid, r.n): r.distance for r in windows.nearest(points, "_rid", "vector", 20).collect()}
+    assert len(got) == 20 * len(x) and all(abs(got[i, n + 1] - dist[i, n]) < 1e-9 for i in range(len(x)) for n in range(20))
+    found = {r._rid: r.score for r in quality.lof(points).collect()}
+    assert set(found) == set(range(len(x))) and all(abs(found[i] / score[i] - 1) < 1e-6 for i in found)
+    _, own = brute(far[: len(rows), : len(rows)])
+    listed = {r._rid: r.score for r in queries.QUERIES["local_outliers"](spark, d).collect()}
+    wanted = {r.p_partkey: s for r, s in zip(rows, own) if (own <= s).mean() >= 0.95}
+    assert set(listed) == set(wanted) and all(abs(listed[i] / wanted[i] - 1) < 1e-6 for i in wanted)
+
+
 def test_hierarchy_null_branch_and_json(spark):
     df = table(spark, [("a", "x"), ("a", "y"), ("a", "x"), (None, "x")], "p string, q string")
     assert {(r.p, r.q, r.n) for r in metrics.dimension_hierarchy(df, ["p", "q"]).collect()} == {("a", None, 3), ("a", "x", 2), ("a", "y", 1)}
