@@ -100,8 +100,11 @@ def by_row_id(left: DataFrame, right: DataFrame, columns: Sequence[str], row_id:
 
 def best_match(pairs: DataFrame, left_id: str, right_id: str, score: str) -> DataFrame:
     """The best pair of each left row; of equal scores the least right id."""
-    order = Window.partitionBy(left_id).orderBy(F.desc(score), right_id)
-    return pairs.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    value = F.col(score)
+    order = F.struct(value.isNull().alias("none"), F.when(F.isnan(value), float("-inf")).otherwise(-value).alias("s"), F.col(right_id).alias("r"))
+    rest = [c for c in pairs.columns if c != left_id]
+    best = pairs.groupBy(left_id).agg(F.min_by(F.struct(*rest), order).alias("_b"))
+    return best.select(left_id, "_b.*").select(*pairs.columns)
 
 
 def hashed_ngrams(text: Column, size: int = 128, n: int = 3) -> Column:
@@ -122,15 +125,16 @@ def _planes(bits: int, dims: int, band: int) -> list[list[float]]:
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, left_id: str, right_id: str, vector: str = "vector") -> DataFrame:
     """(left id, right id, similarity) of all pairs of rows with cosine similarity of ``threshold`` or more.
 
-    Exact. The right side must be small (a count checks that) and is broadcast; the left side is streamed against it.
-    For two large sides see ``similar_pairs_lsh``.
+    Exact. A side that a count finds small is broadcast, and the other is streamed against it; of two large sides every
+    partition meets every other, which takes time in proportion to their product. ``similar_pairs_lsh`` is faster, but
+    misses pairs.
     """
     a = left.select(F.col(left_id).alias("_l"), numeric.unit(F.col(vector)).alias("_u"))
     b = right.select(F.col(right_id).alias("_r"), numeric.unit(F.col(vector)).alias("_v"))
-    if b.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
-        raise ValueError("both sides are large; use similar_pairs_lsh")
+    few = [df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS for df in (a, b)]
+    met = a.crossJoin(F.broadcast(b)) if few[1] else F.broadcast(a).crossJoin(b) if few[0] else a.hint("shuffle_replicate_nl").crossJoin(b)
     sim = numeric.dot(F.col("_u"), F.col("_v"))
-    pairs = a.crossJoin(F.broadcast(b)).withColumn("similarity", sim).filter(F.col("similarity") >= threshold - 1e-12)
+    pairs = met.withColumn("similarity", sim).filter(F.col("similarity") >= threshold - 1e-12)
     return pairs.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), "similarity")
 
 

@@ -106,6 +106,18 @@ def test_nearest_in_buckets_agrees(spark):
     assert exact.join(near, "i").filter("abs(d - e) < 1e-9").count() >= 72
 
 
+def test_similar_pairs_of_large_sides(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SMALL_ROWS", 10)
+    vector = lambda i: [math.cos(i), math.sin(i)]
+    for n, m in ((5, 40), (40, 5), (30, 40)):
+        a, b = table(spark, [(i, vector(i)) for i in range(n)], "a long, vector array<double>"), table(spark, [(i, vector(i + 0.3)) for i in range(m)], "b long, vector array<double>")
+        pairs = joins.similar_pairs(a, b, 0.5, "a", "b")
+        sims = {(i, j): math.cos(i - j - 0.3) for i in range(n) for j in range(m)}
+        assert {(r.a, r.b) for r in pairs.collect()} == {k for k, s in sims.items() if s >= 0.5}
+        best = {r.a: r.b for r in joins.best_match(pairs, "a", "b", "similarity").collect()}
+        assert best == {i: max(range(m), key=lambda j: sims[i, j]) for i in range(n) if max(sims[i, j] for j in range(m)) >= 0.5}
+
+
 def test_local_outliers_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(windows, "BLOCK", 32)
     d = "/root/testdata/sf0.001"
