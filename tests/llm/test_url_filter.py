@@ -1,3 +1,8 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
 from terrace.llm import url_filter
 
 URLS = {
@@ -40,3 +45,29 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     plan = url_filter.judge_urls(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def _name(url):
+    return F.regexp_replace(url_filter.host(url), r"^(www|m|blog)\.|\.example\.(com|net|org)$", "")
+
+
+def test_recall_and_precision_on_unseen_hosts(spark):
+    """Every host of the label table is judged by a model that never saw it."""
+    rows = url_filter.labelled_urls(spark).withColumn("name", _name(F.col("url"))).withColumn("fold", F.pmod(F.xxhash64("name"), F.lit(3))).cache()
+    assert rows.count() == rows.select("name").distinct().count() > 600
+    hit = said = wanted = 0
+    for fold in range(3):
+        test = rows.filter(F.col("fold") == fold).withColumn("page_id", F.xxhash64("name"))
+        got = url_filter.judge_urls(test, rows.filter(F.col("fold") != fold).select("url", "label"), rules=()).join(test.select("page_id", "label"), "page_id")
+        x = got.agg(F.count_if((F.col("verdict") == "block") & (F.col("label") == 1)), F.count_if(F.col("verdict") == "block"), F.sum("label")).first()
+        hit, said, wanted = hit + x[0], said + x[1], wanted + x[2]
+    assert hit >= 0.9 * wanted and hit >= 0.9 * said
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1", "check_s", "check_l", "check_h"])
+def test_no_label_host_is_judged(spark, sf):
+    path = f"/root/testdata/{sf}/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table")
+    pages = spark.read.parquet(path).select(_name(F.col("url")).alias("name")).distinct()
+    assert pages.join(url_filter.labelled_urls(spark).select(_name(F.col("url")).alias("name")), "name").count() == 0
