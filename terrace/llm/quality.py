@@ -127,7 +127,7 @@ def judge(data: np.ndarray, cut: np.ndarray, rules: Rules) -> tuple[list[np.ndar
         at = text.find(phrase.encode())
         while at >= 0:
             k = int(np.searchsorted(ls, at, "right")) - 1
-            if k >= 0 and at < le[k] and n[k] <= rules.boilerplate_words:
+            if k >= 0 and at + len(phrase) <= le[k] and n[k] <= rules.boilerplate_words:  # inside one line of one row
                 fails[k] = True
             at = text.find(phrase.encode(), at + 1)
     counts.append(np.bincount(row_of, weights=np.where(fails, n, 0), minlength=rows).astype(np.int64))
@@ -143,7 +143,8 @@ def measure(docs: DataFrame, rules: Rules = Rules(), clean: bool = False) -> Dat
     Words are runs of characters other than ASCII white space. base_failed: under 20 words, or over 30 % of the words
     in repeated 8-word windows. kept: not base_failed, and the line rules take no more than ``max_lost`` of the words.
     Null and empty texts have no words and fail; null stays null. Every row gives one row, whatever its id; other
-    columns stay, those of the result's names are replaced.
+    columns stay, those of the result's names are replaced. A row's result depends on its own text alone: no phrase, window or line runs
+    over the end of a text.
     """
     docs = docs.drop(*_COUNTS, "base_failed", "kept")
     names = docs.columns if clean else ["doc_id", "text"]

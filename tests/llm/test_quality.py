@@ -55,3 +55,14 @@ def test_lines_are_taken_out_and_columns_stay(spark):
     assert [tuple(r) for r in rows] == [(1, CLEAN + "\n", "de")]
     assert quality.keep_good(df).columns == df.columns
     assert quality.keep_good(df.limit(0)).count() == 0
+
+
+def test_a_row_alone_and_in_any_batch(spark):
+    """Boilerplate that would arise only from the end of one text and the beginning of the next fails nobody."""
+    texts = ["We went home. I wrote it in my log", " in the evening it rained.", CLEAN + "\nplease sign", "up and read", " more of it.", "x\nterms of", "service ends. " + CLEAN, CLEAN + " click", "here " + CLEAN, None, ""]
+    names = ("n_words", "n_lost_words", "n_repeat_words", "n_dup_lines", "base_failed", "kept")
+    alone = [tuple(run(spark, [(i, t)])[0][n] for n in names) for i, t in enumerate(texts)]
+    assert alone[0][1] == 0
+    for order in (range(len(texts)), reversed(range(len(texts)))):
+        df = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").coalesce(1)
+        assert {r.doc_id: tuple(r[n] for n in names) for r in quality.measure(df).collect()} == dict(enumerate(alone))
