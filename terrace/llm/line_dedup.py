@@ -1,7 +1,8 @@
 """Line dedup: lines that many documents share are dropped, except in one document.
 
-Lines are exploded as 128-bit hashes of their normalised form, counted by distinct document, and the
-drops of a document are joined back to it; the text itself is shuffled once, and only for documents that lose a line.
+Lines are exploded as 128-bit hashes of their normalised form, counted by distinct document, and the drops of a
+document are joined back to it. A bitmap of bounded size tells which documents may lose a line: only their texts are
+shuffled (all texts, once the bitmap is full), the others are read and handed on where they are.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import aside, stage
+from .tables import aside, bitmap_filter, stage
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _LINES = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
@@ -50,8 +51,9 @@ def line_keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
 def drop_lists(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """(doc_id, drop): the keys that a document loses, for documents that lose any."""
-    keys = line_keys(docs, min_chars)
-    shared = keys.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
+    keys = line_keys(docs.filter("doc_id IS NOT NULL"), min_chars)
+    # distinct (key, doc_id) first, then counts: rows of a hot key meet only after both have shrunk them
+    shared = keys.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
     shared = stage(shared.filter(F.col("n") >= min_docs).select("key", "keeper"))  # a plain side, so that Spark can split a hot key
     lost = keys.join(shared, "key").filter("doc_id <> keeper")
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
@@ -63,11 +65,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     A line's key is the line without ASCII white space at its ends, A-Z as a-z. Keys of at least ``min_chars`` code
     points that occur in ``min_docs`` documents lose all their lines, except in the document of the largest id.
     Null or empty text is one empty line and becomes empty; rows with a null id keep all lines and count nowhere;
-    every row counts as a document, so a repeated row counts each time, and rows of the largest id keep the line.
+    rows of equal id are one document: they count once and keep or lose a line together.
     Other columns stay; columns of the result's names are replaced. An empty table gives an empty one.
     """
     docs = docs.drop("__drop", "n_lines", "n_dropped")
-    return _rebuilt(docs, drop_lists(docs, min_docs, min_chars), min_chars)
+    drops = stage(drop_lists(docs, min_docs, min_chars).withColumnRenamed("drop", "__drop"))
+    near = bitmap_filter(docs, drops, "doc_id").join(drops, "doc_id", "left")
+    far = bitmap_filter(docs, drops, "doc_id", inside=False).withColumn("__drop", F.lit(None).cast("array<binary>"))
+    return _rebuilt(near.unionByName(far), min_chars)
 
 
 def clean_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
@@ -76,8 +81,7 @@ def clean_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     return dedup_lines(own, min_docs, min_chars).select(*own.columns).withColumnsRenamed(back)
 
 
-def _rebuilt(docs: DataFrame, drops: DataFrame, min_chars: int) -> DataFrame:
-    joined = docs.join(drops.withColumnRenamed("drop", "__drop"), "doc_id", "left")
+def _rebuilt(joined: DataFrame, min_chars: int) -> DataFrame:
     at = joined.columns.index("text")
     schema = joined.drop("__drop").schema.add("n_lines", "long").add("n_dropped", "long")
 

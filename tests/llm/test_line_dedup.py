@@ -12,11 +12,11 @@ def brute(docs, min_docs=3, min_chars=20):
     for doc, text in docs:
         for k in {key(x) for x in (text or "").split("\n")}:
             if len(k) >= min_chars and doc is not None:
-                holders.setdefault(k, []).append(doc)
+                holders.setdefault(k, set()).add(doc)
     out = []
     for doc, text in docs:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if doc is None or not (len(holders.get(key(x), [])) >= min_docs and max(holders[key(x)]) != doc)]
+        kept = [x for x in lines if doc is None or not (len(holders.get(key(x), ())) >= min_docs and max(holders[key(x)]) != doc)]
         out.append((doc, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=repr)
 
@@ -26,6 +26,7 @@ def test_against_brute_force(spark):
     pool = ["Ünï" * 7, "x" * 20, "y" * 19, "  A shared line of some length \t", "a SHARED line of some length", "é" * 20, "É" * 20, "", " ", "z" * 300]
     docs = [(i, "\n".join(rng.choices(pool, k=rng.randrange(6)))) for i in range(40)]
     docs += [(50, None), (51, ""), (None, "x" * 20), (52, "\n".join([pool[3]] * 500))]
+    docs += [(60, pool[1] * 2), (60, pool[1] * 2), (61, pool[1] * 2), (62, "v" * 30), (62, "v" * 30 + "\n"), (63, "v" * 30), (64, "v" * 30 + "\nw")]  # two and three documents
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "7 AS n_lines", "'k' AS key", "'d' AS drop")
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(df).collect()), key=repr)
     assert got == brute(docs)
