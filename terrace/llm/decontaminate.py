@@ -22,6 +22,7 @@ from .tables import SLOTS, aside, bitmap, known_small, stage
 
 GRAM = 5
 _HIT = "array<struct<start:int,len:int,key:binary>>"
+_HITS = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("key", pa.binary())]))
 
 
 def _window_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, span: int) -> list[bytes]:
@@ -70,8 +71,8 @@ def benchmark_windows(items: DataFrame, span: int = 10) -> DataFrame:
 _BENCH = pa.schema([("item_id", pa.int64()), ("n_words", pa.int32()), ("key", pa.binary()), ("print", pa.int64())])
 
 
-def candidates(docs: DataFrame, bits: np.ndarray, short: list[int], span: int = 10) -> DataFrame:
-    """(doc_id, n_words, hits): for each document the windows around fingerprints that the bitmap knows."""
+def _finder(docs: DataFrame, bits: np.ndarray, short: list[int], span: int):
+    """A function from bytes and row edges to the words of each row and, by row, the windows around known fingerprints."""
     known = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
     def seen(x: np.ndarray) -> np.ndarray:
@@ -95,18 +96,40 @@ def candidates(docs: DataFrame, bits: np.ndarray, short: list[int], span: int =
             found.setdefault(r, []).append({"start": x - int(first[r]), "len": k, "key": _window_keys(data, starts, ends, np.array([x]), k)[0]})
         return np.diff(first), found
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("key", pa.binary())])))])
+    return hits
+
+
+def candidates(docs: DataFrame, bits: np.ndarray, short: list[int], span: int = 10) -> DataFrame:
+    """(doc_id, n_words, hits): for each document the windows around fingerprints that the bitmap knows."""
+    hits = _finder(docs, bits, short, span)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", _HITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch["text"])
             for i, j in blocks(off):
                 counts, found = hits(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array([found.get(r) for r in range(j - i)], schema.field("hits").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array([found.get(r) for r in range(j - i)], _HITS)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_words long, hits {_HIT}")
 
 
+def with_hits(docs: DataFrame, bits: np.ndarray, short: list[int], span: int = 10) -> DataFrame:
+    """docs with ``__hits``: the windows around fingerprints that the bitmap knows, null without any."""
+    hits = _finder(docs, bits, short, span)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffers(batch["text"])
+            out: list[list[dict] | None] = [None] * batch.num_rows
+            for i, j in blocks(off):
+                for r, found in hits(data[off[i] : off[j]], off[i : j + 1] - off[i])[1].items():
+                    out[i + r] = found
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _HITS)], names=[*batch.schema.names, "__hits"])
+
+    return docs.mapInArrow(run, docs.withColumn("__hits", F.lit(None).cast(_HIT)).schema)
+
+
 def covered(spans: str) -> F.Column:
     """SQL for the number of places covered by an array of (start, len)."""
     return F.expr(
@@ -115,6 +138,18 @@ def covered(spans: str) -> F.Column:
     )
 
 
+def _benchmark(items: DataFrame, span: int) -> tuple[np.ndarray, list[int], DataFrame]:
+    """The bitmap of the items' fingerprints, the lengths of short items, and the (key, item_id) of all windows."""
+    bench = benchmark_windows(items, span)
+    bits = np.zeros(SLOTS, bool)
+    for row in bitmap(bench.filter("print IS NOT NULL"), F.col("print")).collect():  # 256 rows of 4 KB at most
+        part = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        at = (row["bucket"] - 1) * len(part)
+        bits[at : at + len(part)] = part.astype(bool)[: SLOTS - at]
+    short = [r[0] for r in bench.filter(f"key IS NOT NULL AND n_words < {span}").select("n_words").distinct().collect()]  # span - 1 at most
+    return bits, sorted(short), known_small(bench.filter("key IS NOT NULL").select("key", "item_id").distinct())
+
+
 def contamination(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, items): per document its words, those inside a benchmark window, and the items met.
 
@@ -123,15 +158,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFram
     hits; null item ids count as no item, though their windows mark words; an item that occurs twice counts once;
     each document row gives one result row, also if rows repeat. Without items nothing is hit.
     """
-    bench = benchmark_windows(items, span)
-    bits = np.zeros(SLOTS, bool)
-    for row in bitmap(bench.filter("print IS NOT NULL"), F.col("print")).collect():  # 256 rows of 4 KB at most
-        part = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
-        at = (row["bucket"] - 1) * len(part)
-        bits[at : at + len(part)] = part.astype(bool)[: SLOTS - at]
-    short = [r[0] for r in bench.filter(f"key IS NOT NULL AND n_words < {span}").select("n_words").distinct().collect()]  # span - 1 at most
-    windows = known_small(bench.filter("key IS NOT NULL").select("key", "item_id").distinct())
-    rows = candidates(docs, bits, sorted(short), span).withColumn("row", F.monotonically_increasing_id())
+    bits, short, windows = _benchmark(items, span)
+    rows = candidates(docs, bits, short, span).withColumn("row", F.monotonically_increasing_id())
     each = rows.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "n_words", "hit.*")
     met = each.join(windows.withColumn("met", F.lit(True)), "key", "left")
     out = met.groupBy("row", "doc_id", "n_words").agg(
@@ -143,9 +171,15 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFram
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFrame:
     """The rows of docs that share no window with the items; their columns stay as they are.
 
-    Each row is judged by its own text: null and repeated ids are no exception.
+    Each row is judged by its own text: null and repeated ids are no exception. Rows without a fingerprint of the items
+    are kept where they are; only rows with one may be shuffled.
     """
-    own, back = aside(docs, ("__row",))
-    rows = stage(own.withColumn("__row", F.monotonically_increasing_id()))  # written, so that both reads see the same numbers
-    bad = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), items, span).filter("n_hit > 0").select(F.col("doc_id").alias("__row"))
-    return rows.join(bad, "__row", "left_anti").drop("__row").withColumnsRenamed(back).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, back = aside(docs, ("__row", "__hits"))
+    bits, short, windows = _benchmark(items, span)
+    ids = own.withColumn("__row", F.monotonically_increasing_id())
+    rows = stage(with_hits(ids, bits, short, span))  # written, so that all reads see the same numbers
+    maybe = rows.filter("__hits IS NOT NULL")
+    met = maybe.select("__row", F.explode("__hits").alias("hit")).select("__row", "hit.key").join(windows.select("key").distinct(), "key", "left_semi")
+    clean = maybe.join(known_small(stage(met.select("__row").distinct())), "__row", "left_anti")
+    out = rows.filter("__hits IS NULL").unionByName(clean).drop("__row", "__hits").withColumnsRenamed(back)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
