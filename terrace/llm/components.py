@@ -11,14 +11,14 @@ from .tables import stage
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the node's least neighbour (or itself)."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    least = stage(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))  # a plain side, so that Spark can split a hub
     return both.filter("b > a").join(least, "a").filter("m <> b").select(F.col("m").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    least = down.groupBy("b").agg(F.min("a").alias("m"))
+    least = stage(down.groupBy("b").agg(F.min("a").alias("m")))
     moved = down.join(least, "b").filter("a <> m").select(F.col("m"), F.col("a").alias("x"))
     return least.select(F.col("m").alias("a"), "b").union(moved.select(F.col("m").alias("a"), F.col("x").alias("b"))).distinct()
 

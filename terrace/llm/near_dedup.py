@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import _GOLD, blocks, buffers, gram_hashes, gram_rows, mix, word_hashes, word_spans
 from .components import connected
-from .tables import keep_keys, stage
+from .tables import aside, bitmap_filter, keep_keys, stage
 
 _U = np.uint64
 REGISTERS = 256
@@ -38,6 +38,8 @@ SMALL_BUCKET = 24
 MARGIN = 5.16
 #: Members of a large bucket that one task compares with as many others at a time.
 PART = 256
+#: Members of one bucket that are dealt to one task where a bucket's row is joined to its members.
+DEAL = 1024
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -208,7 +210,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
     pairs = stage(pairs.select("a", "b"))
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    texts = keep_keys(docs.select("doc_id", "text"), wanted, "doc_id")
+    texts = stage(keep_keys(docs.select("doc_id", "text"), wanted, "doc_id"))  # a plain side, so that Spark can split a document of many pairs
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -254,7 +256,7 @@ def _with(pairs: DataFrame, info: DataFrame, *names: str) -> DataFrame:
     return pairs
 
 
-def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
     Words are runs of characters other than ASCII white space, A-Z as a-z; a set has the distinct runs of 5 words, or
@@ -281,7 +283,7 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes, enough to connect every component."""
     least = least_estimate(percent)
     entries = classes.select("doc_id", F.explode("bands").alias("band"))
-    sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = stage(entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = stage(entries.join(sizes, "band"))
     info = classes.select("doc_id", "n", "regs")
 
@@ -295,9 +297,9 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     hot = large.select("doc_id").distinct()
     own = own_shingles(keep_keys(docs, hot, "doc_id"))
     rated = hot.join(classes.select("doc_id", "n"), "doc_id").join(own, "doc_id", "left").fillna(0, ["own"]).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
-    large = stage(large.join(rated, "doc_id"))
-    centre = large.groupBy("band").agg(F.min_by("doc_id", F.struct(F.col("own") / F.col("n"), "doc_id")).alias("a"))
-    star = large.join(centre, "band").filter("a <> doc_id").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+    large = stage(large.join(rated, "doc_id").withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / DEAL))))
+    centre = large.groupBy("band").agg(F.min_by("doc_id", F.struct(F.col("own") / F.col("n"), "doc_id")).alias("a"), F.first("size").alias("size"))
+    star = large.join(_dealt(centre, DEAL, "deal").drop("size"), ["band", "deal"]).filter("a <> doc_id").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
     rated = large.select("doc_id", "n", "own").distinct()
     star = estimate(_with(_with(star, rated, "n", "own").filter(_may_link(percent)).select("a", "b"), info, "n", "regs"), least)
 
@@ -307,19 +309,30 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     joined = stage(connected(first))
     rest = _apart(near.select("a", "b").join(best, ["a", "b"], "left_anti"), joined)
     of = large.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    counted = of.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = counted.groupBy("band").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    of = of.join(info.select("doc_id", "regs"), "doc_id").join(main, "band")
-
-    def parts(rows: DataFrame, name: str) -> DataFrame:
-        at = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / PART))
-        return rows.groupBy("band", at.alias(f"part_{name}")).agg(F.collect_list(F.struct("doc_id", "component", "n", "own", "regs")).alias(name))
-
-    late = compare_parts(parts(of.filter("component <> main"), "xs").join(parts(of, "ys"), "band"), percent, least)
+    counted = of.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"))
+    main = counted.groupBy("band").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), (F.sum("c") - F.max("c")).alias("others"), F.first("size").alias("size")).filter("others > 0")
+    of = of.drop("size").join(_dealt(main, DEAL, "deal"), ["band", "deal"])
+    # one row for each two parts that meet, dealt by both: a hot bucket is spread over as many tasks as it has such rows
+    x, y = F.ceil(F.col("others") / PART), F.ceil(F.col("size") / PART)
+    outside = _parts(of.filter("component <> main").withColumn("x", F.pmod(F.xxhash64("doc_id"), x)), info, "x", "xs", F.sequence(F.lit(0), y - 1).alias("y"))
+    every = _parts(of.withColumn("y", F.pmod(F.xxhash64("doc_id"), y)), info, "y", "ys", F.sequence(F.lit(0), x - 1).alias("x"))
+    meet = outside.withColumn("y", F.explode("y")).join(every.withColumn("x", F.explode("x")), ["band", "x", "y"])
+    late = compare_parts(meet, percent, least)
     second = confirm(rest.union(late).distinct(), docs, percent)
     return first.union(second)
 
 
+def _dealt(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """Rows of buckets repeated for each ``most`` of their ``size`` members, numbered by ``name``."""
+    return rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / most) - 1)))
+
+
+def _parts(members: DataFrame, info: DataFrame, part: str, name: str, others: Column) -> DataFrame:
+    """(band, part, others, name): the members of each part of a bucket, and the parts that it meets."""
+    rows = members.join(info.select("doc_id", "regs"), "doc_id")  # dealt by document, so that the grouping deals by band and part anew
+    return rows.groupBy("band", part).agg(F.collect_list(F.struct("doc_id", "component", "n", "own", "regs")).alias(name), F.first(others).alias("y" if part == "x" else "x"))
+
+
 def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     for side in ("a", "b"):
@@ -327,10 +340,18 @@ def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.filter("ca <> cb").select("a", "b")
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs with one document of each near-duplicate component, that of the least id; the columns stay as they are.
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs with one row of each near-duplicate component, that of the least id; the columns stay as they are.
 
-    Documents without an id and texts without words stay; of rows with equal ids all stay or go together.
+    Every row is a document of its own: of rows with equal ids and texts one stays, and one without an id stays only if
+    its component has none with an id. Texts without words stay.
     """
-    lost = near_components(docs, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, back = aside(docs, ("__row",))
+    rows = stage(own.withColumn("__row", F.monotonically_increasing_id()))  # written, so that all reads see the same numbers
+    found = stage(near_components(rows.select(F.col("__row").alias("doc_id"), "text"), percent).withColumnsRenamed({"doc_id": "__row"}))
+    groups = found.join(found.filter("NOT kept").select("component_id").distinct(), "component_id", "left_semi").select("__row", "component_id")
+    ids = keep_keys(rows.select("__row", "doc_id"), groups, "__row").join(groups, "__row")
+    first = stage(ids.groupBy("component_id").agg(F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("__row")))
+    lost = stage(groups.select("__row").join(first, "__row", "left_anti"))
+    out = bitmap_filter(rows, lost, "__row").join(lost, "__row", "left_anti").unionByName(bitmap_filter(rows, lost, "__row", inside=False))
+    return out.drop("__row").withColumnsRenamed(back).select(*[F.col(f"`{c}`") for c in docs.columns])

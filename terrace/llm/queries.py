@@ -24,7 +24,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_components(table(spark, sf_dir, "documents"))
+    return near_dedup.near_components(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

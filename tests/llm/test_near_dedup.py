@@ -34,7 +34,7 @@ def brute(docs, percent=85):
 
 def run(spark, docs):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS n", "'b' AS bands", "'s' AS size")
-    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(df).collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(df, percent=85).collect()}
 
 
 def mutated(rng, words, share):
@@ -52,6 +52,9 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, docs) == brute(docs)
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 3)
     assert run(spark, docs) == brute(docs)
+    monkeypatch.setattr(near_dedup, "PART", 7)
+    monkeypatch.setattr(near_dedup, "DEAL", 5)
+    assert run(spark, docs) == brute(docs)
 
 
 def test_nulls_and_repeats(spark):
@@ -74,3 +77,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200), (None, 3)]
     got = {r.id: r.component for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = "a b c d e f g h", "p q r s t u v w", "one more text without any copy at all"
+    rows = [(7, a, "x"), (7, a, "y"), (None, a, "z"), (9, a, "u"), (None, b, "first"), (None, b, "first"), (4, c, "c"), (4, b + " other words of length", "d"), (1, None, "n"), (1, None, "n"), (None, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string")
+    got = sorted((tuple(r) for r in near_dedup.keep_one(df).collect()), key=repr)
+    left = [r for r in got if r[1] not in (a, b)]
+    assert left == sorted([(4, c, "c"), (4, b + " other words of length", "d"), (1, None, "n"), (1, None, "n"), (None, "", "e")], key=repr)
+    assert [(r[0], r[1]) for r in got if r[1] in (a, b)] == [(7, a), (None, b)]
+    assert near_dedup.keep_one(df.limit(0)).count() == 0
