@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, buffers, mix
-from .cutting import cut_out
+from .cutting import cut_out, keyed
 from .tables import stage
 
 WINDOW = 32
@@ -52,44 +52,47 @@ def cuts(places: list[int], end: int, least: int, most: int) -> list[int]:
 
 
 def chunks(docs: DataFrame, bits: int = 5, least: int = 48, most: int = 1024) -> DataFrame:
-    """(doc_id, pos, size, digest): the chunks of every text, about ``least + 2**bits`` bytes each."""
-    schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("size", pa.int32()), ("digest", pa.binary())])
+    """(doc_id, version, pos, size, digest): the chunks of every text of ``keyed`` docs, about ``least + 2**bits`` bytes each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int64()), ("size", pa.int32()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch["text"])
-            ids = batch["doc_id"].to_pylist()
+            ids, versions = batch["doc_id"].to_pylist(), batch["version"].to_pylist()
             for i, j in blocks(off):
                 part, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 raw = part.tobytes()
                 free = np.flatnonzero(gear(part) >> np.uint32(32 - bits) == 0) + 1
                 edge = np.searchsorted(free, cut, "right")
-                doc, pos, size, digest = [], [], [], []
+                doc, version, pos, size, digest = [], [], [], [], []
                 for r in range(j - i):
                     base, end, a = int(cut[r]), int(cut[r + 1]), 0
                     places = free[edge[r] : edge[r + 1]]
                     places = places[places >= base + WINDOW] - base  # the hash has seen this text alone
                     for b in cuts(places.tolist(), end - base, least, most):
                         doc.append(ids[i + r])
+                        version.append(versions[i + r])
                         pos.append(a)
                         size.append(b - a)
                         digest.append(xxhash.xxh3_128_digest(raw[base + a : base + b]))
                         a = b
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(version, pa.int64()), pa.array(pos, pa.int64()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos long, size int, digest binary")
+    return docs.mapInArrow(run, "doc_id long, version long, pos long, size int, digest binary")
 
 
 def remove_chunks(docs: DataFrame, bits: int = 5, least: int = 48, most: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each text as UTF-8 bytes without chunks that occur earlier.
 
-    Earlier is by (doc_id, place). Chunks shorter than ``least`` (only the last of a text can be) always stay. Null and
-    empty texts have no chunks; rows of equal id are taken as one document; rows with a null id take no part and keep
-    all their bytes. Other columns are left out.
+    Earlier is by (doc_id, place), and for texts of one id by a hash of the text first. Chunks shorter than ``least``
+    (only the last of a text can be) always stay. Null and empty texts have no chunks; rows of equal id and text are
+    one document and lose the same; rows with a null id take no part and keep all their bytes. Other columns are left
+    out; an empty table gives an empty one.
     """
-    docs = docs.select("doc_id", "text")
+    docs = keyed(docs)
+    place = F.struct("doc_id", "version", "pos")
     parts = chunks(docs.filter("doc_id IS NOT NULL"), bits, least, most).filter(F.col("size") >= least)
-    shared = stage(parts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("n > 1").select("digest", "first"))
-    later = parts.join(shared, "digest").filter(F.struct("doc_id", "pos") > F.col("first"))
-    spans = later.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("size")).alias("b"))).alias("spans"))
+    shared = stage(parts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("digest", "first"))
+    later = parts.join(shared, "digest").filter(place > F.col("first"))
+    spans = later.groupBy("doc_id", "version").agg(F.collect_list(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("size")).alias("b"))).alias("spans"))
     return cut_out(docs, stage(spans))

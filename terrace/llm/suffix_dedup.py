@@ -1,14 +1,21 @@
 """Suffix-array dedup: remove every byte inside a string of ``span`` bytes that starts anywhere else too.
 
-A depth-limited radix sort orders suffixes only through their first ``span`` bytes, and only as far as groups have
-more than one member; the groups left at the end are exactly the repeated strings. The passes are Spark shuffles:
-
-1. First digit: the string's minimiser, the ``ANCHOR``-byte gram of least hash inside it. Equal strings have equal
-   minimisers at equal places, so only anchors that occur twice go on; one anchor stands for many neighbouring suffixes.
-2. Second digit: the bytes around the anchor. Anchors with equal surroundings are one row with a count.
-3. Last digits: inside a group of equal anchors the suffixes are sorted by place and content of their ``span`` bytes.
-
-Groups of very many different surroundings are dealt over tasks and their suffixes counted by a last shuffle.
+A depth-limited radix sort orders suffixes only through their first ``span`` bytes, most significant digit first, and
+goes on only with groups of more than one member; the groups left at full depth are exactly the repeated strings.
+
+The suffixes are taken at anchors: the ``ANCHOR``-byte gram of least hash inside a string is the same, at the same
+place, in all equal strings, so strings can only be equal if their anchors are. One anchor stands for all strings
+around it, about 75 of them, and a row is shuffled for each anchor instead of for each byte. The passes are:
+
+1. Spark groups the anchors by their gram; anchors that occur once drop out.
+2. Anchors whose whole surroundings are equal become one row with a count.
+3. In each group the suffixes from the anchor on are sorted by digits of 8 bytes, pass by pass through ``span`` bytes,
+   and so are the prefixes before it, read backwards; a suffix that is alone after a pass takes no part in the next.
+   A string around the anchor is the pair of its prefix and its suffix, each cut off where the string ends: two strings
+   are equal where both are in the same group at that depth. Equal here means equal bytes.
+
+Groups of very many different surroundings are dealt over tasks; strings that are alone in their task are counted
+over all tasks by a 128-bit digest.
 """
 
 from __future__ import annotations
@@ -17,18 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BLOCK, blocks, buffers, mix, powers, sliding_min
-from .cutting import cut_out
-from .tables import bitmap_filter, stage
+from .cutting import cut_out, keep_texts, keyed
+from .tables import stage
 
 _U = np.uint64
 ANCHOR = 50
 #: Groups of more anchors than this are dealt over tasks by their surroundings.
 GROUP = 4000
-_GOLD = _U(0x9E3779B97F4A7C15)
+#: Rows of whole groups that one pass sorts together.
+TOGETHER = 4000
 
 
 def gram_bytes(data: np.ndarray, k: int) -> np.ndarray:
@@ -66,7 +75,7 @@ def anchors_of(data: np.ndarray, cut: np.ndarray, span: int) -> tuple[np.ndarray
 
 
 def anchors(docs: DataFrame, span: int) -> DataFrame:
-    """(doc_id, pos, h): the anchors of each document."""
+    """(doc_id, version, pos, h): the anchors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,84 +84,140 @@ def anchors(docs: DataFrame, span: int) -> DataFrame:
                 cut = off[i : j + 1] - off[i]
                 at, h = anchors_of(data[off[i] : off[j]], cut, span)
                 row = np.searchsorted(cut, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row + i)).cast(pa.int64()), pa.array((at - cut[row]).astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "pos", "h"])
+                of = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].take(of).cast(pa.int64()), batch["version"].take(of), pa.array((at - cut[row]).astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "version", "pos", "h"]
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, h long")
+    return docs.mapInArrow(run, "doc_id long, version long, pos int, h long")
 
 
 def surroundings(docs: DataFrame, span: int) -> DataFrame:
-    """(doc_id, pos, h, n, lo, around): the repeated anchors, each with the bytes that strings around it can reach.
+    """(doc_id, version, pos, h, n, lo, around): the repeated anchors, each with the bytes that strings around it can reach.
 
-    n: occurrences of the anchor; lo: bytes of ``around`` before the anchor.
+    n: occurrences of the anchor; lo: bytes of ``around`` before the anchor. docs come from ``keyed``.
     """
     found = anchors(docs, span)
     twice = stage(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    each = found.join(twice, "h").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h", "n")).alias("anchors"))
-    each = stage(each)
-    texts = bitmap_filter(docs.select("doc_id", "text"), each, "doc_id").join(each, "doc_id")
+    each = stage(found.join(twice, "h").groupBy("doc_id", "version").agg(F.collect_list(F.struct("pos", "h", "n")).alias("anchors")))
     reach = span - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, found in zip(batch["doc_id"].to_pylist(), batch["text"], batch["anchors"]):
+            for doc, version, text, found in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["text"], batch["anchors"]):
                 raw, flat = text.as_buffer().to_pybytes(), found.values
                 pos, h, n = (flat.field(k).to_numpy() for k in range(3))
+                pos, once = np.unique(pos, return_index=True)  # each row of equal id and text has brought its anchors
+                h, n = h[once], n[once]
                 for i in range(0, len(pos), 20_000):
                     p = pos[i : i + 20_000]
                     lo = np.minimum(p, reach)
                     around = [raw[a:b] for a, b in zip((p - lo).tolist(), (p + span).tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(p), pa.int64()), pa.array(p), pa.array(h[i : i + 20_000]), pa.array(n[i : i + 20_000]), pa.array(lo.astype(np.int32)), pa.array(around, pa.binary())],
-                        names=["doc_id", "pos", "h", "n", "lo", "around"],
-                    )
+                        [
+                            pa.array([doc] * len(p), pa.int64()), pa.array([version] * len(p), pa.int64()), pa.array(p), pa.array(h[i : i + 20_000]), pa.array(n[i : i + 20_000]),
+                            pa.array(lo.astype(np.int32)), pa.array(around, pa.binary()),
+                        ],
+                        names=["doc_id", "version", "pos", "h", "n", "lo", "around"],
+                    )
 
-    return texts.select("doc_id", "text", "anchors").mapInArrow(run, "doc_id long, pos int, h long, n long, lo int, around binary")
+    texts = keep_texts(docs, each)
+    return texts.select("doc_id", "version", "text", "anchors").mapInArrow(run, "doc_id long, version long, pos int, h long, n long, lo int, around binary")
 
 
-def _suffixes(around: pa.Array, lo: np.ndarray, h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of surroundings: a key of the string at each of the span - ANCHOR + 1 places, and which places hold one."""
+def radix_order(table: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of (group, bytes), and for each the bytes it shares with the row before it; -1 in a new group.
+
+    A most-significant-digit radix sort: each pass sorts by the next 8 bytes inside the groups that are left, and
+    a row that has become a group of its own takes no part in the passes after it.
+    """
+    rows, width = table.shape
+    order = np.argsort(group, kind="stable")
+    common = np.full(rows, width, np.int64)
+    common[0] = -1
+    common[1:][np.diff(group[order]) != 0] = -1
+    for at in range(0, width, 8):
+        new = common < width  # a row that begins a group
+        segment = np.cumsum(new)
+        live = np.flatnonzero(~new | np.append(~new[1:], False))
+        if not len(live):
+            break
+        digit = np.zeros((len(live), 8), np.uint8)
+        part = table[order[live], at : at + 8]
+        digit[:, : part.shape[1]] = part
+        digit = digit.view(">u8").ravel().astype(_U)
+        by = np.lexsort((digit, segment[live]))
+        order[live], digit = order[live][by], digit[by]
+        differ = np.flatnonzero((digit[1:] != digit[:-1]) & (segment[live][1:] == segment[live][:-1])) + 1
+        x = digit[differ] ^ digit[differ - 1]
+        common[live[differ]] = at + 7 - sum(((x >> _U(8 * k)) > 0).astype(np.int64) for k in range(1, 8))
+    return order, common
+
+
+def _names(order: np.ndarray, common: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, depths): the number of the group of each row at each depth; and the greatest depth at which a row isn't alone."""
+    rows = len(order)
+    begins = np.where(common[:, None] < depths[None, :], np.arange(rows, dtype=np.int32)[:, None], np.int32(0))
+    np.maximum.accumulate(begins, axis=0, out=begins)
+    names = np.empty_like(begins)
+    names[order] = begins
+    most = np.empty(rows, np.int64)
+    most[order] = np.maximum(common, np.append(common[1:], -1))
+    return names, most
+
+
+def equal_strings(around: pa.Array, lo: np.ndarray, group: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(again, valid, table): which of the span - ANCHOR + 1 strings of each row occur in another row of its group,
+    which exist at all, and the bytes, with the anchor in the same column of every row."""
     reach = span - ANCHOR
     data, off = buffers(around)
     size = np.diff(off)
-    width = reach + span
-    table = np.zeros((len(lo), width), _U)
-    row = np.repeat(np.arange(len(lo)), size)
-    column = np.arange(len(data)) - np.repeat(off[:-1] - (reach - lo), size)
-    up, down = powers(width + 1)
-    table[row, column] = (data.astype(_U) + _U(1)) * up[column]
-    sums = np.zeros((len(lo), width + 1), _U)
-    np.cumsum(table, axis=1, out=sums[:, 1:])
+    rows, width = len(lo), reach + span
+    table = np.zeros((rows, width), np.uint8)
+    row = np.repeat(np.arange(rows), size)
+    table[row, np.arange(len(data)) - np.repeat(off[:-1] - (reach - lo), size)] = data
     place = np.arange(reach + 1)
-    keys = (sums[:, span:] - sums[:, : reach + 1]) * down[: reach + 1]
-    keys = mix(keys + mix(h.view(_U)[:, None] + (place.astype(_U) * _GOLD)[None, :]))
-    return keys, (place >= (reach - lo)[:, None]) & (place + span <= (reach - lo + size)[:, None])
+    valid = (place >= (reach - lo)[:, None]) & (place + span <= (reach - lo + size)[:, None])
+    right, right_most = _names(*radix_order(table[:, reach:], group), ANCHOR + place)
+    left, left_most = _names(*radix_order(np.ascontiguousarray(table[:, :reach][:, ::-1]), group), reach - place)
+    some = valid & (ANCHOR + place <= right_most[:, None]) & (reach - place <= left_most[:, None])  # neither half is alone
+    r, j = np.nonzero(some)
+    again = np.zeros(valid.shape, bool)
+    if len(r):
+        keys = (j.astype(_U) << _U(56)) | (left[r, j].astype(_U) << _U(28)) | right[r, j].astype(_U)
+        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        again[r, j] = counts[inverse] > 1
+    return again, valid, table
 
 
 def order_groups(groups: DataFrame, span: int) -> DataFrame:
-    """(h, c, first, last, key, weight): for each surrounding the first and last place of a repeated string.
+    """(h, c1, c2, first, last, key, weight): for each surrounding the first and last place of a repeated string.
 
-    Rows come as (h, salt, c, n, lo, around, count) with groups together. In dealt groups a row with a key stands for
-    a string that may be repeated elsewhere; its weight is 2 if it is repeated here.
+    Rows come as (h, salt, c1, c2, n, lo, around, count) with groups together. In dealt groups a row with a key stands
+    for a string that may be repeated elsewhere; its weight is 2 if it is repeated here.
     """
 
     def solve(rows: pa.Table) -> list[pa.RecordBatch]:
-        h, c, lo, count = (rows[k].to_numpy() for k in ("h", "c", "lo", "count"))
+        h, salt, c1, c2, lo, count = (rows[k].to_numpy() for k in ("h", "salt", "c1", "c2", "lo", "count"))
         hot = rows["n"].to_numpy() > GROUP
-        keys, valid = _suffixes(rows["around"], lo, h, span)
-        ordered = np.sort(keys[valid])
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        again = np.zeros(keys.shape, bool)
-        if len(twice):
-            again = twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
-        again = (again | (count > 1)[:, None]) & valid
+        group = np.cumsum(np.append(True, (np.diff(h) != 0) | (np.diff(salt) != 0)))
+        again, valid, table = equal_strings(rows["around"], lo, group, span)
+        again |= (count > 1)[:, None] & valid
         some = again.any(axis=1)
-        first, last = again.argmax(axis=1), keys.shape[1] - 1 - again[:, ::-1].argmax(axis=1)
-        out = [_rows(h[some], c[some], first[some], last[some], None, None)]
+        first, last = again.argmax(axis=1), again.shape[1] - 1 - again[:, ::-1].argmax(axis=1)
+        out = [_rows(h[some], c1[some], c2[some], first[some], last[some], None, None)]
         if hot.any():
+            raw, seeds = table.tobytes(), h.view(_U)
+
+            def digest(r: np.ndarray, j: np.ndarray) -> list[bytes]:
+                """Digests of strings with their anchor and place: a document's string isn't equal to itself around its next anchor."""
+                seed = (mix(seeds[r] + j.astype(_U))).tolist()
+                return [xxhash.xxh3_128_digest(raw[a : a + span], seed=x) for a, x in zip((r * table.shape[1] + j).tolist(), seed)]
+
             r, j = np.nonzero(valid & ~again & hot[:, None])
-            out.append(_rows(h[r], c[r], j, j, keys[r, j], np.ones(len(r), np.int64)))
-            known = np.unique(keys[again & hot[:, None]])
-            out.append(_rows(None, None, None, None, known, np.full(len(known), 2)))
+            out.append(_rows(h[r], c1[r], c2[r], j, j, digest(r, j), np.ones(len(r), np.int64)))
+            known = list(set(digest(*np.nonzero(again & hot[:, None]))))
+            out.append(_rows(None, None, None, None, None, known, np.full(len(known), 2)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +231,7 @@ def order_groups(groups: DataFrame, span: int) -> DataFrame:
             at = 0
             for cut in [*starts.tolist(), batch.num_rows]:
                 new_group = bool(held) and at < batch.num_rows and (held[-1]["h"][-1].as_py() != h[at] or held[-1]["salt"][-1].as_py() != salt[at])
-                if new_group and size >= 2000:
+                if new_group and size >= TOGETHER:
                     yield from solve(pa.Table.from_batches(held).combine_chunks())
                     held, size = [], 0
                 held.append(batch.slice(at, cut - at))
@@ -175,29 +240,34 @@ def order_groups(groups: DataFrame, span: int) -> DataFrame:
         if held:
             yield from solve(pa.Table.from_batches(held).combine_chunks())
 
-    return groups.mapInArrow(run, "h long, c long, first int, last int, key long, weight long")
+    return groups.mapInArrow(run, "h long, c1 long, c2 long, first int, last int, key binary, weight long")
 
 
-def _rows(h, c, first, last, key, weight) -> pa.RecordBatch:
+def _rows(h, c1, c2, first, last, key, weight) -> pa.RecordBatch:
     n = len(key) if h is None else len(h)
-    of = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x.view(np.int64) if x.dtype == _U else x).cast(t)
-    return pa.RecordBatch.from_arrays([of(h, pa.int64()), of(c, pa.int64()), of(first, pa.int32()), of(last, pa.int32()), of(key, pa.int64()), of(weight, pa.int64())], names=["h", "c", "first", "last", "key", "weight"])
+    of = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+    numbers = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()
+    return pa.RecordBatch.from_arrays([*(of(x, t) for x, t in zip((h, c1, c2, first, last), numbers)), of(key, pa.binary()), of(weight, pa.int64())], names=["h", "c1", "c2", "first", "last", "key", "weight"])
 
 
 def repeated_spans(docs: DataFrame, span: int = 200) -> DataFrame:
-    """(doc_id, spans): the byte ranges (a, b) of each document that lie in repeated strings, not yet merged."""
-    around = stage(surroundings(docs, span).withColumn("c", F.xxhash64("lo", "around")))
-    salted = around.withColumn("salt", F.when(F.col("n") > GROUP, F.pmod("c", F.ceil(F.col("n") / GROUP))).otherwise(F.lit(0)))
+    """(doc_id, version, spans): the byte ranges (a, b) of each document that lie in repeated strings, not yet merged.
+
+    docs come from ``keyed``.
+    """
+    of = ("h", "c1", "c2")
+    around = stage(surroundings(docs, span).withColumns({"c1": F.xxhash64("lo", "around"), "c2": F.xxhash64("around", "lo")}))
+    salted = around.withColumn("salt", F.when(F.col("n") > GROUP, F.pmod("c1", F.ceil(F.col("n") / GROUP))).otherwise(F.lit(0)))
     # equal surroundings meet before groups do, so that copies of one text are one row
-    distinct = salted.groupBy("h", "salt", "c", "n", "lo", "around").agg(F.count(F.lit(1)).alias("count"))
+    distinct = salted.groupBy("h", "salt", "c1", "c2", "n", "lo", "around").agg(F.count(F.lit(1)).alias("count"))
     groups = distinct.repartition("h", "salt").sortWithinPartitions("h", "salt")
     solved = stage(order_groups(groups, span))
     known = stage(solved.filter("key IS NOT NULL").groupBy("key").agg(F.sum("weight").alias("w")).filter("w > 1").select("key"))
-    late = solved.filter("key IS NOT NULL AND h IS NOT NULL").join(known, "key").select("h", "c", "first", "last")
+    late = solved.filter("key IS NOT NULL AND h IS NOT NULL").join(known, "key").select(*of, "first", "last")
     reach = span - ANCHOR
-    places = stage(solved.filter("key IS NULL").select("h", "c", "first", "last").union(late).groupBy("h", "c").agg((F.min("first") - reach).alias("a"), (F.max("last") - reach + span).alias("b")))
-    hits = around.select("doc_id", "pos", "h", "c").join(places, ["h", "c"])
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"))).alias("spans"))
+    places = stage(solved.filter("key IS NULL").select(*of, "first", "last").union(late).groupBy(*of).agg((F.min("first") - reach).alias("a"), (F.max("last") - reach + span).alias("b")))
+    hits = around.select("doc_id", "version", "pos", *of).join(places, [*of])
+    return hits.groupBy("doc_id", "version").agg(F.collect_list(F.struct((F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, span: int = 200) -> DataFrame:
@@ -205,9 +275,10 @@ def remove_repeats(docs: DataFrame, span: int = 200) -> DataFrame:
 
     A byte goes if a string of ``span`` bytes that holds it also starts anywhere else in the input, in the same
     document or another; overlapping strings count and all are judged on the input. kept is binary, since cuts may
-    split a character. Null and short texts keep what they have; rows of equal id are taken as the same text and are
-    each other's repeats; rows with a null id count for others and keep all their bytes. Other columns are left out.
+    split a character. Every row is a document of its own, whatever its id: null and repeated ids are no exception,
+    and rows of equal text are each other's repeats. Null and short texts keep what they have. Other columns are left
+    out; an empty table gives an empty one.
     """
-    docs = docs.select("doc_id", "text")
+    docs = keyed(docs)
     spans = stage(repeated_spans(docs, span))
     return cut_out(docs, spans)

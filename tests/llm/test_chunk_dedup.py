@@ -53,3 +53,13 @@ def test_nulls_and_nothing(spark):
 def test_gear_depends_on_its_window_alone():
     data = np.random.default_rng(1).integers(0, 256, 500, dtype=np.uint8)
     assert (chunk_dedup.gear(data)[40:] == chunk_dedup.gear(data[5:])[35:]).all()
+
+
+def test_repeated_ids(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh ijklmnop.") for _ in range(n))
+    a, b = noise(700), noise(900)
+    df = spark.createDataFrame([(1, a), (1, a), (1, b), (2, a), (2, noise(50) + b), (3, noise(400))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in chunk_dedup.remove_chunks(df).collect())
+    assert [x[2] for x in got if x[0] == 1] == [0, 0, 0] and got[-1] == (3, 400, 0)
+    assert all(x[2] > 400 for x in got if x[0] == 2)

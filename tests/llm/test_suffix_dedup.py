@@ -1,6 +1,8 @@
+import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from terrace.llm import suffix_dedup
@@ -32,6 +34,7 @@ def corpus(rng):
     docs += [(100 + i, other[: rng.randrange(150, 230)] + noise(5)) for i in range(30)]
     copy = noise(900)
     docs += [(200 + i, copy) for i in range(5)] + [(210, copy[:450] + "X" + copy[450:]), (211, noise(100) + "=" * 600 + noise(50)), (212, "=" * 420), (213, "ab" * 300)]
+    docs += [(None, None), (None, noise(250)), (None, copy[100:500]), (400, other + noise(40)), (400, noise(300)), (400, passage), (401, repeated := noise(320)), (401, repeated)]
     return docs + [(300, None), (301, ""), (302, noise(199)), (303, noise(200))]
 
 
@@ -42,5 +45,26 @@ def test_against_brute_force(spark, monkeypatch, group):
     assert run(spark, docs, 200) == brute(docs, 200)
 
 
+def test_a_task_holds_part_of_the_groups(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 2)
+    docs = corpus(random.Random(8))
+    assert run(spark, docs, 200) == brute(docs, 200)
+
+
+def test_radix_order():
+    rng = np.random.default_rng(3)
+    for width in (1, 7, 8, 20, 150):
+        table = rng.integers(0, 3, (200, width), dtype=np.uint8) if width < 20 else np.repeat(rng.integers(0, 255, (20, width), dtype=np.uint8), 10, axis=0)
+        if width >= 20:
+            table[rng.integers(0, 200, 60), rng.integers(0, width, 60)] = 0
+        group = np.sort(rng.integers(0, 5, 200))
+        order, common = suffix_dedup.radix_order(table, group)
+        rows = [(int(group[i]), table[i].tobytes()) for i in order]
+        assert rows == sorted((int(g), t.tobytes()) for g, t in zip(group, table))
+        for i, n in enumerate(common.tolist()):
+            same = -1 if i == 0 or rows[i][0] != rows[i - 1][0] else len(os.path.commonprefix([rows[i][1], rows[i - 1][1]]))
+            assert n == same
+
+
 def test_empty(spark):
     assert run(spark, [], 200) == []
