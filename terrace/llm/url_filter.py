@@ -26,7 +26,8 @@ ALLOWED_WORDS = (
     "library museum garden weather news history recipes travel school science music books mountain railway health kitchen village theatre university research bakery painting "
     "astronomy biology chemistry gallery archive football cycling sailing parish council hospital bridge harbour forest island orchestra poetry grammar physics maths geology "
     "wetter nachrichten garten schule wissen reise rezepte buch verein musee cuisine voyage jardin lecture histoire nouvelles ville noticias ciencia cocina viajes libros escuela "
-    "adage badminton adaptation loading roads leads sextant essex pharos betty alphabet spaniel seaside camshaft clicking-beetles"
+    "adage badminton adaptation loading roads leads sextant essex pharos betty alphabet spaniel seaside camshaft clicking-beetles "
+    "author north south youth truth other thoughts together method anthology thesis thermal thunder pathway"
 ).split()
 PARTNERS = ("online", "best", "top", "mega", "royal", "live", "club", "shop", "world", "deals", "zone", "city", "direct", "express", "plus", "home")
 _PREFIXES = ("", "www.", "m.", "blog.")
