@@ -42,7 +42,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
         elif name == "lines":
             assert sorted((r.doc_id, r.text) for r in rows) == sorted((d, t) for d, _, _, t in lines(before) if t.strip())
         elif name == "near":
-            assert {r.doc_id for r in rows} == {d for d, x in near(before).items() if x[2]}
+            assert {r.doc_id for r in rows} == {d for d, x in near(before, corpus_pipeline.NEAR_PERCENT).items() if x[2]}
         elif name == "benchmark":
             assert {r.doc_id for r in rows} == {d for d, x in windows(before, items).items() if not x[1]}
         else:
@@ -74,3 +74,32 @@ def test_near_stage_at_80_percent(spark):
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "", percent=80).collect()}
     assert got == kept(80) != kept(85)
     assert 0.8 - near_dedup.least_estimate(80) > 5 * 0.025 and near_dedup.band_count(80) == 28 and near_dedup.band_count(85) == 21
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Every row is judged for itself: contaminated and repeated rows go whatever their ids, clean ones stay."""
+    docs, items = corpus()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    mixed = [d if i % 3 else (None, *d[1:]) for i, d in enumerate(docs)] + [(3, docs[3][1], "en", "s", 0), (3, docs[30][1], "en", "s", 0), (None, docs[7][1] + " " + items[0][1], "en", "s", 0)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame(mixed, schema)
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        before = df.collect()
+        df = stage(step(spark, df, str(tmp_path)))
+        rows = df.collect()
+        if name == "near":
+            texts = {i: r.text for i, r in enumerate(before)}
+            wanted = {x[1] for x in near(list(texts.items()), corpus_pipeline.NEAR_PERCENT).values()}
+            assert len(rows) == len(wanted) and any(r.doc_id is None for r in rows)
+        elif name == "benchmark":
+            hit = windows([(i, r.text) for i, r in enumerate(before)], items)
+            assert sorted((r.doc_id, r.text) for r in rows if r.doc_id is not None) == sorted((r.doc_id, r.text) for i, r in enumerate(before) if not hit[i][1] and r.doc_id is not None)
+            assert len(rows) == sum(not x[1] for x in hit.values())
+    assert {r.doc_id for r in corpus_pipeline.packed(spark, df, "").collect()} == {r.doc_id for r in rows}
+
+
+def test_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
