@@ -70,7 +70,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     """
     docs = docs.drop("__drop", "n_lines", "n_dropped")
     drops = stage(drop_lists(docs, min_docs, min_chars).withColumnRenamed("drop", "__drop"))
-    near = bitmap_filter(docs, drops, "doc_id").join(drops, "doc_id", "left")
+    # drops grow with the corpus: always a shuffle join, so that the plan is the same at every size
+    near = bitmap_filter(docs, drops, "doc_id").join(drops.hint("merge"), "doc_id", "left")
     far = bitmap_filter(docs, drops, "doc_id", inside=False).withColumn("__drop", F.lit(None).cast("array<binary>"))
     return _rebuilt(near.unionByName(far), min_chars)
 
