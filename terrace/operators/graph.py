@@ -161,7 +161,8 @@ def seed_subgraph(edges: DataFrame, limit: int = 50, without: Sequence[str] = ("
     """Edges at the nodes of highest degree: max(10, limit / 3) seeds (of equals the least id)."""
     kept = edges.filter(~F.col("type").isin(*without)) if without else edges
     seeds = degree(kept, ()).orderBy(F.desc("degree"), "id").limit(max(10, limit // 3)).select("id")
-    return kept.join(F.broadcast(seeds.withColumnRenamed("id", "_s")), (F.col("src") == F.col("_s")) | (F.col("dst") == F.col("_s"))).drop("_s").dropDuplicates(["src", "dst", "type"])
+    at = lambda end: kept.join(F.broadcast(seeds.withColumnRenamed("id", end)), end, "left_semi").select(*kept.columns)  # noqa: E731  ``limit`` rows at most
+    return at("src").unionByName(at("dst")).dropDuplicates(["src", "dst", "type"])
 
 
 def nodes_of_type(nodes: DataFrame, kind: str, properties: Sequence[str]) -> DataFrame:

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from terrace.functions import numeric
 from terrace.functions.text import row_text
 
-#: Rows up to which a side is broadcast, after a count.
+#: Rows and bytes up to which a side is broadcast, after both are measured.
 SMALL_ROWS = 100_000
+SMALL_BYTES = 64 << 20
+#: Rows that a many-to-many join may give unless its caller says otherwise.
+MAX_PAIRS = 1_000_000_000
 
 
 def without_clashes(right: DataFrame, taken: Sequence[str], suffix: str = "_right") -> DataFrame:
@@ -24,9 +27,25 @@ def without_clashes(right: DataFrame, taken: Sequence[str], suffix: str = "_righ
     return right.withColumnsRenamed({c: f"{c}{suffix}" for c in right.columns if c.lower() in have})
 
 
+def is_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """True if df has at most so many rows and, written as JSON, bytes."""
+    seen = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return seen[0] <= rows and (seen[1] or 0) <= size
+
+
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count finds it small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, marked for broadcast if rows and bytes are measured to be few."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def check_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], max_rows: int | None) -> None:
+    """Raises if an equi-join on columns of one name would give more than ``max_rows``; counted from the sizes of the keys."""
+    if max_rows is None:
+        return
+    of = lambda df, name: df.groupBy(*on).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias(name))
+    pairs = of(left, "_a").join(of(right, "_b"), list(on)).agg(F.sum(F.col("_a").cast("double") * F.col("_b").cast("double"))).first()[0] or 0
+    if pairs > max_rows:
+        raise ValueError(f"the join would give {int(pairs)} rows; at most {max_rows} are allowed")
 
 
 def key_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "full_outer", suffix: str = "_right", numeric_keys: bool = False) -> DataFrame:
@@ -76,11 +95,13 @@ def chain_join(tables: dict[str, DataFrame], links: Sequence[Link]) -> DataFrame
     return out
 
 
-def common_key_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Inner join on the first column name that both tables have; an error if there is none."""
+def common_key_join(left: DataFrame, right: DataFrame, max_rows: int | None = MAX_PAIRS) -> DataFrame:
+    """Inner join on the first column name that both tables have; an error if there is none, or if it gives over ``max_rows``."""
     both = [c for c in left.columns if c in right.columns]
     if not both:
         raise ValueError("the tables share no column name")
+    keys = [df.select(F.col(both[0]).cast("string").alias("k")) for df in (left, right)]
+    check_pairs(*keys, ["k"], max_rows)
     return key_join(left, right, both[0], both[0], "inner")
 
 
@@ -99,8 +120,8 @@ def by_row_id(left: DataFrame, right: DataFrame, columns: Sequence[str], row_id:
 
 
 def best_match(pairs: DataFrame, left_id: str, right_id: str, score: str) -> DataFrame:
-    """The best pair of each left row; of equal scores the least right id."""
-    value = F.col(score)
+    """The best pair of each left row; of scores that are equal to twelve digits the least right id."""
+    value = F.round(F.col(score).cast("double"), 12)
     order = F.struct(value.isNull().alias("none"), F.when(F.isnan(value), float("-inf")).otherwise(-value).alias("s"), F.col(right_id).alias("r"))
     rest = [c for c in pairs.columns if c != left_id]
     best = pairs.groupBy(left_id).agg(F.min_by(F.struct(*rest), order).alias("_b"))
@@ -131,7 +152,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, left_id:
     """
     a = left.select(F.col(left_id).alias("_l"), numeric.unit(F.col(vector)).alias("_u"))
     b = right.select(F.col(right_id).alias("_r"), numeric.unit(F.col(vector)).alias("_v"))
-    few = [df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS for df in (a, b)]
+    few = [is_small(df) for df in (a, b)]
     met = a.crossJoin(F.broadcast(b)) if few[1] else F.broadcast(a).crossJoin(b) if few[0] else a.hint("shuffle_replicate_nl").crossJoin(b)
     sim = numeric.dot(F.col("_u"), F.col("_v"))
     pairs = met.withColumn("similarity", sim).filter(F.col("similarity") >= threshold - 1e-12)
@@ -205,19 +226,26 @@ def row_pair_best(links: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.max("score").alias("score"))
 
 
-def key_edges(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_key: str, right_key: str) -> DataFrame:
-    """(src, dst, matched_value): rows whose trimmed keys are equal; empty keys and ``nan`` match nothing; one edge a pair."""
+def key_edges(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_key: str, right_key: str, max_rows: int | None = MAX_PAIRS) -> DataFrame:
+    """(src, dst, matched_value): rows whose trimmed keys are equal; empty keys and ``nan`` match nothing; one edge a pair.
+
+    An error if the keys make more than ``max_rows`` pairs.
+    """
     clean = lambda df, i, k, name: df.select(F.col(i).alias(name), F.trim(F.col(k).cast("string")).alias("matched_value")).filter(~F.col("matched_value").isin("", "nan"))
-    return clean(left, left_id, left_key, "src").join(clean(right, right_id, right_key, "dst"), "matched_value").groupBy("src", "dst").agg(F.min("matched_value").alias("matched_value"))
+    a, b = clean(left, left_id, left_key, "src"), clean(right, right_id, right_key, "dst")
+    check_pairs(a, b, ["matched_value"], max_rows)
+    return a.join(b, "matched_value").groupBy("src", "dst").agg(F.min("matched_value").alias("matched_value"))
 
 
-def shared_value_edges(left: DataFrame, right: DataFrame, left_id: str, right_id: str, columns: Sequence[str]) -> DataFrame:
-    """(src, dst, relationship, value): rows of two tables that share a value in a column of the same name."""
+def shared_value_edges(left: DataFrame, right: DataFrame, left_id: str, right_id: str, columns: Sequence[str], max_rows: int | None = MAX_PAIRS) -> DataFrame:
+    """(src, dst, relationship, value): rows of two tables that share a value in a column of the same name; an error over ``max_rows``."""
 
     def long(df: DataFrame, i: str, name: str) -> DataFrame:
         return df.select(F.col(i).alias(name), *[F.col(c).cast("string").alias(c) for c in columns]).unpivot([name], list(columns), "column", "value").filter("value IS NOT NULL")
 
-    met = long(left, left_id, "src").join(long(right, right_id, "dst"), ["column", "value"])
+    a, b = long(left, left_id, "src"), long(right, right_id, "dst")
+    check_pairs(a, b, ["column", "value"], max_rows)
+    met = a.join(b, ["column", "value"])
     return met.select("src", "dst", F.concat(F.lit("SHARES_"), F.col("column")).alias("relationship"), "value")
 
 

@@ -254,11 +254,15 @@ def permutation_importance(model, table: DataFrame, features: Sequence[str], lab
     return {f: v / top if top else 0.0 for f, v in lost.items()}
 
 
-def apply_all(table: DataFrame, suggestions: DataFrame, target: str, row_id: str = "_rid") -> tuple[DataFrame, DataFrame]:
-    """Suggestions in order of confidence, each kept with the score before and after; gives the table and the log."""
+def apply_all(table: DataFrame, suggestions: DataFrame, target: str, row_id: str = "_rid", most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Suggestions in order of confidence (all, or the first ``most``), each kept with the score before and after; gives the table and the log.
+
+    Suggestions are few: a fixed number for each column or pair of columns.
+    """
     log, spark = [], table.sparkSession
     now = cross_score(*prepare(table, target), target, row_id=row_id)
-    for i, s in enumerate(suggestions.orderBy(F.desc("confidence"), "kind", "features").limit(20).collect()):
+    ordered = suggestions.orderBy(F.desc("confidence"), "kind", "features")
+    for i, s in enumerate((ordered if most is None else ordered.limit(most)).collect()):
         if not set(s["features"]) <= set(table.columns):
             log.append((i, s["kind"], ",".join(s["features"]), "failed", now, now))
             continue

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terrace.functions.numeric import normal_cdf, normal_quantile
 
 from . import metrics, quality, windows
+from .joins import small
 from .sets import augment
 
 
@@ -72,7 +73,7 @@ def generate(table: DataFrame, n: int, categorical: Sequence[str] = (), numbers:
     out = placed.select(*[value(i, c).alias(c) for i, c in enumerate(columns)])
     for c in categorical:
         names = codes[c].withColumnsRenamed({"value": f"_{c}", "code": "_code"})
-        out = out.join(F.broadcast(names), out[c].cast("long") == F.col("_code")).drop("_code", c).withColumnRenamed(f"_{c}", c)
+        out = out.join(small(names), out[c].cast("long") == F.col("_code")).drop("_code", c).withColumnRenamed(f"_{c}", c)
     return out.select(*columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -133,8 +134,13 @@ def spaced_sample(table: DataFrame, value: str, n: int = 1000) -> DataFrame:
 
 def folds(table: DataFrame, k: int, row_id: str = "_rid", label: str | None = None, seed: int = 42) -> DataFrame:
     """table with fold 0..k-1, dealt evenly within each label in an order that the seed sets."""
-    order = Window.partitionBy(label if label else F.pmod(F.xxhash64(F.col(row_id), F.lit(seed + 1)), F.lit(64))).orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id)
-    return table.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    mine = F.col(label) if label else F.lit(0)
+    rows = table.withColumn("_label", mine)
+    placed = running(rows, F.struct("_label", F.xxhash64(F.col(row_id), F.lit(seed)), F.col(row_id)), _at=F.lit(1))  # no task holds a whole label
+    counts = rows.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))  # one row a label
+    before = running(counts, F.col("_label"), _to=F.col("_n")).select(F.col("_label").alias("_l"), (F.col("_to") - F.col("_n")).alias("_before"))
+    joined = placed.join(small(before), F.col("_label").eqNullSafe(F.col("_l")))
+    return joined.withColumn("fold", ((F.col("_at") - F.col("_before") - 1) % k).cast("int")).drop("_label", "_l", "_at", "_before")
 
 
 def label_codes(table: DataFrame, column: str, order: str = "sorted", row_id: str = "_rid") -> DataFrame:
@@ -171,8 +177,14 @@ BLOCK = 512
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once: written to spark.checkpoint.dir, or kept by the executors where that is unset."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df, computed once and written to spark.checkpoint.dir; a folder of its own is set where that is unset and the master is local."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        top = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not top and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(top or tempfile.mkdtemp(prefix="terrace-"))
+    return df.checkpoint()
 
 
 def _exact(points: DataFrame, k: int) -> DataFrame:

@@ -9,21 +9,27 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.operators.windows import latest_per_group
+from terrace.operators.windows import kept, latest_per_group
 
 SCHEMA = "id string, parent_id string, level int, action string, decision string, created_at timestamp, row_count long, columns array<string>, path string"
 
 
 def paths(log: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(id, depth, path): for every node the ids from its root to itself, by a recursive query."""
-    name = f"lineage_{uuid.uuid4().hex}"
-    log.select("id", "parent_id").createOrReplaceTempView(name)
-    return log.sparkSession.sql(f"""
-        WITH RECURSIVE walk(id, depth, path) MAX RECURSION LEVEL {max_depth} AS (
-            SELECT id, 0, CAST(id AS STRING) FROM {name} WHERE parent_id IS NULL
-            UNION ALL
-            SELECT n.id, w.depth + 1, concat(w.path, '>', CAST(n.id AS STRING)) FROM walk w JOIN {name} n ON n.parent_id = w.id
-        ) SELECT id, depth, path FROM walk""")
+    """(id, depth, path): for every node that a root reaches, the ids from its root to itself.
+
+    Pieces of paths double in length each round, so a log of depth d takes about log2(d) joins, whatever its rows.
+    An error if a path is longer than ``max_depth``, or a cycle.
+    """
+    piece = kept(log.select("id", F.col("parent_id").alias("top"), F.col("id").cast("string").alias("path"), F.lit(0).alias("depth")))
+    length = 1
+    while piece.filter("top IS NOT NULL").limit(1).count():
+        if length > max_depth:
+            raise ValueError(f"the log is deeper than {max_depth}, or has a cycle")
+        above = piece.select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        longer = piece.filter("top IS NOT NULL").join(above, "top")
+        longer = longer.select("id", F.col("_top").alias("top"), F.concat("_path", F.lit(">"), "path").alias("path"), (F.col("depth") + F.col("_depth") + 1).alias("depth"))
+        piece, length = kept(piece.filter("top IS NULL").unionByName(longer)), 2 * length
+    return piece.select("id", "depth", "path")
 
 
 def branches(log: DataFrame) -> DataFrame:
@@ -36,10 +42,20 @@ def branch_points(log: DataFrame) -> DataFrame:
     return log.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("children")).filter("children > 1")
 
 
-def on_path(log: DataFrame, node: str) -> DataFrame:
-    """The rows of the log from the root to a node, with their depth."""
-    mine = paths(log).filter(F.col("id") == node).select(F.posexplode(F.split("path", ">")).alias("depth", "id"))
-    return log.join(F.broadcast(mine), "id")
+def on_path(log: DataFrame, node: str, max_depth: int = 1000) -> DataFrame:
+    """The rows of the log from the root to a node, with their depth: a walk up from the node, one row a step."""
+    name = f"lineage_{uuid.uuid4().hex}"
+    log.select("id", "parent_id").createOrReplaceTempView(name)
+    walk = log.sparkSession.sql(
+        f"""WITH RECURSIVE up(id, parent_id, height) MAX RECURSION LEVEL {max_depth} AS (
+            SELECT id, parent_id, 0 FROM {name} WHERE id = :node
+            UNION ALL
+            SELECT n.id, n.parent_id, up.height + 1 FROM up JOIN {name} n ON n.id = up.parent_id
+        ) SELECT id, height FROM up""",
+        args={"node": node},
+    )
+    mine = walk.agg(F.reverse(F.array_sort(F.collect_list(F.struct("height", "id")))).alias("way"))  # at most max_depth ids
+    return log.join(F.broadcast(mine.select(F.posexplode("way").alias("depth", "w")).select("depth", F.col("w.id").alias("id"))), "id")
 
 
 def latest_by_level(log: DataFrame, node: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from terrace.functions import numeric as N
 from terrace.functions import text as T
 from terrace.operators import catalog, categorize, discovery, extract, graph, joins, metrics, quality, sets, synth, windows
 from terrace.plans import levels, lineage
+from terrace.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -311,7 +313,7 @@ def spaced_sample(spark, d):
     return windows.spaced_sample(read(spark, d, "lineitem"), "l_extendedprice", 100)
 
 
-@query()
+@query("SELECT quality, CAST(f AS INTEGER) AS fold, (n - f + 4) // 5 AS n FROM (SELECT quality, count(*) AS n FROM labels GROUP BY 1), (SELECT unnest(range(5)) AS f) WHERE n > f")
 def stratified_folds(spark, d):
     return windows.folds(read(spark, d, "labels"), 5, "doc_id", "quality").groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n"))
 
@@ -494,16 +496,37 @@ def semantic_category(spark, d):
     return out.select("vec_id", "category", F.round("similarity", 5).alias("similarity"))
 
 
-@query()
+_SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _letters(text):
+    """An embedding that SQL can say too: how often each letter and digit occurs."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in _SIGNS])
+
+
+def _sql_letters(text: str) -> str:
+    return "[" + ", ".join(f"CAST(length(lower({text})) - length(replace(lower({text}), '{c}', '')) AS DOUBLE)" for c in _SIGNS) + "]"
+
+
+_ITEMS = f"(SELECT DISTINCT text AS y, {_sql_letters('text')} AS w FROM benchmark WHERE regexp_matches(lower(text), '[a-z0-9]'))"
+_TEXTS = f"(SELECT DISTINCT text AS x, {_sql_letters('text')} AS v FROM documents WHERE regexp_matches(lower(text), '[a-z0-9]'))"
+
+
+@query(f"""
+WITH p AS (SELECT x, y, round(list_cosine_similarity(v, w), 12) AS s FROM {_TEXTS}, {_ITEMS}), b AS (SELECT x, y, s FROM p WHERE s >= 0.9 QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) = 1)
+SELECT doc_id, item_id, round(s, 6) AS similarity FROM documents JOIN b ON text = x JOIN benchmark ON benchmark.text = y""")
 def semantic_text_join(spark, d):
-    a = read(spark, d, "part").select("p_partkey", "p_name")
-    b = read(spark, d, "part").select(F.concat("p_name", F.lit(" x")).alias("p_name")).distinct()
-    return joins.semantic_join(a, b, "p_name", "p_name", 0.7, best_only=True).select("p_partkey", "p_name", "p_name_right", "_semantic_similarity")
+    docs, items = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    out = joins.semantic_join(docs, items, "text", "item", 0.9, best_only=True, embed=_letters)
+    return out.select("doc_id", "item_id", F.round("_semantic_similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"""
+SELECT count(*) AS matches, round(avg(s), 6) AS mean_similarity FROM (SELECT x, max(s) AS s FROM (SELECT x, list_cosine_similarity(v, w) AS s FROM {_TEXTS}, {_ITEMS}) WHERE s >= 0.95 GROUP BY x)""")
 def semantic_match_summary(spark, d):
-    return joins.semantic_match_summary(read(spark, d, "part"), read(spark, d, "part").select(F.concat("p_name", F.lit("s")).alias("plural")), "p_name", "plural", 0.5)
+    out = joins.semantic_match_summary(read(spark, d, "documents"), read(spark, d, "benchmark").select(F.col("text").alias("item")), "text", "item", 0.95, embed=_letters)
+    return out.withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
 @query("SELECT r_regionkey, n_nationkey FROM region, nation")
@@ -535,15 +558,27 @@ def row_links(spark, d):
     return discovery.row_links(read(spark, d, "customer"), read(spark, d, "supplier"), "c_custkey", "s_suppkey", [("c_nationkey", "s_nationkey", 0.9), ("c_custkey", "s_suppkey", 0.5)])
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT c_custkey, {_sql_letters("(c_name || ' ' || c_nationkey)")} AS v FROM customer), s AS (SELECT s_suppkey, {_sql_letters("(s_name || ' ' || s_nationkey)")} AS w FROM supplier),
+p AS (SELECT c_custkey, s_suppkey, round(list_cosine_similarity(v, w), 12) AS x FROM c, s)
+SELECT c_custkey AS left_id, s_suppkey AS right_id, round(x, 6) AS similarity FROM p WHERE x >= 0.5 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY x DESC, s_suppkey) = 1""")
 def row_similarity_join(spark, d):
     c, s = read(spark, d, "customer"), read(spark, d, "supplier")
-    return joins.row_similarity_join(c, s, ["c_name", "c_nationkey"], ["s_name", "s_nationkey"], "c_custkey", "s_suppkey", 0.5)
+    out = joins.row_similarity_join(c, s, ["c_name", "c_nationkey"], ["s_name", "s_nationkey"], "c_custkey", "s_suppkey", 0.5, embed=_letters)
+    return out.withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(f"""
+SELECT doc_id AS src, item_id AS dst, round(s, 6) AS similarity FROM (SELECT x, y, list_cosine_similarity(v, w) AS s FROM {_TEXTS}, {_ITEMS}) JOIN documents ON text = x JOIN benchmark ON benchmark.text = y WHERE s >= 0.97""")
 def similarity_edges(spark, d):
-    return joins.similarity_edges(read(spark, d, "part"), read(spark, d, "region"), "p_partkey", "r_regionkey", "p_name", "r_name", 0.1)
+    out = joins.similarity_edges(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id", "text", "text", 0.97, embed=_letters)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT o_orderkey, c_custkey FROM orders FULL JOIN customer ON CAST(o_custkey AS DOUBLE) = CAST(c_custkey AS DOUBLE)")
+def numeric_full_outer_join(spark, d):
+    out = joins.key_join(read(spark, d, "orders"), read(spark, d, "customer").withColumn("c_custkey", F.format_string("%d.0", "c_custkey")), "o_custkey", "c_custkey", numeric_keys=True)
+    return out.select("o_orderkey", F.col("c_custkey").cast("double").cast("long").alias("c_custkey"))
 
 
 # Sets
@@ -830,6 +865,61 @@ def catalog_latest_score(spark, d):
     return catalog.with_latest_score(_catalog(spark, d), reports).select("id", "usability_score")
 
 
+# Sources and sinks: written to the shared folder and read back
+
+
+def _folder(spark):
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        windows.kept(spark.range(1))  # sets a folder where none is set
+    return f"{context.getCheckpointDir().rstrip('/')}/sink-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(spark, d):
+    path = _folder(spark)
+    sinks.to_csv(read(spark, d, "customer"), path)
+    return readers.read_sniffed(spark, path, schema="c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def parquet_round_trip(spark, d):
+    path = _folder(spark)
+    sinks.to_parquet(read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path, "o_orderstatus")
+    return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def json_pages(spark, d):
+    path = _folder(spark)
+    rows = read(spark, d, "supplier").groupBy((F.col("s_suppkey") % 7).alias("page")).agg(F.collect_list(F.struct("s_suppkey", "s_name", "s_nationkey")).alias("data"))
+    rows.select(F.to_json(F.struct("data")).alias("value")).repartition(7, "value").write.text(path)
+    pages = spark.read.text(path)
+    return readers.parse_payload(pages, "value", "s_suppkey long, s_name string, s_nationkey int")
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS ordered FROM orders")
+def detected_dates(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("ordered"))
+    return readers.detect_dates(o).select("o_orderkey", F.col("ordered").cast("timestamp_ntz").alias("ordered"))
+
+
+@query("SELECT 'Nation_' || s_nationkey AS dst, count(*) AS n FROM supplier GROUP BY 1")
+def graph_sink(spark, d):
+    path = _folder(spark)
+    sinks.graph(*_nation_graph(spark, d), path)
+    return spark.read.parquet(f"{path}/edges").groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def lineage_restore(spark, d):
+    path = _folder(spark)
+    lineage.save(read(spark, d, "nation"), path, "n1", None, 4, "load")
+    lineage.save(read(spark, d, "region").select("r_regionkey", "r_name"), path, "n2", "n1", 3, "link")
+    last = lineage.load_log(spark, path).filter("level = 3").first()["id"]
+    return lineage.restore(spark, path, last)
+
+
 # Lineage
 
 
@@ -858,3 +948,17 @@ WITH RECURSIVE n AS (SELECT * FROM {_PARENTS}), up AS (SELECT id, parent_id FROM
 SELECT CAST(o_orderkey % 5 AS INTEGER) AS level, last(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS id FROM orders JOIN up ON CAST(o_orderkey AS VARCHAR) = up.id GROUP BY 1""")
 def lineage_latest_by_level(spark, d):
     return lineage.latest_by_level(_log(spark, d), "1234").select("level", "id")
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT * FROM {_PARENTS}), up AS (SELECT id, parent_id, 0 AS h FROM n WHERE id = '1234' UNION ALL SELECT n.id, n.parent_id, h + 1 FROM up JOIN n ON n.id = up.parent_id)
+SELECT CAST(max(h) OVER () - h AS INTEGER) AS step, CAST(o_orderkey % 5 AS INTEGER) AS level, o_orderstatus AS action, o_orderpriority AS decision FROM up JOIN orders ON CAST(o_orderkey AS VARCHAR) = up.id""")
+def lineage_decisions(spark, d):
+    return lineage.decisions(_log(spark, d), "1234")
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT * FROM {_PARENTS}), w AS (SELECT id, 0 AS depth FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, w.depth + 1 FROM w JOIN n ON n.parent_id = w.id)
+SELECT depth, count(*) AS leaves FROM w WHERE id NOT IN (SELECT parent_id FROM n WHERE parent_id IS NOT NULL) GROUP BY 1""")
+def lineage_leaves(spark, d):
+    return lineage.branches(_log(spark, d)).groupBy("depth").agg(F.count(F.lit(1)).alias("leaves"))

@@ -70,7 +70,9 @@ def read_folder(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFra
 
 
 def read_pages(spark: SparkSession, path: str, schema: str, limit: int | None = None, offset: int = 0, order: Sequence[str] = ()) -> DataFrame:
-    """Rows of JSON documents that are ``{"data": [...]}`` or lists, with limit and offset over an order."""
+    """Rows of JSON documents that are ``{"data": [...]}`` or lists; limit and offset need an order, without which they would be arbitrary."""
+    if (offset or limit is not None) and not order:
+        raise ValueError("limit and offset need an order")
     text = spark.read.text(path, wholetext=True)
     rows = parse_payload(text, "value", schema)
     rows = rows.orderBy(*order) if order else rows
