@@ -56,7 +56,7 @@ def friendly_name(file_name: Column) -> Column:
     """The first three telling words of a file name, capitalised; short acronyms stay; ``Data`` if nothing is left."""
     name = F.regexp_replace(file_name, r"\.[^.]*$", "")
     for prefix in NAME_PREFIXES:
-        name = F.when(F.lower(name).startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 20)).otherwise(name)
+        name = F.regexp_replace(name, f"(?i)^{prefix}", "")  # names the column once, so that the expression stays small
     words = F.filter(F.split(F.regexp_replace(name, "_[a-f0-9]{6,}$", ""), r"[-_\s]+"), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(*NAME_SKIP))
     shown = F.transform(words, lambda w: F.when((F.upper(w) == w) & w.rlike("[A-Z]") & (F.length(w) <= 5), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))))
     return F.when(F.size(words) > 0, F.array_join(F.slice(shown, 1, 3), " ")).otherwise("Data")

@@ -362,10 +362,21 @@ def french_numbers(spark, d):
     return read(spark, d, "part").select("p_partkey", T.french_number(text).alias("value"))
 
 
-@query()
+_SPACE = r"[ \t\n\x0B\f\r]+"
+
+
+def _quoted(words):
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(replace(lower(trim(text)), '?', ''), '{_SPACE}'), lambda w: w <> '') AS w,
+  list_filter(regexp_split_to_array(replace(replace(lower(text), '?', ''), ',', ' '), '{_SPACE}'), lambda w: length(w) > 2 AND NOT list_contains({_quoted(T.STOP_WORDS)}, w)) AS k FROM conversations)
+SELECT conv_id, turn, coalesce(ends_with(rtrim(text), '?') OR list_has_any(w, {_quoted(T.QUESTION_WORDS)}) OR (list_has_any(w, {_quoted(T.QUESTION_VERBS)}) AND len(w) >= 4) OR len(w) >= 6, false) AS question,
+ array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i)[1:5], ' ') AS keywords FROM t""")
 def questions_and_keywords(spark, d):
     t = F.col("text")
-    return read(spark, d, "conversations").select("conv_id", "turn", T.is_question(t).alias("question"), T.keywords(t).alias("keywords"))
+    return read(spark, d, "conversations").select("conv_id", "turn", T.is_question(t).alias("question"), F.array_join(T.keywords(t), " ").alias("keywords"))
 
 
 @query("""
@@ -791,13 +802,92 @@ def local_outliers(spark, d):
     return quality.anomalies(p, ["p_size", "p_retailprice"]).select("_rid", "score", "percentile")
 
 
-@query()
-def suggestions(spark, d):
+_IMPORTANCE = (("p_size", 0.5), ("p_retailprice", 0.3), ("twice", 0.28), ("skewed", 0.2))
+_SUGGESTED = f"""
+v AS (SELECT p_size AS a, p_retailprice AS b, p_retailprice * 2 AS c, exp(p_size / 5) AS d FROM part),
+l AS (SELECT unnest([{", ".join(f"{{'f': '{c}', 'i': {i}, 'v': CAST({x} AS DOUBLE)}}" for (c, i), x in zip(_IMPORTANCE, "abcd"))}], recursive := true) FROM v),
+m AS (SELECT f, any_value(i) AS i, count(DISTINCT v) AS u, avg(v) AS m, var_pop(v) AS s2 FROM l GROUP BY f),
+k AS (SELECT l.f, any_value(m.i) AS i, any_value(u) AS u, CASE WHEN any_value(s2) > 0 THEN avg(pow(v - m, 3)) / pow(any_value(s2), 1.5) ELSE 0 END AS skew FROM l JOIN m ON l.f = m.f GROUP BY l.f),
+r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM v),
+pairs AS (SELECT unnest([{{'x': 'p_size', 'y': 'p_retailprice', 'ix': 0.5, 'iy': 0.3, 'r': ab}}, {{'x': 'p_size', 'y': 'twice', 'ix': 0.5, 'iy': 0.28, 'r': ac}}, {{'x': 'p_retailprice', 'y': 'twice', 'ix': 0.3, 'iy': 0.28, 'r': bc}}], recursive := true) FROM r),
+found AS (
+ SELECT 'transform' AS kind, f AS features, CASE WHEN skew < 0 THEN 'square' WHEN abs(skew) > 2 THEN 'log' ELSE 'sqrt' END AS transform,
+  CASE WHEN abs(skew) > 2 THEN least(5, abs(skew) * 0.5) ELSE least(3, abs(skew) * 0.3) END * i * 10 AS impact, CASE WHEN abs(skew) > 2 THEN 0.75 ELSE 0.6 END AS confidence FROM k WHERE u > 10 AND abs(skew) > 1
+ UNION ALL SELECT CASE WHEN ix - iy > 0.1 THEN 'remove' ELSE 'combine' END, CASE WHEN ix - iy > 0.1 THEN y ELSE x || ',' || y END, NULL, CASE WHEN ix - iy > 0.1 THEN 2 ELSE 3 END, CASE WHEN ix - iy > 0.1 THEN 0.7 ELSE 0.65 END FROM pairs WHERE abs(r) > 0.8)"""
+
+
+def _suggested(spark, d):
     part = read(spark, d, "part").select("p_size", "p_retailprice", (F.col("p_retailprice") * 2).alias("twice"), F.exp(F.col("p_size") / 5).alias("skewed"))
-    importance = spark.createDataFrame([("p_size", 0.5), ("p_retailprice", 0.3), ("twice", 0.28), ("skewed", 0.2)], "column string, importance double")
+    importance = spark.createDataFrame(list(_IMPORTANCE), "column string, importance double")
     return quality.suggest(quality.profile(part), metrics.correlations(part, ["p_size", "p_retailprice", "twice"]), importance)
 
 
+@query(f"WITH {_SUGGESTED} SELECT kind, features, transform, round(impact, 6) AS impact, CAST(confidence AS DOUBLE) AS confidence FROM found ORDER BY impact DESC, kind, features LIMIT 10")
+def suggestions(spark, d):
+    return _suggested(spark, d).select("kind", F.array_join("features", ",").alias("features"), "transform", F.round("impact", 6).alias("impact"), "confidence")
+
+
+@query(f"WITH {_SUGGESTED} SELECT least(20, CAST(sum(CASE kind WHEN 'transform' THEN 5 WHEN 'combine' THEN 8 ELSE 3 END * 0.6) AS DOUBLE)) AS gain FROM (SELECT * FROM found ORDER BY impact DESC, kind, features LIMIT 10)")
+def improvement_estimate(spark, d):
+    return quality.improvement(_suggested(spark, d), 40.0).select(F.round("gain", 8).alias("gain"))
+
+
+_GAPS = "(SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS p_size, p_retailprice FROM part)"
+
+
+@query(f"""
+WITH g AS {_GAPS}, f AS (SELECT p_partkey, coalesce(CAST(p_size AS DOUBLE), (SELECT median(p_size) FROM g)) AS p_size, CAST(p_size IS NULL AS INTEGER) AS p_size_missing,
+  sqrt(CASE WHEN (SELECT min(p_retailprice) FROM g) < 0 THEN p_retailprice - (SELECT min(p_retailprice) FROM g) ELSE p_retailprice END) AS p_retailprice FROM g)
+SELECT p_partkey, round(p_retailprice, 6) AS p_retailprice, p_size_missing,
+ round(((p_size - avg(p_size) OVER ()) / (stddev_samp(p_size) OVER () + 1e-8) + (p_retailprice - avg(p_retailprice) OVER ()) / (stddev_samp(p_retailprice) OVER () + 1e-8)) / 2, 6) AS combined FROM f""")
+def applied_suggestions(spark, d):
+    t = read(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")).alias("p_size"), "p_retailprice")
+    for kind, features, transform in (("transform", ["p_size"], "impute"), ("transform", ["p_retailprice"], "sqrt"), ("combine", ["p_size", "p_retailprice"], None), ("remove", ["p_size"], None)):
+        t = quality.apply_suggestion(t, kind, features, transform)
+    return t.select("p_partkey", "p_size_missing", *[F.round(c, 6).alias(n) for c, n in (("p_retailprice", "p_retailprice"), ("p_size_p_retailprice_combined", "combined"))])
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS _rid, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT _rid, coalesce(o_totalprice, (SELECT median(o_totalprice) FROM o)) AS o_totalprice, CASE WHEN o_orderstatus IS NULL THEN -1 ELSE CAST(dense_rank() OVER (ORDER BY o_orderstatus NULLS LAST) - 1 AS INTEGER) END AS code FROM o""")
+def prepared_features(spark, d):
+    o = read(spark, d, "orders")
+    target = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))  # a row without a target goes
+    t = o.select(F.col("o_orderkey").alias("_rid"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("o_totalprice"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), target.alias("t"))
+    return quality.prepare(t, "t")[0].select("_rid", "o_totalprice", F.col("o_orderstatus").alias("code"))
+
+
+@query("SELECT o_orderstatus, o_totalprice, count(*) AS n FROM (SELECT 'all' AS o_orderstatus, o_totalprice FROM orders) GROUP BY 1, 2")
+def permuted_values(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("_rid"), F.lit("all").alias("o_orderstatus"), "o_totalprice")
+    return quality.permuted(o, "o_totalprice").groupBy("o_orderstatus", "o_totalprice").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT unnest(list_filter([CASE WHEN n < 50 THEN 'few rows: ' || n END, 'only categorical features', CASE WHEN u > 100 THEN 'many categories in c_name: ' || u END, CASE WHEN s > 100 THEN 'many categories in c_mktsegment: ' || s END], lambda x: x IS NOT NULL)) AS warning
+FROM (SELECT count(*) AS n, count(DISTINCT c_name) AS u, count(DISTINCT c_mktsegment) AS s FROM customer)""")
+def quality_warnings(spark, d):
+    return quality.warnings(read(spark, d, "customer").select("c_name", "c_mktsegment", "c_acctbal"), "c_acctbal")
+
+
+@query("""
+WITH p AS (SELECT 100 - 100 * cume_dist() OVER (ORDER BY o_totalprice) AS top, count(*) OVER () AS n FROM orders)
+SELECT count(*) AS total, round(100.0 * count(*) / any_value(n), 6) AS percent, count(*) FILTER (top < 0.5) AS severe, count(*) FILTER (top >= 0.5 AND top < 1) AS moderate, count(*) FILTER (top >= 1) AS mild FROM p WHERE top <= 5""")
+def anomaly_totals(spark, d):
+    o = read(spark, d, "orders")
+    found = windows.percentile_of(o, "o_totalprice").filter("percentile >= 95")
+    return quality.anomaly_summary(found, o.count()).withColumn("percent", F.round("percent", 6))
+
+
+@query("""
+WITH m AS (SELECT avg(l_quantity) AS qa, stddev_pop(l_quantity) AS qs, avg(l_extendedprice) AS ea, stddev_pop(l_extendedprice) AS es, avg(l_discount) AS da, stddev_pop(l_discount) AS ds FROM lineitem),
+z AS (SELECT abs((l_quantity - qa) / qs) AS q, abs((l_extendedprice - ea) / es) AS e, abs((l_discount - da) / ds) AS d FROM lineitem, m)
+SELECT CASE WHEN q > e AND q > d THEN 'l_quantity' WHEN e > d THEN 'l_extendedprice' ELSE 'l_discount' END AS feature, count(*) AS n FROM z GROUP BY 1""")
+def anomaly_contributors(spark, d):
+    lines = read(spark, d, "lineitem").withColumn("_rid", F.struct("l_orderkey", "l_linenumber"))
+    return quality.top_contributors(quality.z_reasons(lines, ["l_quantity", "l_extendedprice", "l_discount"], top=1))
+
+
 @query()
 def dataset_assessment(spark, d):
     p = read(spark, d, "part").select(F.col("p_partkey").alias("_rid"), "p_size", "p_retailprice", "p_type")
@@ -962,3 +1052,98 @@ WITH RECURSIVE n AS (SELECT * FROM {_PARENTS}), w AS (SELECT id, 0 AS depth FROM
 SELECT depth, count(*) AS leaves FROM w WHERE id NOT IN (SELECT parent_id FROM n WHERE parent_id IS NOT NULL) GROUP BY 1""")
 def lineage_leaves(spark, d):
     return lineage.branches(_log(spark, d)).groupBy("depth").agg(F.count(F.lit(1)).alias("leaves"))
+
+
+# Guards, names and rows
+
+
+@query("SELECT c_name AS name FROM customer")
+def named_rows(spark, d):
+    c = read(spark, d, "customer")
+    return c.select(F.col(extract.name_column(c)).alias("name"))
+
+
+@query("SELECT trim(CASE doc_id % 4 WHEN 0 THEN ' nan ' WHEN 1 THEN '  ' ELSE ' ' || source || ' ' END) AS source, count(*) AS n FROM documents WHERE doc_id % 4 > 1 AND trim(source) NOT IN ('', 'nan') GROUP BY 1")
+def valid_key_rows(spark, d):
+    of = F.col("doc_id") % 4
+    keyed = read(spark, d, "documents").select(F.when(of == 0, " nan ").when(of == 1, "  ").otherwise(F.concat(F.lit(" "), "source", F.lit(" "))).alias("source"))
+    return extract.check_shape(extract.valid_keys(keyed, "source"), 1, 1).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH v AS (SELECT unnest([{'c': 'l_quantity', 'v': CAST(l_quantity AS DOUBLE)}, {'c': 'l_extendedprice', 'v': CAST(l_extendedprice AS DOUBLE)}, {'c': 'l_discount', 'v': CAST(l_discount AS DOUBLE)}], recursive := true) FROM lineitem)
+SELECT c AS "column", round(avg(v), 6) AS mean FROM v GROUP BY 1 ORDER BY var_samp(v) DESC LIMIT 2""")
+def most_varied_columns(spark, d):
+    rows = read(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")
+    kept = extract.top_variance(rows, extract.numeric_columns(rows), 2)
+    rows = extract.drop_features(rows, [c for c in rows.columns if c not in kept])
+    return rows.select(*[F.col(c).cast("double") for c in kept]).unpivot([], kept, "column", "v").groupBy("column").agg(F.round(F.avg("v"), 6).alias("mean"))
+
+
+@query("SELECT kind, count(*) AS n, round(sum(balance), 2) AS balance FROM (SELECT 'real' AS kind, c_acctbal AS balance FROM customer UNION ALL SELECT 'synthetic', s_acctbal FROM supplier) GROUP BY 1")
+def augmented_rows(spark, d):
+    real = read(spark, d, "customer").select(F.lit("real").alias("kind"), F.col("c_acctbal").alias("balance"))
+    made = read(spark, d, "supplier").select(F.col("s_acctbal").alias("balance"), F.lit("synthetic").alias("kind"))
+    return sets.augment(real, made).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1-%' THEN 'soon' WHEN o_orderpriority LIKE '5-%' THEN 'late' ELSE 'whenever' END AS haste FROM orders")
+def custom_dimension(spark, d):
+    known = C.Dimensions.built_in()
+    rule = lambda v: F.when(v.startswith("1-"), "soon").when(v.startswith("5-"), "late").when(v.startswith("3-"), "not a legal value")
+    known.add(C.Dimension("haste", ("soon", "late"), "whenever", rule))
+    return read(spark, d, "orders").select("o_orderkey", known.get("haste").classify(F.col("o_orderpriority")).alias("haste"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda w: length(w) > 2 AND NOT list_contains(['fr', 'en', 'de', 'la', 'le', 'les', 'du', 'des', 'et'], lower(w))) AS w FROM part)
+SELECT p_partkey, CASE WHEN len(w) > 0 THEN array_to_string(list_transform(w, lambda x: upper(x[1]) || lower(x[2:]))[1:3], ' ') ELSE 'Data' END AS friendly,
+ CASE WHEN regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') LIKE '%widget%' THEN 'Widget' WHEN regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') LIKE '%bolt%' THEN 'Bolt'
+  ELSE array_to_string(list_transform(list_filter(string_split(p_name, ' '), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), '') END AS entity FROM part JOIN n USING (p_partkey)""")
+def file_names(spark, d):
+    file = F.concat(F.lit("export_"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("_0a1b2c3d.csv"))
+    plain = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".csv"))
+    return read(spark, d, "part").select("p_partkey", T.friendly_name(file).alias("friendly"), T.map_file_to_entity(plain, ["Widget", "Bolt"]).alias("entity"))
+
+
+@query("SELECT p_partkey, unnest(['size', 'type']) AS key, unnest([CAST(p_size AS VARCHAR), p_type || '=x']) AS value FROM part")
+def filter_maps(spark, d):
+    said = F.concat(F.lit(" size = "), "p_size", F.lit(", nothing,type="), "p_type", F.lit("=x"))
+    return read(spark, d, "part").select("p_partkey", F.explode(T.filter_map(said)))
+
+
+@query(f"SELECT table_a || ' and ' || table_b || ' are linked through ' || column_a || ' and ' || column_b || ' by ' || matches || ' shared values' AS sentence FROM ({SQL['column_pair_overlaps']})")
+def relationship_sentences(spark, d):
+    found = QUERIES["column_pair_overlaps"](spark, d)
+    return found.select(T.relationship_sentence(F.col("table_a"), F.col("table_b"), F.col("column_a"), F.col("column_b"), F.lit("values"), F.col("matches")).alias("sentence"))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT o_orderstatus AS a, o_orderpriority AS b FROM orders), c AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS a, o_orderstatus AS b FROM orders)
+SELECT a AS src, b AS dst, 'RANKED' AS type FROM e UNION SELECT b, a, 'RANKED' FROM e UNION SELECT a, b, 'PLACED' FROM c""")
+def value_graph(spark, d):
+    return graph.relationship_graph(read(spark, d, "orders"), [("o_orderstatus", "o_orderpriority", "RANKED", True), ("o_custkey", "o_orderstatus", "PLACED", False)])[1]
+
+
+@query("""
+WITH a AS (SELECT * FROM lineitem WHERE l_linenumber <= 2), b AS (SELECT * FROM lineitem WHERE l_linenumber > 2)
+SELECT round((abs(x.p - y.p) + abs(x.q - y.q) + abs(x.r - y.r)) / 3, 8) AS correlation_error
+FROM (SELECT corr(l_quantity, l_extendedprice) AS p, corr(l_quantity, l_discount) AS q, corr(l_extendedprice, l_discount) AS r FROM a) x, (SELECT corr(l_quantity, l_extendedprice) AS p, corr(l_quantity, l_discount) AS q, corr(l_extendedprice, l_discount) AS r FROM b) y""")
+def correlation_errors(spark, d):
+    rows = read(spark, d, "lineitem")
+    out = metrics.correlation_error(rows.filter("l_linenumber <= 2"), rows.filter("l_linenumber > 2"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return out.withColumn("correlation_error", F.round("correlation_error", 8))
+
+
+@query("""
+SELECT name, score FROM (
+ SELECT name, 0.5 * 100 + 0.3 * CASE WHEN n < 50 THEN 30 WHEN n <= 10000 THEN 100 ELSE greatest(50, 100 - (n - 10000) / 1000) END + 0.2 * 75 AS score
+ FROM (SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders)) WHERE score >= 75""")
+def tables_worth_using(spark, d):
+    return quality.filter_tables({t: read(spark, d, t) for t in ("customer", "nation", "orders")}, 75.0).select("name", F.round("score", 6).alias("score"))
+
+
+@query("SELECT o_orderstatus, CASE WHEN n >= 10 THEN max(n) OVER () ELSE n END AS n FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
+def balanced_classes(spark, d):
+    made = synth.balanced(read(spark, d, "orders").select("o_orderstatus", "o_totalprice"), "o_orderstatus")
+    return made.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
