@@ -47,8 +47,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of the smallest chunk that op8 takes out: shorter ones are often single sentences that clean documents share.
+CHUNK_LEAST = 80
+
+
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_dedup.remove_chunks(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return chunk_dedup.remove_chunks(table(spark, sf_dir, "documents"), least=CHUNK_LEAST).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from terrace.llm import chunk_dedup
+from terrace.llm.queries import CHUNK_LEAST
 
 
 def split(raw, bits=5, least=48, most=1024):
@@ -63,3 +64,22 @@ def test_repeated_ids(spark):
     got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in chunk_dedup.remove_chunks(df).collect())
     assert [x[2] for x in got if x[0] == 1] == [0, 0, 0] and got[-1] == (3, 400, 0)
     assert all(x[2] > 400 for x in got if x[0] == 2)
+
+
+def test_the_query_s_least_size(spark):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefgh ijklmnop.") for _ in range(n))
+    sentence, passage = noise(70), noise(1500)
+    docs = [(i, noise(300) + (passage if i % 2 else sentence) + noise(300)) for i in range(20)]
+    rows = chunk_dedup.remove_chunks(spark.createDataFrame(docs, "doc_id long, text string"), least=CHUNK_LEAST).collect()
+    removed = {r.doc_id: r.n_removed for r in rows}
+    seen, want = set(), {}
+    for doc, text in docs:
+        raw, a, want[doc] = text.encode(), 0, 0
+        for b in split(raw, least=CHUNK_LEAST):
+            if b - a >= CHUNK_LEAST:
+                want[doc] += b - a if raw[a:b] in seen else 0
+                seen.add(raw[a:b])
+            a = b
+    assert removed == want
+    assert all(removed[i] == 0 for i in range(0, 20, 2)) and sum(removed.values()) > 0.6 * 9 * 1500
