@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +122,87 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM m GROUP BY doc_id
 """
 
+_MARKS, _SEPARATORS = "!#$%&*|<>?~^=_+", "|>-/*=_~#"
+
+
+def _quoted(words: Iterable[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _op6(r: quality.Rules = quality.Rules()) -> str:
+    """The counts and the line rules of op6; marks and ends of words are looked at in ASCII alone, as by the operator."""
+    split = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {split.format("t")} AS w FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, l, {split.format("l")} AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+k AS (SELECT doc_id, l, len(w) AS n, len(list_distinct(w)) AS u, translate(l, '{_UPPER}', '{_LOWER}') AS low,
+  len(list_filter(w, lambda x: regexp_matches(x, '[.!?][\\x00-\\x7F]?$'))) AS stops,
+  len(list_filter(w, lambda x: length(x) > 2 AND right(x, 2) IN ({_quoted(2 * m for m in _MARKS)}))) AS marked,
+  len(list_filter(w, lambda x: x IN ({_quoted(_SEPARATORS)}))) AS separators,
+  length(regexp_replace(l, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(l, '[^a-z]', '', 'g')) AS lower FROM l WHERE len(w) > 0),
+f AS (SELECT *, (n >= {r.sentence_words} AND stops = 0) OR marked > CAST({r.max_marked} AS DOUBLE) * n OR separators > CAST({r.max_separators} AS DOUBLE) * n
+  OR (n >= {r.sentence_words} AND upper > CAST({r.max_capitals} AS DOUBLE) * (upper + lower)) OR (n >= 30 AND u < CAST({r.min_distinct} AS DOUBLE) * n)
+  OR (n <= {r.boilerplate_words} AND len(list_filter([{_quoted(quality.BOILERPLATE)}], lambda p: contains(low, p))) > 0) AS fails FROM k),
+s AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup, CAST(coalesce(sum(n) FILTER (fails), 0) AS BIGINT) AS lost FROM f GROUP BY doc_id),
+o AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost, 0) AS n_lost_words
+  FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id LEFT JOIN s ON w.doc_id = s.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM o)
+SELECT *, NOT base_failed AND n_lost_words <= CAST({r.max_lost} AS DOUBLE) * n_words AS kept FROM b
+"""
+
+
+def _op7() -> str:
+    """Sentences, identifiers and rules of op7; the rules are tried one after another by a recursion over their numbers."""
+    space = "[\\x20\\x09-\\x0D]"
+    steps = [("'https?://[^\\x20\\x09-\\x0D]+'", "' '"), ("'\\b([vV])\\.'", "'\\1' || chr(2)"), (f"'([.!?;]){space}+'", "'\\1' || chr(1)"), (f"'\\n{space}*\\n'", "chr(1)")]
+    cut = "text"
+    for pattern, by in steps:
+        cut = f"regexp_replace({cut}, {pattern}, {by}, 'g')"
+    trigger, words = license_scan.TRIGGER.replace("(?iu)", "(?i)"), license_scan.TRIGGER.replace("(?iu)", "(?i)").replace(" ", "[^\\p{L}\\p{N}]+")
+    known = ", ".join(f"{{'key': '{key}', 'phrase': ' {phrase} '}}" for key, phrase in license_scan.SENTENCES)
+    rules = ", ".join(f"({i}, '{name}', '{''.join(f'<{x}>' for x in ids)}')" for i, (name, ids) in enumerate(license_scan.RULES, 1))
+    return f"""
+WITH RECURSIVE known AS (SELECT [{known}] AS t),
+rules AS (SELECT * FROM (VALUES {rules}) AS r(i, name, ids)),
+c AS (SELECT doc_id, replace(unnest(string_split({cut}, chr(1))), chr(2), '.') AS s FROM documents WHERE regexp_matches(text, '{words}')),
+p AS (SELECT doc_id, row_number() OVER () AS pos, s FROM c),
+n AS (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), '\\.+( |$)', '\\1', 'g')) AS s FROM p),
+m AS (SELECT doc_id, pos, coalesce(list_filter(t, lambda k: contains(' ' || s || ' ', k.phrase))[1].key, CASE WHEN regexp_matches(s, '\\blicen[cs]ed?\\b') THEN 'UNKNOWN' END) AS id FROM n, known WHERE regexp_matches(s, '{trigger}')),
+q AS (SELECT doc_id, count(*) AS n, string_agg('<' || id || '>', '' ORDER BY pos) AS ids FROM m WHERE id IS NOT NULL GROUP BY doc_id),
+a AS (SELECT doc_id, 0 AS i, ids AS rest, CAST([] AS VARCHAR[]) AS found FROM q
+  UNION ALL SELECT doc_id, r.i, replace(rest, r.ids, ''), CASE WHEN contains(rest, r.ids) THEN list_append(found, r.name) ELSE found END FROM a JOIN rules r ON r.i = a.i + 1),
+z AS (SELECT doc_id, array_to_string(list_sort(list_distinct(found)), ',') AS licenses, length(rest) - length(replace(rest, '<', '')) AS n_unmatched FROM a WHERE i = {len(license_scan.RULES)})
+SELECT d.doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(n_unmatched, 0) AS BIGINT) AS n_unmatched
+FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id LEFT JOIN z ON d.doc_id = z.doc_id
+"""
+
+
+def _op8(bits: int = 5, least: int = CHUNK_LEAST, most: int = 1024) -> str:
+    """Gear hashes, chunks and first occurrences of op8; one step of the recursion cuts the next chunk of each text."""
+    table = ", ".join(f"('{b:02X}', {g})" for b, g in enumerate(chunk_dedup.GEAR.tolist()))
+    hashed = " + ".join(f"((lag(g, {k}) OVER w & {(1 << (32 - k)) - 1}) << {k})" for k in range(chunk_dedup.WINDOW))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+gear AS (SELECT * FROM (VALUES {table}) AS x(b, g)),
+b AS (SELECT doc_id, i, g FROM (SELECT doc_id, i, substring(h, 2 * i - 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM d)) JOIN gear USING (b)),
+p AS (SELECT doc_id, list(i ORDER BY i) AS places FROM (SELECT doc_id, i, {hashed} AS v FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE i >= {chunk_dedup.WINDOW} AND ((v >> {32 - bits}) & {(1 << bits) - 1}) = 0 GROUP BY doc_id),
+c AS (SELECT d.doc_id, length(h) // 2 AS size, CAST(NULL AS BIGINT) AS a, CAST(0 AS BIGINT) AS e, coalesce(places, CAST([] AS BIGINT[])) AS places FROM d LEFT JOIN p ON d.doc_id = p.doc_id
+  UNION ALL SELECT doc_id, size, e, coalesce(CASE WHEN later[1] - e <= {most} THEN later[1] END, least(size, e + {most})), later
+  FROM (SELECT doc_id, size, e, list_filter(places, lambda x: x >= e + {least}) AS later FROM c WHERE e < size)),
+k AS (SELECT c.doc_id, a, e, md5(substring(h, 2 * a + 1, 2 * (e - a))) AS m FROM c JOIN d ON c.doc_id = d.doc_id WHERE a IS NOT NULL),
+f AS (SELECT *, e - a >= {least} AND row_number() OVER (PARTITION BY m ORDER BY doc_id, a) > 1 AS gone FROM k),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY a), FALSE) AS opens FROM f),
+o AS (SELECT r.doc_id, sum(e - a) FILTER (gone) AS removed, count(*) FILTER (opens) AS spans, string_agg(substring(h, 2 * a + 1, 2 * (e - a)), '' ORDER BY a) FILTER (NOT gone) AS kept FROM r JOIN d ON r.doc_id = d.doc_id GROUP BY r.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": _OP3, "op4_suffix_dedup": _OP4, "op9_decontamination": _OP9, "op10_line_dedup": _OP10}
+    return {
+        "op3_near_dedup": _OP3, "op4_suffix_dedup": _OP4, "op6_quality": _op6(), "op7_license_scan": _op7(), "op8_chunk_dedup": _op8(), "op9_decontamination": _OP9, "op10_line_dedup": _OP10,
+    }
