@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -620,9 +621,51 @@ def _small_tables(spark, d):
     return {t: read(spark, d, t) for t in ("region", "nation", "customer", "supplier")}
 
 
-@query()
+_SMALL = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+}
+
+
+def _each_column(select):
+    return " UNION ALL ".join(select.format(t=t, c=c, i=i) for t, columns in _SMALL.items() for i, c in enumerate(columns))
+
+
+def _sql_name_score():
+    """The score of two column names as SQL over x and y (lower case, without separators)."""
+    either = lambda rows: "(" + " OR ".join(rows) + ")"
+    shared = either(f"(contains(x, '{p}') AND contains(y, '{p}') AND (replace(x, '{p}', '') = replace(y, '{p}', '') OR '' IN (replace(x, '{p}', ''), replace(y, '{p}', ''))))" for p in discovery.ID_PATTERNS)
+    ending = either(f"(suffix(x, '{e}') AND suffix(y, '{e}') AND x[:-{len(e) + 1}] = y[:-{len(e) + 1}])" for e in discovery.ID_SUFFIXES)
+    said = {}
+    for v in "xy":
+        said[v] = v
+        for word, english in discovery.TRANSLATIONS:
+            said[v] = f"replace({said[v]}, '{word}', '{english}')"
+    cases = ("x = y", 0.95), ("length(x) > 3 AND length(y) > 3 AND (contains(x, y) OR contains(y, x))", 0.8), (shared, 0.85), (ending, 0.8), (f"{said['x']} = {said['y']} AND {said['x']} <> x", 0.75)
+    return "CAST(CASE " + " ".join(f"WHEN {test} THEN {score}" for test, score in cases) + " ELSE 0 END AS DOUBLE)"
+
+
+_PAIRS = f"""
+v AS (SELECT DISTINCT * FROM ({_each_column("SELECT '{t}' AS t, '{c}' AS c, lower(trim(CAST({c} AS VARCHAR))) AS v FROM {t} WHERE {c} IS NOT NULL")})),
+z AS (SELECT t, c, count(*) AS n FROM v GROUP BY t, c),
+j AS (SELECT a.t AS table_a, a.c AS column_a, b.t AS table_b, b.c AS column_b, count(*) AS matches FROM v a JOIN v b ON a.v = b.v AND a.t < b.t GROUP BY ALL),
+o AS (SELECT j.*, matches / (za.n + zb.n - matches) AS jaccard, regexp_replace(lower(column_a), '[_ -]', '', 'g') AS x, regexp_replace(lower(column_b), '[_ -]', '', 'g') AS y
+  FROM j JOIN z za ON za.t = table_a AND za.c = column_a JOIN z zb ON zb.t = table_b AND zb.c = column_b),
+named AS (SELECT * EXCLUDE (x, y), {_sql_name_score()} AS name_score FROM o)"""
+_LINKED = f"""
+WITH {_PAIRS},
+k AS (SELECT *, CASE WHEN name_score > 0 THEN CAST(0.4 AS DOUBLE) * name_score + least(2 * jaccard, CAST(0.6 AS DOUBLE)) WHEN jaccard >= 0.05 THEN least(CAST(0.85 AS DOUBLE), CAST(0.3 AS DOUBLE) + jaccard) ELSE 0 END AS confidence FROM named)
+SELECT * FROM k WHERE confidence >= 0.3 QUALIFY row_number() OVER (PARTITION BY table_a, table_b ORDER BY confidence DESC, column_a, column_b) = 1"""
+
+
+@query(f"""
+WITH u AS ({_each_column("SELECT '{t}' AS table_name, '{c}' AS c, {i} AS place, count(DISTINCT {c}) / count(*) AS uniqueness FROM {t}")}),
+k AS (SELECT *, regexp_matches(lower(c), '{"|".join(discovery.ID_PATTERNS)}') AS named FROM u),
+r AS (SELECT *, CAST(CASE WHEN named AND uniqueness > 0.5 THEN 0.95 WHEN uniqueness > 0.9 THEN 0.8 WHEN named AND uniqueness > 0.1 THEN 0.7 WHEN place = 0 THEN 0.5 END AS DOUBLE) AS confidence FROM k)
+SELECT table_name, c AS "column", confidence, round(uniqueness, 8) AS uniqueness FROM r WHERE confidence IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY confidence DESC, CASE WHEN confidence > 0.5 THEN -uniqueness ELSE 0 END, place) = 1""")
 def key_columns(spark, d):
-    return discovery.key_columns(_small_tables(spark, d))
+    return discovery.key_columns(_small_tables(spark, d)).withColumn("uniqueness", F.round("uniqueness", 8))
 
 
 @query("""
@@ -635,12 +678,35 @@ def column_pair_overlaps(spark, d):
     return discovery.overlaps(tables).select("table_a", "column_a", "table_b", "column_b", "matches", F.round("jaccard", 8).alias("jaccard"))
 
 
-@query()
+@query(f"SELECT table_a, column_a, table_b, column_b, matches, round(jaccard, 8) AS jaccard, name_score, round(confidence, 8) AS confidence FROM ({_LINKED})")
 def discovered_relationships(spark, d):
-    return discovery.relationships(_small_tables(spark, d))
+    found = discovery.relationships(_small_tables(spark, d))
+    return found.withColumns({c: F.round(c, 8) for c in ("jaccard", "confidence")})
 
 
-@query()
+@query(f"SELECT table_a AS src, table_b AS dst, column_a || '=' || column_b AS type, round(confidence, 8) AS confidence, CASE WHEN name_score > 0 THEN 'name' ELSE 'values' END AS method FROM ({_LINKED})")
+def discovery_edges(spark, d):
+    tables = _small_tables(spark, d)
+    return discovery.discovery_graph(tables, discovery.relationships(tables))[1].withColumn("confidence", F.round("confidence", 8))
+
+
+_KINDS = f"""
+p AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN declared NOT LIKE 'VARCHAR%' THEN 'numeric' WHEN looks > 0.8 THEN 'numeric_string' ELSE 'string' END AS kind, CASE WHEN n > 0 THEN u / n ELSE 0 END AS ratio FROM (
+ {_each_column("SELECT '{t}' AS t, '{c}' AS c, count({c}) AS n, count(DISTINCT lower(trim(CAST({c} AS VARCHAR)))) AS u, avg(CAST(regexp_matches(CAST({c} AS VARCHAR), '^-?[0-9]+[.]?[0-9]*$') AS INTEGER)) AS looks, any_value(typeof({c})) AS declared FROM {t}")}))"""
+
+
+@query(f"WITH {_KINDS} SELECT t AS table_name, c AS \"column\", kind, round(ratio, 8) AS unique_ratio FROM p")
+def column_kinds(spark, d):
+    parts = [discovery.column_profile(df).withColumn("table_name", F.lit(t)) for t, df in _small_tables(spark, d).items()]
+    out = reduce(lambda a, b: a.unionByName(b), parts)
+    return out.select("table_name", "column", "kind", F.round("unique_ratio", 8).alias("unique_ratio"))
+
+
+@query(f"""
+WITH {_PAIRS}, {_KINDS},
+k AS (SELECT named.*, CASE WHEN a.kind = b.kind AND a.kind <> 'empty' THEN 1.0 WHEN contains(a.kind, 'numeric') AND contains(b.kind, 'numeric') THEN 0.9 ELSE 0.3 END AS kind, CASE WHEN least(a.ratio, b.ratio) > 0 THEN least(a.ratio, b.ratio) / greatest(a.ratio, b.ratio) ELSE 0 END AS ratio
+  FROM named JOIN p a ON a.t = table_a AND a.c = column_a JOIN p b ON b.t = table_b AND b.c = column_b)
+SELECT table_a, column_a, table_b, column_b, round(CASE WHEN jaccard > 0.1 THEN 0.5 * jaccard + 0.2 * kind + 0.2 * name_score + 0.1 * ratio ELSE 0.4 * kind + 0.4 * name_score + 0.2 * ratio END, 6) AS score FROM k""")
 def scored_column_pairs(spark, d):
     return discovery.column_pairs(_small_tables(spark, d)).select("table_a", "column_a", "table_b", "column_b", F.round("score", 6).alias("score"))
 
@@ -796,10 +862,21 @@ def z_reasons(spark, d):
     return out.select("event_id", F.col("c.feature").alias("feature"), F.round("c.contribution", 6).alias("z"))
 
 
-@query()
+_OUTLIERS = """
+WITH m AS (SELECT avg(p_size) AS a, stddev_pop(p_size) AS s, avg(p_retailprice) AS b, stddev_pop(p_retailprice) AS t FROM part),
+z AS (SELECT p_partkey AS i, (p_size - a) / s AS x, (p_retailprice - b) / t AS y FROM part, m),
+n AS (SELECT p.i AS i, q.i AS j, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS far FROM z p JOIN z q ON p.i <> q.i QUALIFY row_number() OVER (PARTITION BY p.i ORDER BY far, q.i) <= 20),
+k AS (SELECT i, max(far) AS kd FROM n GROUP BY i),
+r AS (SELECT n.i AS i, 1 / (avg(greatest(far, kd)) + 1e-10) AS lrd FROM n JOIN k ON k.i = n.j GROUP BY n.i),
+f AS (SELECT n.i AS i, avg(b.lrd) / any_value(a.lrd) AS score FROM n JOIN r a ON a.i = n.i JOIN r b ON b.i = n.j GROUP BY n.i),
+p AS (SELECT *, 100 * cume_dist() OVER (ORDER BY score) AS percentile FROM f)
+SELECT i AS _rid, round(score, 6) AS score, round(percentile, 6) AS percentile FROM p WHERE percentile >= 95 ORDER BY p.score DESC, i LIMIT 100"""
+
+
+@query(_OUTLIERS)
 def local_outliers(spark, d):
     p = read(spark, d, "part").select(F.col("p_partkey").alias("_rid"), "p_size", "p_retailprice")
-    return quality.anomalies(p, ["p_size", "p_retailprice"]).select("_rid", "score", "percentile")
+    return quality.anomalies(p, ["p_size", "p_retailprice"]).select("_rid", F.round("score", 6).alias("score"), F.round("percentile", 6).alias("percentile"))
 
 
 _IMPORTANCE = (("p_size", 0.5), ("p_retailprice", 0.3), ("twice", 0.28), ("skewed", 0.2))
