@@ -5,11 +5,15 @@ Null keys never match. Right-hand columns that clash get a suffix before the joi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from terrace.functions import numeric
 from terrace.functions.text import row_text
@@ -143,20 +147,74 @@ def _planes(bits: int, dims: int, band: int) -> list[list[float]]:
     return [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(bits)]
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, left_id: str, right_id: str, vector: str = "vector") -> DataFrame:
+#: Vectors of one block, and doubles of one at most; blocks are multiplied with blocks.
+BLOCK_ROWS, BLOCK_SIZE = 512, 1 << 16
+
+
+def _vector_blocks(df: DataFrame, row_id: str, vector: str, name: str) -> DataFrame:
+    """Rows of (ids, vectors at length 1 as bytes, their dimensions), cut inside each partition without a shuffle.
+
+    Vectors that are null or hold a null take no part; a zero vector stays zero.
+    """
+    own = df.select(F.col(row_id).alias("i"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    ids, vectors, dims = f"ids_{name}", f"vectors_{name}", f"dims_{name}"
+    schema = StructType([StructField(ids, ArrayType(own.schema["i"].dataType)), StructField(vectors, BinaryType()), StructField(dims, LongType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["v"]
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                rows, step = np.flatnonzero(sizes == size), max(1, min(BLOCK_ROWS, BLOCK_SIZE // max(size, 1)))
+                for at in range(0, len(rows), step):
+                    some = pa.array(rows[at : at + step])
+                    u = lists.take(some).flatten().to_numpy().reshape(len(some), size)
+                    length = np.sqrt((u * u).sum(axis=1, keepdims=True))
+                    u = np.divide(u, length, out=u.copy(), where=~(length <= 0))
+                    named = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), batch["i"].take(some))
+                    yield pa.RecordBatch.from_arrays([named, pa.array([u.tobytes()], pa.binary()), pa.array([size], pa.int64())], names=[ids, vectors, dims])
+
+    return own.mapInArrow(cut, schema)
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, left_id: str, right_id: str, vector: str = "vector", best: bool = False, others: bool = False) -> DataFrame:
     """(left id, right id, similarity) of all pairs of rows with cosine similarity of ``threshold`` or more.
 
-    Exact. A side that a count finds small is broadcast, and the other is streamed against it; of two large sides every
-    partition meets every other, which takes time in proportion to their product. ``similar_pairs_lsh`` is faster, but
-    misses pairs.
+    Exact, and block by block: vectors are put together in blocks of up to 512, and blocks are multiplied with blocks.
+    A side that a count finds small is broadcast, and the other is streamed against it; of two large sides, which are
+    written once, every partition meets every other, which takes time in proportion to their product.
+    ``similar_pairs_lsh`` is faster, but misses pairs. With ``others`` pairs of equal ids are left out. With ``best``
+    only pairs that can be a left row's best one, equal to twelve digits, leave their block; ``best_match`` picks among these.
+    Vectors that are null, hold a null, or differ in length pair with nothing; zero vectors have similarity 0.
     """
-    a = left.select(F.col(left_id).alias("_l"), numeric.unit(F.col(vector)).alias("_u"))
-    b = right.select(F.col(right_id).alias("_r"), numeric.unit(F.col(vector)).alias("_v"))
-    few = [is_small(df) for df in (a, b)]
-    met = a.crossJoin(F.broadcast(b)) if few[1] else F.broadcast(a).crossJoin(b) if few[0] else a.hint("shuffle_replicate_nl").crossJoin(b)
-    sim = numeric.dot(F.col("_u"), F.col("_v"))
-    pairs = met.withColumn("similarity", sim).filter(F.col("similarity") >= threshold - 1e-12)
-    return pairs.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), "similarity")
+    from .windows import kept
+
+    sides = [(left.select(left_id, vector), left_id, "a"), (right.select(right_id, vector), right_id, "b")]
+    few = next((name for df, _, name in sides if is_small(df)), None)
+    a, b = (_vector_blocks(df, key, vector, name) for df, key, name in sides)
+    if few is None:
+        met = kept(a).hint("shuffle_replicate_nl").crossJoin(kept(b))
+    else:
+        met = F.broadcast(a).crossJoin(b) if few == "a" else a.crossJoin(F.broadcast(b))
+    schema = StructType([StructField(left_id, left.schema[left_id].dataType), StructField(right_id, right.schema[right_id].dataType), StructField("similarity", DoubleType())])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dims = batch["dims_a"][k].as_py()
+                ids_a, ids_b = batch["ids_a"][k].values, batch["ids_b"][k].values
+                u, v = (np.frombuffer(batch[c][k].as_py()).reshape(-1, dims) if dims else np.zeros((len(i), 0)) for c, i in (("vectors_a", ids_a), ("vectors_b", ids_b)))
+                sim = u @ v.T
+                met = ~(sim < threshold - 1e-12)
+                if others:
+                    met &= ids_a.to_numpy(zero_copy_only=False)[:, None] != ids_b.to_numpy(zero_copy_only=False)[None, :]
+                if best:
+                    near = np.where(met, np.where(np.isnan(sim), np.inf, sim), -np.inf)
+                    met &= near >= near.max(axis=1, keepdims=True, initial=-np.inf) - 2e-12
+                x, y = np.nonzero(met)
+                yield pa.RecordBatch.from_arrays([ids_a.take(pa.array(x)), ids_b.take(pa.array(y)), pa.array(sim[x, y])], names=[left_id, right_id, "similarity"])
+
+    return met.filter("dims_a = dims_b").mapInArrow(multiply, schema)
 
 
 def similar_pairs_lsh(left: DataFrame, right: DataFrame, threshold: float, left_id: str, right_id: str, dims: int, vector: str = "vector", bands: int = 12, bits: int = 8) -> DataFrame:
@@ -186,7 +244,7 @@ def semantic_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     """
     a = left.select(F.col(left_key).cast("string").alias("value1")).na.drop().distinct().withColumn("vector", embed(F.col("value1")))
     b = right.select(F.col(right_key).cast("string").alias("value2")).na.drop().distinct().withColumn("vector", embed(F.col("value2")))
-    pairs = similar_pairs(a, b, threshold, "value1", "value2")
+    pairs = similar_pairs(a, b, threshold, "value1", "value2", best=best_only)
     if best_only:
         pairs = best_match(pairs, "value1", "value2", "similarity")
     right = without_clashes(right, left.columns, suffix)
@@ -200,7 +258,7 @@ def semantic_match_summary(left: DataFrame, right: DataFrame, left_key: str, rig
     """One row: how many distinct left values have a match, and the mean similarity of the best ones."""
     a = left.select(F.col(left_key).cast("string").alias("value1")).na.drop().distinct().withColumn("vector", embed(F.col("value1")))
     b = right.select(F.col(right_key).cast("string").alias("value2")).na.drop().distinct().withColumn("vector", embed(F.col("value2")))
-    best = best_match(similar_pairs(a, b, threshold, "value1", "value2"), "value1", "value2", "similarity")
+    best = best_match(similar_pairs(a, b, threshold, "value1", "value2", best=True), "value1", "value2", "similarity")
     return best.agg(F.count(F.lit(1)).alias("matches"), F.avg("similarity").alias("mean_similarity"))
 
 
@@ -208,7 +266,7 @@ def row_similarity_join(left: DataFrame, right: DataFrame, left_columns: Sequenc
     """(left id, right id, similarity): for each left row the right row whose chosen columns, as one text, are most alike."""
     a = left.select(F.col(left_id).alias("_a"), embed(row_text(left_columns, " ", labelled=False)).alias("vector"))
     b = right.select(F.col(right_id).alias("_b"), embed(row_text(right_columns, " ", labelled=False)).alias("vector"))
-    best = best_match(similar_pairs(a, b, threshold, "_a", "_b"), "_a", "_b", "similarity")
+    best = best_match(similar_pairs(a, b, threshold, "_a", "_b", best=True), "_a", "_b", "similarity")
     return best.select(F.col("_a").alias("left_id"), F.col("_b").alias("right_id"), "similarity")
 
 

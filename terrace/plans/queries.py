@@ -494,7 +494,7 @@ SELECT left_id, right_id, round(s, 5) AS similarity FROM (SELECT *, row_number()
 def similarity_best_match(spark, d):
     e = read(spark, d, "embeddings")
     queries_ = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("vector"))
-    pairs = joins.similar_pairs(queries_, e.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("vector")), -1.0, "left_id", "right_id").filter("left_id <> right_id")
+    pairs = joins.similar_pairs(queries_, e.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("vector")), -1.0, "left_id", "right_id", best=True, others=True)
     return joins.best_match(pairs, "left_id", "right_id", "similarity").withColumn("similarity", F.round("similarity", 5))
 
 
