@@ -7,6 +7,8 @@ identifiers; a rule that matches takes its identifiers away, so that parts of a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -258,6 +260,8 @@ SENTENCES, RULES = _known()
 TRIGGER = "(?iu)licen[cs]|permi[st]|reserved|redistribut|copyright|cc0|cc by|domain|commons|agpl|gpl|eupl|misrepresented|neither|plainly marked|retain this|openssl|advertising|removed or altered|good not evil|warranty|software is provided"
 #: The trigger on raw text, where anything but letters and digits may stand between two words.
 _WORDS = TRIGGER.replace(" ", r"[^\p{L}\p{N}]+")
+#: For each alternative of the trigger the words that a text must hold for it, up to their first character class.
+_HOLDS = [[word.split("[")[0] for word in one.split(" ")] for one in TRIGGER.removeprefix("(?iu)").split("|")]
 _SPEAKS = r"\blicen[cs]ed?\b"
 
 
@@ -300,8 +304,11 @@ def scan(docs: DataFrame, known: tuple = SENTENCES, rules: tuple = RULES) -> Dat
     sentence_ids is the sequence found; n_unmatched counts its members that no rule used. Null and empty texts have
     none; every row gives one row, whatever its id; other columns are left out.
     """
-    ids = F.when(F.col("text").rlike(_WORDS), identifiers(sentences(F.col("text")), known)).otherwise(F.array().cast("array<string>"))
-    found = docs.select("doc_id", F.coalesce(ids, F.array().cast("array<string>")).alias("sentence_ids"))
+    # A search for plain words in the lower-cased text spares most texts the pattern, which is many times as slow.
+    maybe = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col("_low").contains(word) for word in words]) for words in _HOLDS])
+    own = docs.select("doc_id", "text", F.lower("text").alias("_low"))
+    ids = F.when(maybe & F.col("text").rlike(_WORDS), identifiers(sentences(F.col("text")), known)).otherwise(F.array().cast("array<string>"))
+    found = own.select("doc_id", F.coalesce(ids, F.array().cast("array<string>")).alias("sentence_ids"))
     ruled = found.withColumn("r", F.when(F.size("sentence_ids") > 0, apply_rules(F.col("sentence_ids"), rules)))
     return ruled.select(
         "doc_id", F.coalesce(F.array_sort(F.array_distinct("r.found")), F.array().cast("array<string>")).alias("licenses"), "sentence_ids",
