@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, license_scan, line_dedup, main_text, near_dedup, packing, quality, suffix_dedup, url_filter
+from . import chunk_dedup, collocations, decontaminate, fill_middle, license_scan, line_dedup, main_text, near_dedup, packing, quality, suffix_dedup, url_filter
 from .tables import on_path
 
 
@@ -67,8 +67,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_near_dedup, op4_suffix_dedup, op5_main_text, op6_quality, op7_license_scan, op8_chunk_dedup, op9_decontamination, op10_line_dedup)}
+    dealt = (
+        op1_packing, op2_url_filter, op3_near_dedup, op4_suffix_dedup, op5_main_text, op6_quality, op7_license_scan, op8_chunk_dedup, op9_decontamination, op10_line_dedup, op11_fill_middle,
+        op12_collocations,
+    )
+    return {f.__name__: f for f in dealt}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -202,7 +216,34 @@ FROM d LEFT JOIN o ON d.doc_id = o.doc_id
 """
 
 
+_OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, CAST('0x' || substring(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substring(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y, CAST('0x' || substring(h, 17, 8) AS BIGINT) % 100 AS k, CAST('0x' || substring(h, 25, 8) AS BIGINT) % 100 AS s FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k >= 90 THEN 'plain' WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:], '') AS z FROM r)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f
+"""
+
+
+_OP12 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, string_split(g, ' ') AS w, count(*) AS f FROM g GROUP BY lang, k, g),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+o AS (SELECT * FROM f WHERE f >= 10),
+c AS (SELECT lang, k, g, f AS a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM o WHERE k > 1)),
+s AS (SELECT c.*, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM c JOIN o x ON c.lang = x.lang AND c.x = x.g JOIN o y ON c.lang = y.lang AND c.y = y.g),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+m AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS g FROM o WHERE k = 3) GROUP BY lang, g),
+t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank FROM b LEFT JOIN m ON b.lang = m.lang AND b.g = m.g WHERE m.f IS NULL OR 100 * m.f < 50 * a)
+SELECT t.lang, rank, g AS phrase, a, l, r, n, score FROM t JOIN n ON t.lang = n.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_near_dedup": _OP3, "op4_suffix_dedup": _OP4, "op6_quality": _op6(), "op7_license_scan": _op7(), "op8_chunk_dedup": _op8(), "op9_decontamination": _OP9, "op10_line_dedup": _OP10,
+        "op3_near_dedup": _OP3, "op4_suffix_dedup": _OP4, "op6_quality": _op6(), "op7_license_scan": _op7(), "op8_chunk_dedup": _op8(), "op9_decontamination": _OP9, "op10_line_dedup": _OP10, "op11_fill_middle": _OP11,
+        "op12_collocations": _OP12,
     }
