@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, collocations, decontaminate, fill_middle, license_scan, line_dedup, main_text, near_dedup, packing, quality, suffix_dedup, url_filter
+from . import chunk_dedup, collocations, decontaminate, fill_middle, license_scan, line_dedup, main_text, near_dedup, packing, quality, suffix_dedup, toxicity, url_filter
 from .tables import on_path
 
 
@@ -77,10 +77,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     dealt = (
         op1_packing, op2_url_filter, op3_near_dedup, op4_suffix_dedup, op5_main_text, op6_quality, op7_license_scan, op8_chunk_dedup, op9_decontamination, op10_line_dedup, op11_fill_middle,
-        op12_collocations,
+        op12_collocations, op13_toxicity,
     )
     return {f.__name__: f for f in dealt}
 
