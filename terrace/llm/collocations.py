@@ -17,13 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, blocks, buffers, byte_table, mix, word_spans
 from .tables import bitmap, stage
 
 _U = np.uint64
+#: Parts of a language among which the first phrases are looked for, before these are compared with each other.
+PARTS = (4096, 64)
 #: Bytes of text that are looked at together; entries that a task's filter holds before it is handed on; words a shard.
 BLOCK, ENTRIES, SHARD = 4 << 20, 1 << 21, 1 << 20
 #: Words are runs of bytes other than white space and the marks that end a piece.
@@ -335,6 +337,15 @@ def phrase_counts(docs: DataFrame, longest: int = 3, min_count: int = 10) -> tup
     return totals, found
 
 
+def _first(df: DataFrame, number: Column, down: list[str], up: list[str], top: int, parts: tuple[int, ...]) -> DataFrame:
+    """The rows that are among the first ``top`` of their part of a language, parts being put together step by step."""
+    part = F.pmod(F.xxhash64("ids"), F.lit(parts[0]))
+    for n in parts:
+        place = Window.partitionBy("lang", F.pmod(part, F.lit(n))).orderBy(*[F.desc(c) for c in down], *up)
+        df = df.withColumn("__place", number.over(place)).filter(F.col("__place") <= top).drop("__place")
+    return df
+
+
 def collocations(docs: DataFrame, longest: int = 3, min_count: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language of 2 to ``longest`` words.
 
@@ -363,13 +374,13 @@ def collocations(docs: DataFrame, longest: int = 3, min_count: int = 10, share:
             c = c.join(longer.groupBy("lang", "ids").agg(F.max("f").alias("longer")), ["lang", "ids"], "left").filter(f"longer IS NULL OR 100 * longer < {int(share)} * a")
         c = c.select("lang", "ids", "a", "cut.l", "cut.r", "cut.score")
         kept = c if kept is None else kept.unionByName(c)
-    first = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    best = stage(kept.withColumn("rank", F.rank().over(first)).filter(F.col("rank") <= top).drop("rank"))  # equals of the last one stay for now
+    best = stage(_first(kept, F.rank(), ["score", "a"], [], top, PARTS))  # equals of the last one stay for now
     named = best.withColumn("phrase", F.lit(None).cast("string"))
     for i in range(longest):
         word = found[0].select("lang", F.col("ids")[0].alias("__id"), "word")
         named = named.withColumn("__id", F.get("ids", F.lit(i))).join(word, ["lang", "__id"], "left")
         named = named.withColumn("phrase", F.when(F.col("word").isNull(), F.col("phrase")).otherwise(F.concat_ws(" ", "phrase", "word"))).drop("word", "__id")
+    out = _first(named, F.row_number(), ["score", "a"], ["phrase"], top, PARTS)
     last = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    out = named.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= top)
+    out = out.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= top)
     return out.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
