@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import statistics
 from .windows import running
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": F.median}
@@ -37,6 +38,9 @@ def datum(vector: DataFrame, method: str | Callable[[Column], Column] = "mean",
             raise ValueError(f"{method} of {value}: nothing in it is a number")
     v = F.coalesce(v, F.lit(fill)) if nulls == "fill" else v
     name = method if isinstance(method, str) else getattr(method, "__name__", "custom")
+    if method == "median":
+        middle = statistics.quantiles(vector.select(v.alias("v")), {"v": [0.5]})["v"][0]
+        return vector.sparkSession.createDataFrame([(middle, f"{name} of {value}", name)], "value double, description string, aggregation_method string")
     return vector.agg(aggregate(method, v).alias("value")).select("value", F.lit(f"{name} of {value}").alias("description"), F.lit(name).alias("aggregation_method"))
 
 
@@ -44,6 +48,8 @@ def datum_by_domain(vector: DataFrame, method: str = "mean", value: str = "value
     """One row for each domain; sum and mean of what isn't numeric are its number of rows."""
     kind = dict(vector.dtypes)[value]
     is_number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+    if method == "median" and is_number:
+        return statistics.group_quantiles(vector, [domain], value).select(domain, F.col("quantiles")[0].alias("value"))
     out = aggregate(method, F.col(value)) if is_number or method not in ("sum", "mean", "avg", "median") else F.count(F.lit(1))
     return vector.groupBy(domain).agg(out.alias("value"))
 
@@ -52,14 +58,17 @@ def numeric_datum(vector: DataFrame, value: str = "value") -> DataFrame:
     """sum, mean (2 places), min, max, median and count of non-null numbers; zeros for an empty vector."""
     v = F.col(value).try_cast("double")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    middle = statistics.quantiles(vector.select(v.alias("v")), {"v": [0.5]})["v"][0] or 0.0
     return vector.agg(
-        zero(F.sum(v)).alias("sum"), zero(F.round(F.avg(v), 2)).alias("mean"), zero(F.min(v)).alias("min"), zero(F.max(v)).alias("max"), zero(F.median(v)).alias("median"), F.count(v).alias("count")
+        zero(F.sum(v)).alias("sum"), zero(F.round(F.avg(v), 2)).alias("mean"), zero(F.min(v)).alias("min"), zero(F.max(v)).alias("max"), F.lit(middle).alias("median"), F.count(v).alias("count")
     )
 
 
 def categorical_datum(vector: DataFrame, value: str = "value") -> DataFrame:
     """mode (of equals the least), count with nulls, distinct values."""
-    return vector.agg(F.mode(F.col(value), True).alias("mode"), F.count(F.lit(1)).alias("count"), F.count_distinct(value).alias("nunique"))
+    counts = vector.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    mode = F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("n"), "v")))
+    return counts.agg(mode.alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.count("v").alias("nunique")).select(F.col("m.v").alias("mode"), "count", "nunique")
 
 
 def text_datum(vector: DataFrame, value: str = "value") -> DataFrame:
@@ -70,13 +79,19 @@ def text_datum(vector: DataFrame, value: str = "value") -> DataFrame:
 
 def grouped_vector(table: DataFrame, key: str, value: str, method: str = "sum") -> DataFrame:
     """(key, value): numbers of each key, aggregated; what isn't a number counts as null."""
-    return table.groupBy(key).agg(aggregate(method, F.col(value).try_cast("double")).alias("value"))
+    rows = table.select(key, F.col(value).try_cast("double").alias("value"))
+    if method == "median":
+        return statistics.group_quantiles(rows, [key], "value").select(key, F.col("quantiles")[0].alias("value"))
+    return rows.groupBy(key).agg(aggregate(method, F.col("value")).alias("value"))
 
 
 def dimension_groups(table: DataFrame, by: Sequence[str], aggregations: Mapping[str, str] | None = None) -> DataFrame:
     """Aggregates by existing dimension columns, with group_size; rows with a null dimension are left out."""
-    known = table.na.drop(subset=list(by))
-    return known.groupBy(*by).agg(*[aggregate(how, F.col(c)).alias(c) for c, how in (aggregations or {}).items()], F.count(F.lit(1)).alias("group_size"))
+    known, wanted = table.na.drop(subset=list(by)), dict(aggregations or {})
+    out = known.groupBy(*by).agg(*[aggregate(how, F.col(c)).alias(c) for c, how in wanted.items() if how != "median"], F.count(F.lit(1)).alias("group_size"))
+    for c in [c for c, how in wanted.items() if how == "median"]:
+        out = out.join(statistics.group_quantiles(known, by, c).withColumn(c, F.col("quantiles")[0]).drop("quantiles"), list(by))
+    return out.select(*by, *wanted, "group_size")
 
 
 def dimension_hierarchy(table: DataFrame, by: Sequence[str], keep_null: bool = False) -> DataFrame:
@@ -116,9 +131,9 @@ def imbalance_ratio(table: DataFrame, value: str, limit: float = 3.0) -> DataFra
 
 def five_numbers(table: DataFrame, value: str) -> DataFrame:
     """min, quartiles, max, mean and sample standard deviation."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = table.agg(F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    return out.select("min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "mean", "std")
+    q = [F.lit(x).cast("double").alias(n) for n, x in zip(("q1", "median", "q3"), statistics.quantiles(table, {value: [0.25, 0.5, 0.75]})[value])]
+    out = table.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    return out.select("min", *q, "max", "mean", "std")
 
 
 def histogram(table: DataFrame, value: str, bins: int = 20) -> DataFrame:

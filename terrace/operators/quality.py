@@ -13,7 +13,7 @@ from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, Ti
 
 from terrace.functions import numeric
 
-from . import windows
+from . import statistics, windows
 from .extract import numeric_columns
 
 #: Weights of the usability score.
@@ -123,12 +123,20 @@ def transform_feature(table: DataFrame, column: str, kind: str) -> DataFrame:
 
 
 def impute(table: DataFrame, column: str, indicator: bool = True) -> DataFrame:
-    """Nulls become the median (numbers) or the mode (of equals the least), or 0 / ``missing`` for a column of nulls; a flag says where."""
+    """Nulls become the median (numbers) or the mode (of equals the least), or 0 / ``missing`` for a column of nulls; a flag says where.
+
+    The fill is found first and is a constant of the plan.
+    """
     number = isinstance(table.schema[column].dataType, NumericType)
-    stat = F.coalesce(F.median(column), F.lit(0.0)) if number else F.coalesce(F.mode(F.col(column), True).cast("string"), F.lit("missing"))
-    filled = table.join(F.broadcast(table.agg(stat.alias("_fill"))))
-    out = filled.withColumn(f"{column}_missing", F.col(column).isNull().cast("int")) if indicator else filled
-    return out.withColumn(column, F.coalesce(F.col(column).cast("double" if number else "string"), F.col("_fill"))).drop("_fill")
+    c = F.col(f"`{column}`")
+    if number:
+        fill = statistics.quantiles(table, {column: [0.5]})[column][0]
+        filled = F.coalesce(c.cast("double"), F.lit(0.0 if fill is None else fill))
+    else:
+        most = statistics.top_values(table, [column], 1)[column]
+        filled = F.coalesce(c.cast("string"), F.lit(most[0] if most else "missing"))
+    out = table.withColumn(f"{column}_missing", c.isNull().cast("int")) if indicator else table
+    return out.withColumn(column, filled)
 
 
 def combine(table: DataFrame, a: str, b: str, name: str | None = None) -> DataFrame:
@@ -178,19 +186,19 @@ def improvement(suggestions: DataFrame, score: float) -> DataFrame:
 
 
 def prepare(table: DataFrame, target: str, most_features: int = 500, most_values: int = 100) -> tuple[DataFrame, list[str]]:
-    """(table, features): rows with a target; numbers imputed, categories binned and coded, the most varied columns."""
-    rows = table.filter(F.col(target).isNotNull())
-    for c in [c for c in table.columns if c != target and not c.startswith("_")]:
-        if isinstance(table.schema[c].dataType, NumericType):
-            rows = impute(rows, c, indicator=False)
-        elif isinstance(table.schema[c].dataType, StringType):
-            rows = windows.label_encode(windows.rare_to_other(rows, c, most_values), c).drop(c).withColumnRenamed(f"{c}_code", c)
-        else:
-            rows = rows.drop(c)
-    features = [c for c in numeric_columns(rows) if c != target and not c.startswith("_")]
+    """(table, features): rows with a target; numbers imputed, categories binned and coded, the most varied columns.
+
+    The statistics of all columns come from a few jobs, and the result is one projection of the table with these as
+    constants: the plan reads the table once, whatever the number of columns. Columns with a leading ``_`` stay.
+    """
+    rows = table.filter(F.col(f"`{target}`").isNotNull())
+    used = [f.name for f in table.schema.fields if f.name != target and not f.name.startswith("_") and isinstance(f.dataType, (NumericType, StringType))]
+    fitted = statistics.fit_columns(rows, used, most_values)
+    kept = [c for c in table.columns if c in used or c == target or c.startswith("_")]
+    rows = rows.select(*[fitted.applied(c) if c in used else F.col(f"`{c}`") for c in kept])
     from .extract import top_variance
 
-    return rows, top_variance(rows, features, most_features)
+    return rows, top_variance(rows, used, most_features)
 
 
 def is_classification(table: DataFrame, target: str) -> bool:
@@ -275,10 +283,11 @@ def apply_all(table: DataFrame, suggestions: DataFrame, target: str, row_id: str
 
 def standardised(table: DataFrame, columns: Sequence[str], row_id: str = "_rid") -> DataFrame:
     """(row_id, vector): medians for nulls, population z-scores; columns without spread are 0."""
-    stats = table.agg(*[f(F.col(c).cast("double")).alias(f"_{k}{i}") for i, c in enumerate(columns) for k, f in (("d", F.median), ("m", F.avg), ("s", F.stddev_pop))])
+    stats = table.agg(*[f(F.col(c).cast("double")).alias(f"_{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    middle = statistics.quantiles(table, {c: [0.5] for c in columns})
     z = []
     for i, c in enumerate(columns):
-        v = F.coalesce(F.col(c).cast("double"), F.col(f"_d{i}"), F.lit(0.0))
+        v = F.coalesce(F.col(c).cast("double"), F.lit(middle[c][0] or 0.0))
         z.append(F.when(F.col(f"_s{i}") > 0, (v - F.col(f"_m{i}")) / F.col(f"_s{i}")).otherwise(0.0))
     return table.join(F.broadcast(stats)).select(row_id, F.array(*z).alias("vector"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.numeric import normal_cdf, normal_quantile
 
-from . import metrics, quality, windows
+from . import metrics, quality, statistics, windows
 from .joins import small
 from .sets import augment
 
@@ -58,8 +58,11 @@ def generate(table: DataFrame, n: int, categorical: Sequence[str] = (), numbers:
     rows = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
     lower = np.linalg.cholesky(positive(correlation_matrix(normal_scores(rows, columns), columns)))
     grid = [i / knots for i in range(knots + 1)]
-    quantiles = rows.agg(*[F.percentile_approx(c, grid, 100_000).alias(c) if c in categorical else F.percentile(c, F.array(*[F.lit(g) for g in grid])).alias(c) for c in columns])
     spark = table.sparkSession
+    found = statistics.quantiles(rows, {c: grid for c in numbers})
+    quantiles = spark.createDataFrame([tuple(found.values())], ", ".join(f"`{c}` array<double>" for c in found)) if found else spark.range(1).drop("id")
+    if categorical:  # codes are as many as there are categories, and one of them is drawn, not a value between two
+        quantiles = quantiles.join(F.broadcast(rows.agg(*[F.percentile_approx(c, grid, 100_000).alias(c) for c in categorical])))
     drawn = spark.range(n).select(*[F.randn(seed + i).alias(f"z{i}") for i in range(len(columns))])
     u = [normal_cdf(reduce(lambda a, b: a + b, [F.lit(float(lower[i, j])) * F.col(f"z{j}") for j in range(i + 1)])) for i in range(len(columns))]
     placed = drawn.select(*[x.alias(f"u{i}") for i, x in enumerate(u)]).join(F.broadcast(quantiles))

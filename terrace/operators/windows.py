@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
+from . import statistics
 from .joins import small
 
 #: Up to so many rows a global order is one task's window; beyond, it is dealt over ranges of the key.
@@ -88,21 +89,21 @@ def frequency_category(table: DataFrame, key: str, many: str = "multiple", one:
 
 def median_split(table: DataFrame, value: str, high: str = "high", low: str = "low", inclusive: bool = False, name: str = "split") -> DataFrame:
     """table with ``high`` for values above the median (or at it, with ``inclusive``), else ``low``; null is low."""
-    middle = table.agg(F.median(value).alias("_m"))
-    above = F.col(value) >= F.col("_m") if inclusive else F.col(value) > F.col("_m")
-    return table.join(F.broadcast(middle)).withColumn(name, F.when(above, high).otherwise(low)).drop("_m")
+    middle = F.lit(statistics.quantiles(table, {value: [0.5]})[value][0]).cast("double")
+    above = F.col(value) >= middle if inclusive else F.col(value) > middle
+    return table.withColumn(name, F.when(above, high).otherwise(low))
 
 
 def quantile_category(table: DataFrame, value: str, labels: Sequence[str], name: str = "quantile") -> DataFrame:
     """table with the label of the quantile bin: bins are closed on the right, the least value is in the first; null stays null."""
     cuts = [i / len(labels) for i in range(1, len(labels))]
-    edges = table.agg(F.percentile(value, F.array(*[F.lit(c) for c in cuts])).alias("_q"))
+    edges = statistics.quantiles(table, {value: cuts})[value]
     out = None
-    for i, label in enumerate(labels[:-1]):
-        hit = F.col(value) <= F.col("_q")[i]
+    for edge, label in zip(edges, labels):
+        hit = F.col(value) <= F.lit(edge).cast("double")
         out = F.when(hit, label) if out is None else out.when(hit, label)
     last = F.when(F.col(value).isNotNull(), labels[-1])
-    return table.join(F.broadcast(edges)).withColumn(name, last if out is None else out.otherwise(last)).drop("_q")
+    return table.withColumn(name, last if out is None else out.otherwise(last))
 
 
 def latest_per_group(table: DataFrame, group: Sequence[str] | str, order: str, tie: str | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,24 +15,8 @@ from terrace.operators import catalog, categorize, discovery, extract, graph, jo
 from terrace.plans import levels, lineage
 from terrace.sources import readers, sinks
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from . import statistics_queries  # noqa: F401  (registers its queries)
+from .registry import QUERIES, SQL, query, read  # noqa: F401  (QUERIES and SQL are for the callers)
 
 # Levels: down to one number and up again
 
