@@ -81,10 +81,16 @@ def valid_keys(table: DataFrame, key: str) -> DataFrame:
 def tidy(table: DataFrame, entity: str, attributes: Sequence[str], order: str = "_rid", segment: Column | None = None) -> DataFrame:
     """(entity, attribute, value) from a sparse sheet: the entity is filled down, empty cells go.
 
-    Filling down follows ``order`` and is a window over the sheet; ``segment`` (sheet or file) splits large inputs.
+    Filling down follows ``order``, a unique key: over the whole sheet, by a segmented scan that no single task holds, or
+    inside each ``segment`` (sheet or file), whose rows one task orders.
     """
-    w = Window.partitionBy(segment if segment is not None else F.lit(0)).orderBy(order)
-    filled = table.withColumn("_e", F.last(F.when(F.trim(F.col(entity)) != "", F.col(entity)), ignorenulls=True).over(w))
+    from .windows import fill_down
+
+    named = F.when(F.trim(F.col(entity)) != "", F.col(entity))
+    if segment is None:
+        filled = fill_down(table, F.col(order), _e=named)
+    else:
+        filled = table.withColumn("_e", F.last(named, ignorenulls=True).over(Window.partitionBy(segment).orderBy(order)))
     long = filled.select("_e", *[F.col(f"`{a}`").cast("string").alias(a) for a in attributes]).unpivot(["_e"], list(attributes), "attribute", "value")
     return long.filter("_e IS NOT NULL AND value IS NOT NULL AND trim(value) <> ''").withColumnRenamed("_e", "entity")
 

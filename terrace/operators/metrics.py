@@ -108,8 +108,8 @@ def hierarchy_json(table: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row for each value of the first dimension: the counts below it as nested JSON."""
     out = table.na.drop(subset=list(by)).groupBy(*by).agg(F.count(F.lit(1)).cast("string").alias("_j"))
     for depth in range(len(by) - 1, 0, -1):
-        pair = F.concat(F.to_json(F.array(F.col(by[depth]).cast("string"))), F.lit(":"), F.col("_j"))
-        key = F.regexp_replace(pair, r"^\[(.*?)\]:", "$1:")
+        name = F.to_json(F.array(F.col(by[depth]).cast("string")))  # ["..."], without its brackets a JSON text
+        key = F.concat(F.substring(name, F.lit(2), F.length(name) - 2), F.lit(":"), F.col("_j"))
         out = out.groupBy(*by[:depth]).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(key)), ","), F.lit("}")).alias("_j"))
     return out.withColumnRenamed("_j", "tree")
 

@@ -17,23 +17,36 @@ from .joins import small
 
 #: Up to so many rows a global order is one task's window; beyond, it is dealt over ranges of the key.
 PLAIN_ROWS = 100_000
+#: Ranges at most: their cuts go to every task.
+MOST_RANGES = 2000
 
 
-def running(table: DataFrame, key: Column, parts: int = 200, **sums: Column) -> DataFrame:
-    """table with running sums, each up to and with the row itself, in the order of a unique key (nulls first).
+def _ranged(keyed: DataFrame) -> DataFrame | None:
+    """keyed with the number of the range of ``_key`` that a row lies in, or None for a table that one task may order.
 
-    Large tables are cut into ranges of the key at ``parts`` values of a hashed sample; a window goes over each range,
-    and the totals of the ranges before (one row a range) are added. Only the cuts come to the driver.
+    The ranges follow the number of rows; they are cut at values of a hashed sample, and only the cuts come to the driver.
     """
-    keyed = table.withColumn("_key", key)
     if keyed.limit(PLAIN_ROWS + 1).count() <= PLAIN_ROWS:
-        w = Window.orderBy("_key")
-        return keyed.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}).drop("_key")
+        return None
+    parts = min(max(keyed.count() * 2 // max(PLAIN_ROWS, 1), 16), MOST_RANGES)
     seen = keyed.select(F.xxhash64("_key").alias("h"), "_key").orderBy("h").limit(parts * 16).select(F.struct("_key").alias("k")).orderBy("k").collect()
     cuts = [r["k"] for r in seen[8::16]]
-    bounds = table.sparkSession.createDataFrame([(cuts,)], StructType([StructField("_cuts", ArrayType(keyed.select(F.struct("_key").alias("k")).schema["k"].dataType))]))
+    bounds = keyed.sparkSession.createDataFrame([(cuts,)], StructType([StructField("_cuts", ArrayType(keyed.select(F.struct("_key").alias("k")).schema["k"].dataType))]))
     at = F.size(F.filter("_cuts", lambda x: x <= F.struct("_key")))
-    placed = keyed.join(F.broadcast(bounds)).withColumn("_part", at).drop("_cuts")
+    return keyed.join(F.broadcast(bounds)).withColumn("_part", at).drop("_cuts")
+
+
+def running(table: DataFrame, key: Column, **sums: Column) -> DataFrame:
+    """table with running sums, each up to and with the row itself, in the order of a unique key (nulls first).
+
+    Large tables are cut into ranges of the key; a window goes over each range, and the totals of the ranges before
+    (one row a range) are added.
+    """
+    keyed = table.withColumn("_key", key)
+    placed = _ranged(keyed)
+    if placed is None:
+        w = Window.orderBy("_key")
+        return keyed.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}).drop("_key")
     totals = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
@@ -42,6 +55,26 @@ def running(table: DataFrame, key: Column, parts: int = 200, **sums: Column) ->
     return out.drop("_key", "_part", *[f"_b_{n}" for n in sums])
 
 
+def fill_down(table: DataFrame, key: Column, **values: Column) -> DataFrame:
+    """table with, under each name, the last non-null value up to and with the row itself, in the order of a unique key.
+
+    A segmented scan: large tables are cut into ranges of the key, a window fills inside each range, and what the ranges
+    before had last (one row a range) is carried on to rows that nothing in their own range fills.
+    """
+    keyed = table.withColumn("_key", key)
+    placed = _ranged(keyed)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    if placed is None:
+        w = Window.orderBy("_key")
+        return keyed.withColumns({n: last(c, w) for n, c in values.items()}).drop("_key")
+    ends = placed.groupBy("_part").agg(*[F.max_by(c, F.when(c.isNotNull(), F.col("_key"))).alias(f"_e_{n}") for n, c in values.items()])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("_part", *[last(F.col(f"_e_{n}"), earlier).alias(f"_b_{n}") for n in values])
+    within = Window.partitionBy("_part").orderBy("_key")
+    out = placed.join(F.broadcast(before), "_part").withColumns({n: F.coalesce(last(c, within), F.col(f"_b_{n}")) for n, c in values.items()})
+    return out.drop("_key", "_part", *[f"_b_{n}" for n in values])
+
+
 def find_duplicates(table: DataFrame, dims: Sequence[str]) -> DataFrame:
     """table with is_potential_duplicate and duplicate_group: 1 for the most frequent key that occurs twice, 0 for unique keys.
 

@@ -15,21 +15,21 @@ SCHEMA = "id string, parent_id string, level int, action string, decision string
 
 
 def paths(log: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(id, depth, path): for every node that a root reaches, the ids from its root to itself.
+    """(id, depth, path, way): for every node that a root reaches, the ids from its root to itself, as text and as an array.
 
     Pieces of paths double in length each round, so a log of depth d takes about log2(d) joins, whatever its rows.
     An error if a path is longer than ``max_depth``, or a cycle.
     """
-    piece = kept(log.select("id", F.col("parent_id").alias("top"), F.col("id").cast("string").alias("path"), F.lit(0).alias("depth")))
+    piece = kept(log.select("id", F.col("parent_id").alias("top"), F.array(F.col("id").cast("string")).alias("way"), F.lit(0).alias("depth")))
     length = 1
     while piece.filter("top IS NOT NULL").limit(1).count():
         if length > max_depth:
             raise ValueError(f"the log is deeper than {max_depth}, or has a cycle")
-        above = piece.select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        above = piece.select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("way").alias("_way"), F.col("depth").alias("_depth"))
         longer = piece.filter("top IS NOT NULL").join(above, "top")
-        longer = longer.select("id", F.col("_top").alias("top"), F.concat("_path", F.lit(">"), "path").alias("path"), (F.col("depth") + F.col("_depth") + 1).alias("depth"))
+        longer = longer.select("id", F.col("_top").alias("top"), F.concat("_way", "way").alias("way"), (F.col("depth") + F.col("_depth") + 1).alias("depth"))
         piece, length = kept(piece.filter("top IS NULL").unionByName(longer)), 2 * length
-    return piece.select("id", "depth", "path")
+    return piece.select("id", "depth", F.array_join("way", ">").alias("path"), "way")
 
 
 def branches(log: DataFrame) -> DataFrame:
@@ -69,17 +69,22 @@ def decisions(log: DataFrame, node: str) -> DataFrame:
 
 
 def nested_json(log: DataFrame) -> DataFrame:
-    """(id, tree): every root with its branches as nested JSON, folded from the deepest level up."""
-    rows = log.select("id", "parent_id", "level", "action").join(paths(log).select("id", "depth"), "id")
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-    own = F.concat(F.lit('{"id":'), F.concat(F.lit('"'), F.col("id"), F.lit('"')), F.lit(',"action":"'), F.coalesce("action", F.lit("")), F.lit('","children":['), F.coalesce("inner", F.lit("")), F.lit("]}"))
-    below = None
-    for depth in range(deepest, -1, -1):
-        now = rows.filter(F.col("depth") == depth)
-        now = now.withColumn("inner", F.lit(None).cast("string")) if below is None else now.join(below, "id", "left")
-        built = now.withColumn("tree", own)
-        below = built.groupBy(F.col("parent_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("tree")), ",").alias("inner"))
-    return built.select("id", "tree")
+    """(id, tree): every root with its branches as nested JSON; children are in the order of their ids.
+
+    The nodes of a root are put in preorder by their ways from the root; each writes its own opening and as many closings
+    as the step to the next one asks for. A plan of a few joins for any depth that ``paths`` allows.
+    """
+    way = paths(log.select("id", "parent_id")).select("id", "depth", "way")
+    rows = log.select("id", F.coalesce("action", F.lit("")).alias("action")).join(way, "id")
+    own = F.to_json(F.struct("id", "action"))
+    opened = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"children":['))
+    order = Window.partitionBy("root").orderBy("way")
+    after = F.lead("depth").over(order)
+    up = F.when(after.isNull(), F.col("depth") + 1).otherwise(F.greatest(F.col("depth") - after + 1, F.lit(0)))
+    written = rows.withColumn("root", F.col("way")[0]).withColumn("piece", F.concat(opened, F.repeat(F.lit("]}"), up), F.when(after.isNotNull() & (up > 0), ",").otherwise("")))
+    # a tree is one text, so one row has to hold it
+    trees = written.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("way", "piece"))).alias("p"))
+    return trees.select(F.col("root").alias("id"), F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("tree"))
 
 
 def save(table: DataFrame, folder: str, node: str, parent: str | None, level: int, action: str, decision: str = "", options: Mapping[str, object] | None = None) -> DataFrame:

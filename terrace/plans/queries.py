@@ -15,7 +15,7 @@ from terrace.operators import catalog, categorize, discovery, extract, graph, jo
 from terrace.plans import levels, lineage
 from terrace.sources import readers, sinks
 
-from . import statistics_queries  # noqa: F401  (registers its queries)
+from . import linking_queries, statistics_queries  # noqa: F401  (registers its queries)
 from .registry import QUERIES, SQL, query, read  # noqa: F401  (QUERIES and SQL are for the callers)
 
 # Levels: down to one number and up again
@@ -1085,7 +1085,7 @@ _PARENTS = "(SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey > 0
 @query(f"""
 WITH RECURSIVE n AS (SELECT * FROM {_PARENTS}), w AS (SELECT id, 0 AS depth, id AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, w.depth + 1, w.path || '>' || n.id FROM w JOIN n ON n.parent_id = w.id) SELECT id, depth, path FROM w""")
 def lineage_paths(spark, d):
-    return lineage.paths(_log(spark, d))
+    return lineage.paths(_log(spark, d)).drop("way")
 
 
 @query(f"SELECT parent_id AS id, count(*) AS children FROM {_PARENTS} WHERE parent_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
