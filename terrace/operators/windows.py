@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -221,12 +222,37 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _near_boxes(boxes: DataFrame, dims: int) -> DataFrame:
+    """(a, b): the blocks b whose boxes lie within the radius of block a, from (block, low, high, radius) in Z-order.
+
+    A tree of two levels: n blocks in a row are put in boxes of about sqrt(n) each, so all pairs of the upper boxes are n;
+    those that are near enough are joined with their blocks on the number of the upper box.
+    """
+    n = boxes.count()
+    step = max(math.isqrt(n), 1)
+    own = boxes.withColumn("up", F.floor(F.col("block") / step).cast("long"))
+
+    def gap(la: str, ha: str, lb: str, hb: str) -> Column:
+        apart = [F.greatest(F.col(lb)[d] - F.col(ha)[d], F.col(la)[d] - F.col(hb)[d], F.lit(0.0)) for d in range(dims)]
+        return F.sqrt(reduce(lambda x, y: x + y, [g * g for g in apart], F.lit(0.0)))
+
+    ends = [F.array(*[f(F.col(c)[d]) for d in range(dims)]).alias(c) for c, f in (("low", F.min), ("high", F.max))]
+    upper = kept(own.groupBy("up").agg(*ends, F.max("radius").alias("radius")))
+    a = upper.select(F.col("up").alias("ua"), F.col("low").alias("la"), F.col("high").alias("ha"), "radius", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-n // step) - 1 if n else 0).cast("long"))).alias("ub"))
+    b = upper.select(F.col("up").alias("ub"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    near = F.col("radius") * (1 + 1e-9)
+    ups = a.join(b, "ub").filter(gap("la", "ha", "lb", "hb") <= near).select("ua", "ub")
+    x = own.select(F.col("up").alias("ua"), F.col("block").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), "radius")
+    y = own.select(F.col("up").alias("ub"), F.col("block").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    return ups.join(x, "ua").join(y, "ub").filter(gap("la", "ha", "lb", "hb") <= near).select("a", "b")
+
+
 def _exact(points: DataFrame, k: int) -> DataFrame:
     """(i, j, distance, n): the k nearest other points of each point (i, u), of equal distances the least j; null vectors are left out.
 
     Equal points are searched once, and only their k + 1 least ids can be neighbours. Distinct points go in Z-order into
     blocks of ``BLOCK`` or more; the k-th distance inside its own block bounds a point's search, and a block meets the
-    blocks whose boxes lie within its greatest bound. No task holds more than two blocks, whatever the input.
+    blocks whose boxes lie within its greatest bound, which a tree of boxes finds. No task holds more than two blocks, whatever the input.
     """
     own = kept(points.filter("u IS NOT NULL"))
     first = own.withColumn("_n", F.row_number().over(Window.partitionBy("u").orderBy("i"))).filter(F.col("_n") <= k + 1)
@@ -273,11 +299,7 @@ def _exact(points: DataFrame, k: int) -> DataFrame:
     real = pa.list_(pa.float64())
     shape = pa.schema([("block", pa.int64()), ("at", pa.list_(pa.int64())), ("w", pa.list_(pa.int32())), ("u", real), ("most", real), ("low", real), ("high", real), ("radius", pa.float64())])
     blocks = kept(dealt.mapInArrow(bounds, "block long, at array<long>, w array<int>, u array<double>, most array<double>, low array<double>, high array<double>, radius double"))
-    a = blocks.select(F.col("block").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), "radius")
-    b = blocks.select(F.col("block").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    gaps = [F.greatest(F.col("lb")[d] - F.col("ha")[d], F.col("la")[d] - F.col("hb")[d], F.lit(0.0)) for d in range(dims)]
-    gap = F.sqrt(reduce(lambda x, y: x + y, [g * g for g in gaps], F.lit(0.0)))
-    met = a.crossJoin(small(b)).filter(gap <= F.col("radius") * (1 + 1e-9)).select("a", "b")
+    met = _near_boxes(blocks.select("block", "low", "high", "radius"), dims)
     met = met.join(blocks.select(F.col("block").alias("a"), F.col("at").alias("at_a"), F.col("u").alias("u_a"), "most"), "a")
     met = met.join(blocks.select(F.col("block").alias("b"), F.col("at").alias("at_b"), "w", F.col("u").alias("u_b")), "b")
 

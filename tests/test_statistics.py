@@ -120,3 +120,32 @@ def test_scans_of_the_preparation_do_not_grow(spark, k, tmp_path):
 def test_no_aggregate_that_holds_all_values(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert not any(f"{f}(" in plan for f in ("percentile", "median", "mode"))
+
+
+@pytest.mark.parametrize("n, dims, block", [(400, 2, 8), (300, 5, 16), (50, 1, 512)])
+def test_nearest_neighbours_by_boxes(spark, monkeypatch, n, dims, block):
+    monkeypatch.setattr(windows, "BLOCK", block)
+    rng = np.random.default_rng(n)
+    points = np.concatenate([rng.normal(size=(n // 2, dims)), rng.normal(size=(n - n // 2, dims)) * 0.01 + 9, np.zeros((5, dims))])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "i int, v array<double>").repartition(3)
+    found = windows.nearest(df, "i", "v", 4)
+    assert "NestedLoop" not in (plan := found._jdf.queryExecution().toString()) and "CartesianProduct" not in plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.i, []).append((r.n, r.neighbour))
+    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    for i in range(len(points)):
+        want = sorted((far[i, j], j) for j in range(len(points)) if j != i)[:4]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+
+
+def test_pairs_of_boxes_grow_near_linearly(spark, monkeypatch):
+    """Four times the points: the blocks that meet are about four times as many, not sixteen."""
+    monkeypatch.setattr(windows, "BLOCK", 16)
+    met = []
+    near = windows._near_boxes
+    monkeypatch.setattr(windows, "_near_boxes", lambda boxes, dims: met.append(near(boxes, dims).count()) or near(boxes, dims))
+    for n in (1000, 4000):
+        rng = np.random.default_rng(7)
+        windows.nearest(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(rng.random((n, 2)))], "i int, v array<double>"), "i", "v", 3)
+    assert met[1] < 7 * met[0], met
