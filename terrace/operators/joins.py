@@ -181,19 +181,17 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, left_id:
     """(left id, right id, similarity) of all pairs of rows with cosine similarity of ``threshold`` or more.
 
     Exact, and block by block: vectors are put together in blocks of up to 512, and blocks are multiplied with blocks.
-    A side that a count finds small is broadcast, and the other is streamed against it; of two large sides, which are
-    written once, every partition meets every other, which takes time in proportion to their product.
-    ``similar_pairs_lsh`` is faster, but misses pairs. With ``others`` pairs of equal ids are left out. With ``best``
+    A side that a count finds small is broadcast, and the other is streamed against it. Two large sides are written once
+    as blocks around pivots, and only blocks that the triangle inequality doesn't keep apart are joined and multiplied:
+    few where vectors lie in clusters, most where they lie evenly in many dimensions. With ``others`` pairs of equal ids are left out. With ``best``
     only pairs that can be a left row's best one, equal to twelve digits, leave their block; ``best_match`` picks among these.
     Vectors that are null, hold a null, or differ in length pair with nothing; zero vectors have similarity 0.
     """
-    from .windows import kept
-
     sides = [(left.select(left_id, vector), left_id, "a"), (right.select(right_id, vector), right_id, "b")]
     few = next((name for df, _, name in sides if is_small(df)), None)
     a, b = (_vector_blocks(df, key, vector, name) for df, key, name in sides)
     if few is None:
-        met = kept(a).hint("shuffle_replicate_nl").crossJoin(kept(b))
+        met = _large(*sides, vector, threshold)
     else:
         met = F.broadcast(a).crossJoin(b) if few == "a" else a.crossJoin(F.broadcast(b))
     schema = StructType([StructField(left_id, left.schema[left_id].dataType), StructField(right_id, right.schema[right_id].dataType), StructField("similarity", DoubleType())])
@@ -217,6 +215,33 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, left_id:
     return met.filter("dims_a = dims_b").mapInArrow(multiply, schema)
 
 
+def _large(left: tuple[DataFrame, str, str], right: tuple[DataFrame, str, str], vector: str, threshold: float) -> DataFrame:
+    """Pairs of blocks of two large sides that may hold similar vectors; vectors of each length are joined by themselves."""
+    from . import pivots
+    from .windows import kept
+
+    sides = []
+    for df, key, _ in (left, right):
+        own = df.select(F.col(key).alias("i"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
+        sides.append(kept(own.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).withColumn("d", F.size("v"))))
+    lengths = [{r.d for r in side.select("d").distinct().collect()} for side in sides]
+    out = None
+    for d in sorted(lengths[0] & lengths[1]):
+        a, b = (side.filter(F.col("d") == d).select("i", "v") for side in sides)
+        centres = pivots.pivots(b)
+        if not len(centres):  # nothing but zeros and NaN, or no dimensions: one pivot that tells nothing apart
+            centres = np.eye(max(d, 1))[:1, :d]
+        x, y = kept(pivots.blocks(a, centres, "a")), kept(pivots.blocks(b, centres, "b"))
+        met = pivots.near_blocks(x, y, centres, threshold)
+        met = met.join(x.select(F.col("block").alias("block_a"), "ids_a", "vectors_a", "dims_a"), "block_a")
+        met = met.join(y.select(F.col("block").alias("block_b"), "ids_b", "vectors_b", "dims_b"), "block_b").drop("block_a", "block_b")
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        a, b = (_vector_blocks(df.limit(0), key, vector, name) for df, key, name in (left, right))
+        return a.crossJoin(b)
+    return out
+
+
 def similar_pairs_lsh(left: DataFrame, right: DataFrame, threshold: float, left_id: str, right_id: str, dims: int, vector: str = "vector", bands: int = 12, bits: int = 8) -> DataFrame:
     """As ``similar_pairs`` for two large sides: pairs that share a band of sign bits, then checked exactly.
 
