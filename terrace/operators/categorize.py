@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from terrace.functions import categories as C
 from terrace.functions import numeric
 
-from .joins import hashed_ngrams, small
+from .joins import best_match, hashed_ngrams, similar_pairs
+from .windows import kept
+
+#: Categories that are held in one row beside every item; more are joined.
+MOST_CATEGORIES = 1000
 
 
 def nearest_category(items: DataFrame, vectors: DataFrame, item_vector: str, threshold: float, default: str | None = None) -> DataFrame:
     """items with category and similarity: the most similar of ``vectors`` (category, vector), if ``threshold`` is reached; else the default."""
-    table = small(vectors.select(F.col("category").alias("_c"), numeric.unit(F.col("vector")).alias("_v")), 10_000)
+    if vectors.limit(MOST_CATEGORIES + 1).count() > MOST_CATEGORIES:
+        return _nearest_of_many(items, vectors, item_vector, threshold, default)
+    table = vectors.select(F.col("category").alias("_c"), numeric.unit(F.col("vector")).alias("_v"))
     best = table.agg(F.sort_array(F.collect_list(F.struct("_c", "_v"))).alias("_all"))  # one row of categories
     sims = F.transform("_all", lambda x: F.struct(numeric.dot(F.col("_u"), x["_v"]).alias("s"), x["_c"].alias("c")))
     top = F.aggregate(sims, F.struct(F.lit(-2.0).alias("s"), F.lit(None).cast("string").alias("c")), lambda a, x: F.when(x["s"] > a["s"], x).otherwise(a))
@@ -24,6 +30,13 @@ def nearest_category(items: DataFrame, vectors: DataFrame, item_vector: str, thr
     return out.withColumns({"category": F.when(found, F.col("_t.c")).otherwise(F.lit(default)), "similarity": F.col("_t.s")}).drop("_u", "_t", "_all")
 
 
+def _nearest_of_many(items: DataFrame, vectors: DataFrame, item_vector: str, threshold: float, default: str | None) -> DataFrame:
+    """As ``nearest_category`` by a similarity join; similarity below the threshold is null."""
+    rows = kept(items.withColumn("_i", F.monotonically_increasing_id()))
+    pairs = best_match(similar_pairs(rows.select("_i", F.col(item_vector).alias("vector")), vectors, threshold, "_i", "category", best=True), "_i", "category", "similarity")
+    return rows.join(pairs, "_i", "left").withColumn("category", F.coalesce("category", F.lit(default))).drop("_i")
+
+
 def centroids(points: DataFrame, label: str, vector: str, dims: int) -> DataFrame:
     """(category, vector): the mean vector of each label."""
     mean = points.groupBy(F.col(label).cast("string").alias("category")).agg(*[F.avg(F.col(vector)[i]).alias(f"v{i}") for i in range(dims)])

@@ -150,11 +150,13 @@ def relationship_summary(nodes: DataFrame, edges: DataFrame, sample: int = 3) ->
     out = table.select(F.col("from_id").alias("id"), F.col("from_name").alias("name"), "relationship", F.lit("to").alias("direction"), F.col("to_name").alias("other"))
     out = out.unionByName(table.select(F.col("to_id").alias("id"), F.col("to_name").alias("name"), "relationship", F.lit("from").alias("direction"), F.col("from_name").alias("other")))
     by = ["id", "name", "relationship", "direction"]
-    per_name = out.groupBy(*by, "other").agg(F.count(F.lit(1)).alias("c"))
     from pyspark.sql import Window
 
-    placed = per_name.withColumn("p", F.row_number().over(Window.partitionBy(*by).orderBy("other")))
-    return placed.groupBy(*by).agg(F.sum("c").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("p") <= sample, F.col("other")))), ", ").alias("sample"))
+    counts = out.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(F.struct(*by).alias("_k"), "n")
+    # filtered by place at once, so every task keeps ``sample`` names a node before they meet
+    few = out.select(*by, "other").distinct().filter("other IS NOT NULL").withColumn("p", F.row_number().over(Window.partitionBy(*by).orderBy("other"))).filter(F.col("p") <= sample)
+    names = few.groupBy(F.struct(*by).alias("_j")).agg(F.array_join(F.array_sort(F.collect_list("other")), ", ").alias("sample"))
+    return counts.join(names, F.col("_k").eqNullSafe(F.col("_j")), "left").select("_k.*", "n", F.coalesce("sample", F.lit("")).alias("sample"))
 
 
 def seed_subgraph(edges: DataFrame, limit: int = 50, without: Sequence[str] = ("FROM_SOURCE",)) -> DataFrame:
