@@ -4,6 +4,7 @@ are removed, and a document that loses too much of its text is rejected. Whole-d
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +30,17 @@ def _set(chars: str) -> np.ndarray:
 _SYMBOL, _STOP, _MARK, _UPPER, _LOWER = _set("#*$%&|<>"), _set(".!?"), _set("!#$%&*|<>?~^=_+"), np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = _LOWER[97:123] = True
 _SEPARATOR = _set("|>-/*=_~#")
+#: A sentence ends in one of these, and up to three closing marks (or one other ASCII character) after it.
+STOPS, CLOSING = ".!?\u2026\u3002\uff01\uff1f", "\"')]}*\u201d\u201c\u2019\u2018\u00bb\u00ab\u203a\u2039\u300d\u300f\uff09"
+_TAIL = re.compile(b"(?:%b)(?:[\\x00-\\x7f]|(?:%b){0,3})\\Z" % tuple(b"|".join(re.escape(c.encode()) for c in some) for some in (STOPS, CLOSING)), re.DOTALL)
+_CLOSING = _set("\"')]}*")
+_PAGES = np.unique([c.encode()[-2] for c in STOPS + CLOSING if len(c.encode()) > 1])
 #: Phrases of pages rather than of texts, in lower case.
 BOILERPLATE = (
     "all rights reserved", "terms of service", "terms of use", "privacy policy", "cookie policy", "we use cookies", "accept cookies", "enable javascript", "javascript is disabled",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "wir verwenden cookies", "hier klicken", "zum seitenanfang",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "nous utilisons des cookies", "cliquez ici", "lire la suite",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "utilizamos cookies", "haga clic aquí", "leer más",
     "lorem ipsum", "click here", "sign up", "log in", "subscribe to our", "share on facebook", "follow us on", "back to top", "skip to content", "read more",
 )
 
@@ -111,7 +120,11 @@ def judge(data: np.ndarray, cut: np.ndarray, rules: Rules) -> tuple[list[np.ndar
     counts.append(np.bincount(row_of, minlength=rows) - _distinct(row_of, word_hashes(data, ls, le, fold=False), rows))
     counts.append(_repeated(first, words))
     last, size = data[ends - 1], ends - starts
-    stop = _STOP[last] | ((size > 1) & _STOP[data[np.maximum(ends - 2, 0)]])
+    before = data[np.maximum(ends - 2, 0)]
+    stop = _STOP[last] | ((size > 1) & (last < 128) & _STOP[before])
+    # beyond these only words that end in a closing mark, or in a character of the pages where other stops are
+    for k in np.flatnonzero(~stop & (size > 1) & (_CLOSING[last] | np.isin(before, _PAGES))).tolist():
+        stop[k] = bool(_TAIL.search(data[max(starts[k], ends[k] - 16) : ends[k]].tobytes()))
     marked = (size > 2) & _MARK[last] & (data[np.maximum(ends - 2, 0)] == last)
     separator = (size == 1) & _SEPARATOR[last]
     long = n >= rules.sentence_words
@@ -127,7 +140,7 @@ def judge(data: np.ndarray, cut: np.ndarray, rules: Rules) -> tuple[list[np.ndar
         at = text.find(phrase.encode())
         while at >= 0:
             k = int(np.searchsorted(ls, at, "right")) - 1
-            if k >= 0 and at + len(phrase) <= le[k] and n[k] <= rules.boilerplate_words:  # inside one line of one row
+            if k >= 0 and at + len(phrase.encode()) <= le[k] and n[k] <= rules.boilerplate_words:  # inside one line of one row
                 fails[k] = True
             at = text.find(phrase.encode(), at + 1)
     counts.append(np.bincount(row_of, weights=np.where(fails, n, 0), minlength=rows).astype(np.int64))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,7 +149,7 @@ def _quoted(words: Iterable[str]) -> str:
 
 
 def _op6(r: quality.Rules = quality.Rules()) -> str:
-    """The counts and the line rules of op6; marks and ends of words are looked at in ASCII alone, as by the operator."""
+    """The counts and the line rules of op6; marks at the ends of words are ASCII ones, as for the operator."""
     split = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -157,7 +158,7 @@ g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_i
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, l, {split.format("l")} AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
 k AS (SELECT doc_id, l, len(w) AS n, len(list_distinct(w)) AS u, translate(l, '{_UPPER}', '{_LOWER}') AS low,
-  len(list_filter(w, lambda x: regexp_matches(x, '[.!?][\\x00-\\x7F]?$'))) AS stops,
+  len(list_filter(w, lambda x: regexp_matches(x, '[{quality.STOPS}](?:[\\x00-\\x7F]|[{re.escape(quality.CLOSING).replace("'", "''")}]{{0,3}})$'))) AS stops,
   len(list_filter(w, lambda x: length(x) > 2 AND right(x, 2) IN ({_quoted(2 * m for m in _MARKS)}))) AS marked,
   len(list_filter(w, lambda x: x IN ({_quoted(_SEPARATORS)}))) AS separators,
   length(regexp_replace(l, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(l, '[^a-z]', '', 'g')) AS lower FROM l WHERE len(w) > 0),

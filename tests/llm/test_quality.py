@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from terrace.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,3 +68,33 @@ def test_a_row_alone_and_in_any_batch(spark):
     for order in (range(len(texts)), reversed(range(len(texts)))):
         df = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").coalesce(1)
         assert {r.doc_id: tuple(r[n] for n in names) for r in quality.measure(df).collect()} == dict(enumerate(alone))
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "„Wir gehen heute nicht mehr in die Stadt“, sagte er und schwieg lange nein.“",
+        "Sie fragte, ob wir morgen wieder in die Schule gehen, und er kam nie zurück.“",
+        "Il était une fois dans une petite ville un homme qui ne disait rien…",
+        "Elle répondit que tout cela ne servait à rien et qu'il fallait partir !»",
+        "El hombre dijo que mañana volvería a la casa de su madre con nosotros?»)",
+        "They said that all of us had to leave the house before the winter.\")",
+        "彼 は 今日 も 学校 へ 行か なかった と 言って いた 。」",
+    ],
+)
+def test_sentence_ends_of_other_scripts_and_quotes(spark, line):
+    docs = spark.createDataFrame([(1, "\n".join([line] + [line.replace(" ", f" x{i} ", 1) for i in range(3)]))], "doc_id long, text string")
+    assert quality.measure(docs).first().n_lost_words == 0
+
+
+def test_words_without_a_sentence_end(spark):
+    for end in ("é", "…a é", "“", "a”“", "»", "é’s"):
+        line = f"eins zwei drei vier fünf sechs sieben acht neun zehn {end}"
+        docs = spark.createDataFrame([(1, line)], "doc_id long, text string")
+        assert quality.measure(docs).first().n_lost_words == len(line.split()), end
+
+
+def test_boilerplate_of_four_languages(spark):
+    text = "Alle Rechte vorbehalten.\nTous droits réservés.\nTodos los derechos reservados.\nAll rights reserved.\nEin ganz normaler Satz steht hier."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert quality.measure(docs).first().n_lost_words == 3 + 3 + 4 + 3
