@@ -171,6 +171,16 @@ def suggest(profiles: DataFrame, correlated: DataFrame, importance: DataFrame, m
     return single.unionByName(both).orderBy(F.desc("impact"), "kind", "features").limit(most)
 
 
+def top_features(importance: DataFrame, n: int = 5) -> DataFrame:
+    """The n rows (feature, importance) of highest importance, of equals the first by name; nulls come last."""
+    return importance.orderBy(F.desc_nulls_last("importance"), "feature").limit(n)
+
+
+def low_features(importance: DataFrame, least: float = 0.05) -> DataFrame:
+    """The rows (feature, importance) below ``least``."""
+    return importance.filter(F.col("importance") < least)
+
+
 def apply_suggestion(table: DataFrame, kind: str, features: Sequence[str], transform: str | None) -> DataFrame:
     if kind == "remove":
         return table.drop(*features)
