@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from terrace.functions.numeric import normal_cdf, normal_quantile
 
@@ -89,18 +90,87 @@ def validate(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> D
     return ks.join(both, "column").join(F.broadcast(error)).select("column", "similarity", F.abs(F.col("rm") - F.col("sm")).alias("mean_difference"), F.abs(F.col("rs") - F.col("ss")).alias("std_difference"), "correlation_error")
 
 
+#: Most rows that one row of the plan of draws is exploded into.
+DRAWS = 10_000
+
+
+def class_factors(rows: DataFrame, label: str, numbers: Sequence[str]) -> dict[object, np.ndarray]:
+    """{class: lower factor of the correlations of its columns' normal scores}; a class is a few d x d numbers on the driver."""
+    scored, d = rows, len(numbers)
+    for i, c in enumerate(numbers):
+        counts = rows.groupBy(label, c).agg(F.count(F.lit(1)).alias("_f"))
+        summed = windows.kept(windows.running(counts, F.struct(label, c), _upto=F.col("_f")))
+        sizes = summed.groupBy(label).agg(F.min(F.col("_upto") - F.col("_f")).alias("_before"), F.sum("_f").alias("_n"))  # one row a class
+        rank = F.col("_upto") - F.col("_before") - F.col("_f") + (F.col("_f") + 1) / 2
+        ranks = summed.join(small(sizes), label).select(F.col(label).alias("_l"), F.col(c).alias("_v"), normal_quantile(rank / (F.col("_n") + 1)).alias(f"_z{i}"))
+        scored = scored.join(ranks, (F.col(label) == F.col("_l")) & (F.col(c) == F.col("_v"))).drop("_l", "_v")
+    pairs = [(i, j) for i in range(d) for j in range(i)]
+    spread = lambda i, j: F.stddev_pop(f"_z{i}") * F.stddev_pop(f"_z{j}")
+    together = lambda i, j: F.when(spread(i, j) > 1e-12, F.covar_pop(f"_z{i}", f"_z{j}") / spread(i, j))  # noqa: E731  (null for a column of one value)
+    found = scored.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), *[together(i, j).alias(f"r{i}_{j}") for i, j in pairs])
+    out = {}
+    for r in found.collect():  # one row a class
+        m = np.eye(d)
+        for i, j in pairs:
+            v = r[f"r{i}_{j}"]
+            m[i, j] = m[j, i] = 0.0 if v is None or np.isnan(v) else v
+        out[r[label]] = np.linalg.cholesky(positive(m))
+    return out
+
+
+def generate_classes(table: DataFrame, label: str, sizes: Mapping[object, int], numbers: Sequence[str] | None = None, seed: int = 42, knots: int = 1000) -> DataFrame:
+    """(label, numbers...): so many new rows of each class, drawn from that class's own distributions and rank correlations.
+
+    All classes are one plan, whatever their number. A draw is a hash of (class, number of the row, column, seed), so a
+    lost executor's rows come again as they were. Rows with a null are left out of the fit; a class without others
+    gives no rows, and one of a single value gives that value. The driver holds a d x d factor a class.
+    """
+    numbers = list(numbers if numbers is not None else [c for c in quality.numeric_columns(table) if c != label])
+    spark, kind = table.sparkSession, table.schema[label].dataType
+    wanted = {k: n for k, n in sizes.items() if n > 0 and k is not None}
+    empty = table.select(label, *[F.col(c).cast("double").alias(c) for c in numbers]).limit(0)
+    if not wanted:
+        return empty
+    rows = windows.kept(table.select(label, *[F.col(c).cast("double").alias(c) for c in numbers]).na.drop().filter(F.col(label).isin(list(wanted))))
+    factors = class_factors(rows, label, numbers)
+    if not factors:
+        return empty
+    plan = spark.createDataFrame([(k, wanted[k], [float(x) for x in f.ravel()]) for k, f in factors.items()], StructType().add(label, kind).add("_n", "long").add("_l", ArrayType(DoubleType())))
+    parts = plan.select(label, "_l", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(DRAWS).cast("long"))).alias("_from"))
+    plan = parts.withColumn("_to", F.least(F.col("_from") + DRAWS, F.col("_n")) - 1)
+    drawn = plan.repartition(label, "_from").select(label, "_l", F.explode(F.sequence("_from", "_to")).alias("_i"))
+    grid = [i / knots for i in range(knots + 1)]
+    for i, c in enumerate(numbers):
+        marginal = windows.kept(statistics.group_quantiles(rows, [label], c, grid, f"_q{i}"))  # one row a class
+        drawn = drawn.join(small(marginal), label)
+    even = lambda i: (F.pmod(F.xxhash64(F.col(label), "_i", F.lit(i), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    d = len(numbers)
+    drawn = drawn.select("*", *[normal_quantile(even(i)).alias(f"_e{i}") for i in range(d)])
+    z = [reduce(lambda a, b: a + b, [F.col("_l")[i * d + j] * F.col(f"_e{j}") for j in range(i + 1)]) for i in range(d)]
+    placed = drawn.select(label, *[f"_q{i}" for i in range(d)], *[(normal_cdf(x) * knots).alias(f"_u{i}") for i, x in enumerate(z)])
+
+    def value(i: int) -> Column:
+        at = F.col(f"_u{i}")
+        low = F.greatest(F.lit(0), F.least(F.floor(at), F.lit(knots - 1))).cast("int")
+        a, b = F.col(f"_q{i}")[low], F.col(f"_q{i}")[low + 1]
+        return a + (b - a) * (at - low)
+
+    return placed.select(label, *[value(i).alias(c) for i, c in enumerate(numbers)])
+
+
+def targeted(table: DataFrame, label: str, of: object, n: int, numbers: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+    """n new rows of one class, as its own rows are distributed."""
+    return generate_classes(table, label, {of: n}, numbers, seed)
+
+
 def balanced(table: DataFrame, label: str, seed: int = 42) -> DataFrame:
     """table with synthetic rows of the smaller classes, up to the largest; classes under 10 rows stay as they are."""
     counts = table.groupBy(label).count().collect()  # one row a class
     top = max((r["count"] for r in counts), default=0)
     numbers = [c for c in quality.numeric_columns(table) if c != label]
     rows = table.select(label, *[F.col(c).cast("double").alias(c) for c in numbers])
-    out = rows
-    for r in counts:
-        if 10 <= r["count"] < top:
-            own = rows.filter(F.col(label) == r[label])
-            out = augment(out, generate(own, top - r["count"], numbers=numbers, seed=seed).withColumn(label, F.lit(r[label])).select(*rows.columns))
-    return out
+    made = generate_classes(rows, label, {r[label]: top - r["count"] for r in counts if 10 <= r["count"] < top}, numbers, seed)
+    return augment(rows, made)
 
 
 def benchmark(table: DataFrame, label: str, seeds: Sequence[int] = (42, 43, 44), row_id: str = "_rid") -> DataFrame:

@@ -15,7 +15,7 @@ from terrace.operators import catalog, categorize, discovery, extract, graph, jo
 from terrace.plans import levels, lineage
 from terrace.sources import readers, sinks
 
-from . import enrichment_queries, linking_queries, model_queries, statistics_queries  # noqa: F401  (registers its queries)
+from . import enrichment_queries, linking_queries, model_queries, report_queries, statistics_queries  # noqa: F401  (registers its queries)
 from .registry import QUERIES, SQL, query, read  # noqa: F401  (QUERIES and SQL are for the callers)
 
 # Levels: down to one number and up again

@@ -11,6 +11,7 @@ from terrace.sources import sinks
 
 def assess_fix_export(table: DataFrame, target: str, folder: str, row_id: str = "_rid") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(repaired table, log, report); the table goes to ``folder``/table as Parquet, log and report as CSV and JSON.
+    The report has scores, profile, suggestions, top and low features and anomalies with their reasons, as rows.
 
     Importance comes from ablation over the prepared features; columns that preparation drops have none.
     """
@@ -23,5 +24,7 @@ def assess_fix_export(table: DataFrame, target: str, folder: str, row_id: str =
     fixed, log = quality.apply_all(table, said, target, row_id)
     sinks.to_parquet(fixed, f"{folder}/table")
     sinks.to_csv(log, f"{folder}/log")
-    sinks.to_json(sinks.report_rows(report.withColumn("gain", quality.improvement(said, 0.0).first()["gain"] * F.lit(1.0))), f"{folder}/report")
+    scored = report.withColumn("gain", F.lit(quality.improvement(said, 0.0).first()["gain"]))
+    odd = quality.anomalies(table, numbers, row_id) if numbers else None
+    sinks.to_json(sinks.report_rows(scored, said, importance.withColumnRenamed("column", "feature"), odd), f"{folder}/report")
     return fixed, log, report

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType
+from pyspark.sql.types import DataType, FractionalType, IntegralType, StringType, StructType
 
 #: Spark reads these; ISO-8859-1 takes every byte, and letters of Windows texts are the same in it.
 ENCODINGS = ("utf-8", "iso-8859-1")
@@ -69,6 +71,99 @@ def read_folder(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFra
     return {name: read_sniffed(spark, path) for name, path in paths.items()}
 
 
+@dataclass(frozen=True)
+class Dialect:
+    """How a delimited file is written: its encoding, separator and decimal mark."""
+
+    encoding: str
+    sep: str
+    decimal: str
+
+
+#: Lines from the head of each file by which its dialect is judged.
+HEAD = 50
+
+
+def _fit(lines: Sequence[bytes], dialect: Dialect) -> tuple[int, int, int]:
+    """How well a dialect reads lines: cells of rows as wide as the first, then cells that are numbers; none if the encoding fails."""
+    try:
+        rows = [line.decode(dialect.encoding).split(dialect.sep) for line in lines if line.strip()]
+    except UnicodeDecodeError:
+        return (-1, -1, -1)
+    width = len(rows[0]) if rows else 0
+    alike = [r for r in rows if len(r) == width] if width > 1 else []
+    cells = [c.strip().strip('"') for r in alike[1:] for c in r]
+    parts = [c.removeprefix("-").split(dialect.decimal) for c in cells]
+    marked = sum(len(p) == 2 and all(x.isdigit() for x in p) for p in parts)
+    return (len(alike) * (width - 1), marked, sum(len(p) == 1 and p[0].isdigit() for p in parts))
+
+
+def best_dialect(lines: Sequence[bytes]) -> Dialect:
+    """The dialect that reads the lines best, of all combinations; of equals the first in the order of the constants, decimal points first."""
+    every = [Dialect(e, s, m) for e in ENCODINGS for s in SEPARATORS for m in (".", ",") if s != m]
+    return max(every, key=lambda d: (_fit(lines, d), -every.index(d)))
+
+
+def dialects(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, encoding, sep, decimal): the dialect of every file of a folder, judged by its first lines on the cluster, a file at a time."""
+    raw = spark.read.options(encoding="iso-8859-1", header=False, sep="\x01", quote="", maxCharsPerColumn=-1).schema("line string").csv(folder)
+    at = F.col("_metadata.file_path")
+    # the head of a file is the head of its first split; a split's lines come in order, and no more than HEAD of them are kept
+    first = raw.select(at.alias("path"), "line", F.col("_metadata.file_block_start").alias("start")).filter("start = 0")
+
+    def heads(batches):
+        left: dict[str, int] = {}
+        for rows in batches:
+            place = rows.groupby("path").cumcount()
+            taken = place + rows["path"].map(lambda p: left.get(p, 0)) < HEAD
+            for path, n in rows["path"].value_counts().items():
+                left[path] = left.get(path, 0) + int(n)
+            yield rows.loc[taken, ["path", "line"]].assign(place=(place + rows["path"].map(lambda p: left[p]))[taken])
+
+    def judge(rows):
+        import pandas as pd
+
+        lines = [(x or "").encode("latin-1", "replace") for x in rows.sort_values("place")["line"]]
+        d = best_dialect(lines)
+        return pd.DataFrame([(rows["path"].iloc[0], d.encoding, d.sep, d.decimal)], columns=["path", "encoding", "sep", "decimal"])
+
+    return first.mapInPandas(heads, "path string, line string, place long").groupBy("path").applyInPandas(judge, "path string, encoding string, sep string, decimal string")
+
+
+def read_dialects(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of a folder of delimited files with header lines, each in its own dialect, as one table of ``schema``.
+
+    Files of one dialect are one scan, so large files are split as usual. ``_file`` is the path; ``_bad`` is the row's
+    text where it has too few or too many cells, or a cell that its type can't hold (then that cell is null), else
+    null: bad rows are kept and can be counted. Columns are told by place; empty cells are null.
+    """
+    fields = StructType.fromDDL(schema).fields
+    groups: dict[Dialect, list[str]] = {}
+    for r in dialects(spark, folder).collect():  # a row a file
+        groups.setdefault(Dialect(r["encoding"], r["sep"], r["decimal"]), []).append(r["path"])
+    raw = StructType()
+    for f in fields:
+        raw = raw.add(f.name, "string")
+    raw = raw.add("_bad", "string")
+    parts = []
+    for d, paths in sorted(groups.items(), key=lambda x: str(x[0])):
+        rows = spark.read.options(header=True, sep=d.sep, encoding=d.encoding, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True).schema(raw).csv(paths)
+        cells = {f.name: _cell(F.col(f"`{f.name}`"), f.dataType, d.decimal) for f in fields}
+        lost = reduce(lambda a, b: a | b, [F.col(f"`{n}`").isNotNull() & c.isNull() for n, c in cells.items()], F.lit(False))
+        shown = F.concat_ws(d.sep, *[F.coalesce(F.col(f"`{f.name}`"), F.lit("")) for f in fields])
+        parts.append(rows.select(*[c.alias(n) for n, c in cells.items()], F.col("_metadata.file_path").alias("_file"), F.coalesce("_bad", F.when(lost, shown)).alias("_bad")))
+    if not parts:
+        return spark.createDataFrame([], f"{schema}, _file string, _bad string")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _cell(text: Column, kind: DataType, decimal: str) -> Column:
+    """A cell as its type; null if that can't hold it. Blanks between thousands don't count where commas are decimal marks."""
+    if decimal == "," and isinstance(kind, (FractionalType, IntegralType)):
+        text = F.replace(F.regexp_replace(text, r"[\s\u00a0\u202f]", ""), F.lit(","), F.lit("."))
+    return text.try_cast(kind)
+
+
 def read_pages(spark: SparkSession, path: str, schema: str, limit: int | None = None, offset: int = 0, order: Sequence[str] = ()) -> DataFrame:
     """Rows of JSON documents that are ``{"data": [...]}`` or lists; limit and offset need an order, without which they would be arbitrary."""
     if (offset or limit is not None) and not order:
