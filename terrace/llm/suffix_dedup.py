@@ -14,8 +14,12 @@ around it, about 75 of them, and a row is shuffled for each anchor instead of fo
    A string around the anchor is the pair of its prefix and its suffix, each cut off where the string ends: two strings
    are equal where both are in the same group at that depth. Equal here means equal bytes.
 
-Groups of very many different surroundings are dealt over tasks; strings that are alone in their task are counted
-over all tasks by a 128-bit digest.
+Groups of very many anchors are first narrowed by the place of the strings around them. A string that begins ``l`` bytes
+before the anchor, for l from a to b, holds the a bytes before it and the bytes after it that the string with l = b
+still reaches; so the strings of an anchor are halved by l, and each half meets only anchors with the same bytes there.
+Surroundings that are equal in all that a half's strings reach are repeats and go on as one; those that are alone
+drop out; groups that are still large are halved again. In the end a half is one string, and its group one surrounding.
+Rows meet by digests of these bytes (64 bits for groups, in which bytes are compared, 128 for equal surroundings).
 """
 
 from __future__ import annotations
@@ -30,11 +34,11 @@ from pyspark.sql import functions as F
 
 from .arrays import BLOCK, blocks, buffers, mix, powers, sliding_min
 from .cutting import cut_out, keep_texts, keyed
-from .tables import stage
+from .tables import bitmap_filter, stage
 
 _U = np.uint64
 ANCHOR = 50
-#: Groups of more anchors than this are dealt over tasks by their surroundings.
+#: Groups of more anchors than this are narrowed by the bytes around them.
 GROUP = 4000
 #: Rows of whole groups that one pass sorts together.
 TOGETHER = 4000
@@ -166,9 +170,11 @@ def _names(order: np.ndarray, common: np.ndarray, depths: np.ndarray) -> tuple[n
     return names, most
 
 
-def equal_strings(around: pa.Array, lo: np.ndarray, group: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(again, valid, table): which of the span - ANCHOR + 1 strings of each row occur in another row of its group,
-    which exist at all, and the bytes, with the anchor in the same column of every row."""
+def equal_strings(around: pa.Array, lo: np.ndarray, group: np.ndarray, span: int, wanted: np.ndarray, copied: np.ndarray) -> np.ndarray:
+    """Which of the span - ANCHOR + 1 strings of each row occur in another row of its group, or exist where the row is copied.
+
+    wanted: which strings to look at, for each row; a string is compared with those at the same place in other rows.
+    """
     reach = span - ANCHOR
     data, off = buffers(around)
     size = np.diff(off)
@@ -177,7 +183,7 @@ def equal_strings(around: pa.Array, lo: np.ndarray, group: np.ndarray, span: int
     row = np.repeat(np.arange(rows), size)
     table[row, np.arange(len(data)) - np.repeat(off[:-1] - (reach - lo), size)] = data
     place = np.arange(reach + 1)
-    valid = (place >= (reach - lo)[:, None]) & (place + span <= (reach - lo + size)[:, None])
+    valid = wanted & (place >= (reach - lo)[:, None]) & (place + span <= (reach - lo + size)[:, None])
     right, right_most = _names(*radix_order(table[:, reach:], group), ANCHOR + place)
     left, left_most = _names(*radix_order(np.ascontiguousarray(table[:, :reach][:, ::-1]), group), reach - place)
     some = valid & (ANCHOR + place <= right_most[:, None]) & (reach - place <= left_most[:, None])  # neither half is alone
@@ -187,38 +193,26 @@ def equal_strings(around: pa.Array, lo: np.ndarray, group: np.ndarray, span: int
         keys = (j.astype(_U) << _U(56)) | (left[r, j].astype(_U) << _U(28)) | right[r, j].astype(_U)
         _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
         again[r, j] = counts[inverse] > 1
-    return again, valid, table
+    return again | (valid & copied[:, None])
 
 
 def order_groups(groups: DataFrame, span: int) -> DataFrame:
-    """(h, c1, c2, first, last, key, weight): for each surrounding the first and last place of a repeated string.
+    """(h, c1, c2, first, last): for each surrounding the first and last place of a repeated string.
 
-    Rows come as (h, salt, c1, c2, n, lo, around, count) with groups together. In dealt groups a row with a key stands
-    for a string that may be repeated elsewhere; its weight is 2 if it is repeated here.
+    Rows come as (h, g, c1, c2, lo, around, count, a, b) with groups (h, g) together; only strings that begin a to b
+    bytes before the anchor are looked at.
     """
+    reach = span - ANCHOR
 
-    def solve(rows: pa.Table) -> list[pa.RecordBatch]:
-        h, salt, c1, c2, lo, count = (rows[k].to_numpy() for k in ("h", "salt", "c1", "c2", "lo", "count"))
-        hot = rows["n"].to_numpy() > GROUP
-        group = np.cumsum(np.append(True, (np.diff(h) != 0) | (np.diff(salt) != 0)))
-        again, valid, table = equal_strings(rows["around"], lo, group, span)
-        again |= (count > 1)[:, None] & valid
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        h, g, c1, c2, lo, count, a, b = (rows[k].to_numpy() for k in ("h", "g", "c1", "c2", "lo", "count", "a", "b"))
+        group = np.cumsum(np.append(True, (np.diff(h) != 0) | (np.diff(g) != 0)))
+        before = reach - np.arange(reach + 1)
+        again = equal_strings(rows["around"], lo, group, span, (before >= a[:, None]) & (before <= b[:, None]), count > 1)
         some = again.any(axis=1)
         first, last = again.argmax(axis=1), again.shape[1] - 1 - again[:, ::-1].argmax(axis=1)
-        out = [_rows(h[some], c1[some], c2[some], first[some], last[some], None, None)]
-        if hot.any():
-            raw, seeds = table.tobytes(), h.view(_U)
-
-            def digest(r: np.ndarray, j: np.ndarray) -> list[bytes]:
-                """Digests of strings with their anchor and place: a document's string isn't equal to itself around its next anchor."""
-                seed = (mix(seeds[r] + j.astype(_U))).tolist()
-                return [xxhash.xxh3_128_digest(raw[a : a + span], seed=x) for a, x in zip((r * table.shape[1] + j).tolist(), seed)]
-
-            r, j = np.nonzero(valid & ~again & hot[:, None])
-            out.append(_rows(h[r], c1[r], c2[r], j, j, digest(r, j), np.ones(len(r), np.int64)))
-            known = list(set(digest(*np.nonzero(again & hot[:, None]))))
-            out.append(_rows(None, None, None, None, None, known, np.full(len(known), 2)))
-        return out
+        kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()
+        return pa.RecordBatch.from_arrays([pa.array(x[some], t) for x, t in zip((h, c1, c2, first, last), kinds)], names=["h", "c1", "c2", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -226,28 +220,78 @@ def order_groups(groups: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, salt = batch["h"].to_numpy(), batch["salt"].to_numpy()
-            starts = np.flatnonzero((np.diff(h) != 0) | (np.diff(salt) != 0)) + 1
+            h, g = batch["h"].to_numpy(), batch["g"].to_numpy()
+            starts = np.flatnonzero((np.diff(h) != 0) | (np.diff(g) != 0)) + 1
             at = 0
             for cut in [*starts.tolist(), batch.num_rows]:
-                new_group = bool(held) and at < batch.num_rows and (held[-1]["h"][-1].as_py() != h[at] or held[-1]["salt"][-1].as_py() != salt[at])
+                new_group = bool(held) and at < batch.num_rows and (held[-1]["h"][-1].as_py() != h[at] or held[-1]["g"][-1].as_py() != g[at])
                 if new_group and size >= TOGETHER:
-                    yield from solve(pa.Table.from_batches(held).combine_chunks())
+                    yield solve(pa.Table.from_batches(held).combine_chunks())
                     held, size = [], 0
                 held.append(batch.slice(at, cut - at))
                 size += cut - at
                 at = cut
         if held:
-            yield from solve(pa.Table.from_batches(held).combine_chunks())
+            yield solve(pa.Table.from_batches(held).combine_chunks())
+
+    return groups.mapInArrow(run, "h long, c1 long, c2 long, first int, last int")
+
 
-    return groups.mapInArrow(run, "h long, c1 long, c2 long, first int, last int, key binary, weight long")
+_NODE = "h long, g long, c1 long, c2 long, lo int, around binary, count long, a int, b int"
 
 
-def _rows(h, c1, c2, first, last, key, weight) -> pa.RecordBatch:
-    n = len(key) if h is None else len(h)
-    of = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
-    numbers = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()
-    return pa.RecordBatch.from_arrays([*(of(x, t) for x, t in zip((h, c1, c2, first, last), numbers)), of(key, pa.binary()), of(weight, pa.int64())], names=["h", "c1", "c2", "first", "last", "key", "weight"])
+def halves(nodes: DataFrame, span: int) -> DataFrame:
+    """Each row of a group twice: for the strings of its lower and of its upper half of beginnings, where it has any.
+
+    g: digest of the bytes that all strings of the half hold; u1, u2: of all bytes that they reach; first, last: their places.
+    """
+    reach, mask = span - ANCHOR, (1 << 64) - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch[k].to_pylist() for k in ("h", "lo", "around", "a", "b")))
+            of, out = [], []
+            for i, (h, lo, raw, a, b) in enumerate(rows):
+                after = len(raw) - lo
+                middle = (a + b) // 2
+                for p, q in ((a, middle), (middle + 1, b)):
+                    low, high = max(p, span - after), min(q, lo)
+                    if low > high:
+                        continue
+                    left, right = min(q, lo), min(span - p, after)
+                    g = xxhash.xxh3_64_intdigest(raw[lo - p : lo + span - q], seed=(h + (p << 20) + (q << 40)) & mask)
+                    u = xxhash.xxh3_128_intdigest(raw[lo - left : lo + right], seed=(left << 20) + right)
+                    of.append(i)
+                    out.append((signed(g), p, q, signed(u >> 64), signed(u & mask), reach - high, reach - low))
+            g, p, q, u1, u2, first, last = zip(*out) if out else ((),) * 7
+            at = pa.array(of, pa.int64())
+            kept = [batch[k].take(at) for k in ("h", "c1", "c2", "lo", "around", "count")]
+            whole = [pa.array(x, t) for x, t in ((g, pa.int64()), (p, pa.int32()), (q, pa.int32()), (u1, pa.int64()), (u2, pa.int64()), (first, pa.int32()), (last, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([kept[0], whole[0], *kept[1:], *whole[1:]], names=["h", "g", "c1", "c2", "lo", "around", "count", "a", "b", "u1", "u2", "first", "last"])
+
+    return nodes.select("h", "g", "c1", "c2", "lo", "around", "count", "a", "b").mapInArrow(run, f"{_NODE}, u1 long, u2 long, first int, last int")
+
+
+def narrowed(nodes: DataFrame, span: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(found, small): places (h, c1, c2, first, last) that are repeats already, and rows of groups of up to GROUP members.
+
+    nodes are rows of larger groups. Only counts and digests are shuffled until it is known which rows meet others.
+    """
+    found, small = [], []
+    by = ("g", "u1", "u2")
+    while not nodes.isEmpty():
+        halved = halves(nodes, span)
+        slim = stage(halved.select(*by, "h", "c1", "c2", "first", "last"))
+        same = stage(slim.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("c1", "c2")).alias("kept")))
+        equal = same.filter("k > 1").select(*by)
+        found.append(stage(slim.join(equal, [*by]).select("h", "c1", "c2", "first", "last")))
+        sizes = same.groupBy("g").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        keepers = stage(same.join(sizes, "g").select(*by, "kept.c1", "kept.c2", "size"))
+        rows = stage(bitmap_filter(halved, keepers, "g").join(keepers, [*by, "c1", "c2"]))
+        small.append(rows.filter(F.col("size") <= GROUP))
+        nodes = rows.filter(F.col("size") > GROUP)
+    return found, small
 
 
 def repeated_spans(docs: DataFrame, span: int = 200) -> DataFrame:
@@ -255,17 +299,24 @@ def repeated_spans(docs: DataFrame, span: int = 200) -> DataFrame:
 
     docs come from ``keyed``.
     """
-    of = ("h", "c1", "c2")
+    of, reach = ("h", "c1", "c2"), span - ANCHOR
     around = stage(surroundings(docs, span).withColumns({"c1": F.xxhash64("lo", "around"), "c2": F.xxhash64("around", "lo")}))
-    salted = around.withColumn("salt", F.when(F.col("n") > GROUP, F.pmod("c1", F.ceil(F.col("n") / GROUP))).otherwise(F.lit(0)))
     # equal surroundings meet before groups do, so that copies of one text are one row
-    distinct = salted.groupBy("h", "salt", "c1", "c2", "n", "lo", "around").agg(F.count(F.lit(1)).alias("count"))
-    groups = distinct.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    solved = stage(order_groups(groups, span))
-    known = stage(solved.filter("key IS NOT NULL").groupBy("key").agg(F.sum("weight").alias("w")).filter("w > 1").select("key"))
-    late = solved.filter("key IS NOT NULL AND h IS NOT NULL").join(known, "key").select(*of, "first", "last")
-    reach = span - ANCHOR
-    places = stage(solved.filter("key IS NULL").select(*of, "first", "last").union(late).groupBy(*of).agg((F.min("first") - reach).alias("a"), (F.max("last") - reach + span).alias("b")))
+    distinct = around.groupBy("h", "c1", "c2", "n", "lo", "around").agg(F.count(F.lit(1)).alias("count"))
+    node = distinct.select("h", F.col("h").alias("g"), "c1", "c2", "lo", "around", "count", F.lit(0).alias("a"), F.lit(reach).alias("b"), "n")
+    groups, found = node.filter(F.col("n") <= GROUP).drop("n"), []
+    if not around.filter(F.col("n") > GROUP).isEmpty():
+        hot = stage(node.filter(F.col("n") > GROUP).drop("n"))
+        after = F.length("around") - F.col("lo")
+        found.append(hot.filter("count > 1").select(*of, (reach - F.col("lo")).alias("first"), (reach - F.greatest(F.lit(0), span - after)).alias("last")))
+        sure, small = narrowed(hot, span)
+        found += sure
+        for rows in small:
+            groups = groups.unionByName(rows.select(*groups.columns))
+    solved = order_groups(groups.repartition("h", "g").sortWithinPartitions("h", "g"), span)
+    for places in found:
+        solved = solved.unionByName(places)
+    places = stage(solved.groupBy(*of).agg((F.min("first") - reach).alias("a"), (F.max("last") - reach + span).alias("b")))
     hits = around.select("doc_id", "version", "pos", *of).join(places, [*of])
     return hits.groupBy("doc_id", "version").agg(F.collect_list(F.struct((F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"))).alias("spans"))
 

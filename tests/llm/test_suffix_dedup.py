@@ -38,7 +38,7 @@ def corpus(rng):
     return docs + [(300, None), (301, ""), (302, noise(199)), (303, noise(200))]
 
 
-@pytest.mark.parametrize("group", [4000, 3])
+@pytest.mark.parametrize("group", [4000, 3, 1])
 def test_against_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     docs = corpus(random.Random(7))
@@ -68,3 +68,26 @@ def test_radix_order():
 
 def test_empty(spark):
     assert run(spark, [], 200) == []
+
+
+def test_many_texts_share_a_short_passage(spark, monkeypatch):
+    """Nothing to remove: an anchor is dealt a few times, whatever the number of texts that share its surroundings."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop qrs") for _ in range(n))
+    passage = noise(150)
+    docs = [(i, noise(200) + passage + noise(200)) for i in range(600)]
+    monkeypatch.setattr(suffix_dedup, "GROUP", 50)
+    dealt = []
+    halves = suffix_dedup.halves
+    monkeypatch.setattr(suffix_dedup, "halves", lambda nodes, span: dealt.append(nodes.count()) or halves(nodes, span))
+    assert run(spark, docs, 200) == brute(docs, 200)
+    assert 2 * sum(dealt) < 12 * 600
+
+
+def test_many_texts_share_a_long_passage(spark, monkeypatch):
+    rng = random.Random(10)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop qrs") for _ in range(n))
+    passage = noise(260)
+    docs = [(i, noise(rng.randrange(150)) + passage[rng.randrange(30) :] + noise(rng.randrange(150))) for i in range(300)]
+    monkeypatch.setattr(suffix_dedup, "GROUP", 20)
+    assert run(spark, docs, 200) == brute(docs, 200)
