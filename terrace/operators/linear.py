@@ -154,3 +154,58 @@ def permutation(table: DataFrame, features: Sequence[str], target: str, fold: st
     lost = np.maximum(lost, 0)
     top = lost.max(initial=0.0)
     return {f: float(v / top) if top > 0 else 0.0 for f, v in zip(features, lost)}
+
+
+def transfer(real: DataFrame, made: DataFrame, features: Sequence[str], target: str, fold: str, penalty: float = PENALTY) -> list[tuple[int, str, float, float]]:
+    """[(fold, 'real' or 'synthetic', accuracy, f1)]: models of each class tested on the real rows of a fold.
+
+    The real model is trained on the real rows of the other folds, the synthetic one on the rows of ``made`` that carry
+    this fold (those that were made from the other folds). f1 is weighted by the classes' real rows. Three jobs: sums of
+    either side, and one count of (true, said) classes for all models. A row's class is that of the greatest value, of
+    equals the first by name; classes that ``made`` lacks are never said by its model. Rows with a null are left out; a
+    fold without made rows gets no synthetic result. The driver holds sums and counts, as many as folds and classes have.
+    """
+    names = sorted(r[0] for r in real.filter(F.col(f"`{target}`").isNotNull()).select(F.col(f"`{target}`").cast("string")).distinct().toLocalIterator())
+    p, k = len(features), len(names)
+    if not k:
+        return []
+
+    def wide(table: DataFrame) -> DataFrame:
+        said = F.col(f"`{target}`").cast("string")
+        return table.select(F.col(f"`{fold}`").cast("int").alias("_f"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)], *[(said == name).cast("double").alias(f"y{i}") for i, name in enumerate(names)])
+
+    columns = [f"x{i}" for i in range(p)] + [f"y{i}" for i in range(k)]
+    rows = wide(real)
+    sums, other = gram(rows, columns, "_f"), gram(wide(made), columns, "_f")
+    total = sum(sums.values()) if sums else 0
+
+    def models(m: np.ndarray) -> np.ndarray:
+        weights = np.array([ridge(m, range(1, p + 1), p + 1 + c, penalty)[: p + 1] for c in range(k)])
+        weights[m[0, p + 1 :] == 0, 0] = -np.inf  # a class without rows is never said
+        return weights
+
+    sides = {f: {"real": models(total - sums[f])} | ({"synthetic": models(other[f])} if f in other else {}) for f in sums}
+    schema = pa.schema([("f", pa.int32()), ("side", pa.string()), ("truth", pa.int32()), ("said", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:])])
+            f = batch["_f"].to_numpy(zero_copy_only=False)
+            known = ~np.isnan(x).any(axis=1)
+            for one in np.unique(f[known]).tolist():
+                own = x[known & (f == one)]
+                truth = own[:, p + 1 :].argmax(axis=1)
+                for side, w in sides[int(one)].items():
+                    score = own[:, 1 : p + 1] @ w[:, 1:].T + w[:, 0]
+                    cells, n = np.unique(truth * k + score.argmax(axis=1), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), one, np.int32)), pa.array([side] * len(n)), pa.array((cells // k).astype(np.int32)), pa.array((cells % k).astype(np.int32)), pa.array(n.astype(np.int64))], schema=schema)
+
+    seen = {(f, side): np.zeros((k, k)) for f in sides for side in sides[f]}
+    for r in rows.filter("_f IS NOT NULL").mapInArrow(run, "f int, side string, truth int, said int, n long").groupBy("f", "side", "truth", "said").agg(F.sum("n").alias("n")).collect():
+        seen[r.f, r.side][r.truth, r.said] = r.n
+    out = []
+    for (f, side), m in sorted(seen.items()):
+        support, both = m.sum(axis=1), m.sum(axis=1) + m.sum(axis=0)
+        f1 = np.divide(2 * np.diag(m), both, out=np.zeros(k), where=both > 0)
+        out.append((f, side, float(np.trace(m) / m.sum()), float(support @ f1 / m.sum())))
+    return out

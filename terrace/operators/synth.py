@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from terrace.functions.numeric import normal_cdf, normal_quantile
 
-from . import metrics, quality, statistics, windows
+from . import linear, metrics, quality, statistics, windows
 from .joins import small
 from .sets import augment
 
@@ -203,3 +203,30 @@ def benchmark(table: DataFrame, label: str, seeds: Sequence[int] = (42, 43, 44),
         train.unpersist()
         test.unpersist()
     return table.sparkSession.createDataFrame(out, "model string, seed int, accuracy double, f1 double, gap double")
+
+
+def fold_benchmark(table: DataFrame, label: str, fold: str, numbers: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+    """(fold, accuracy, f1, synthetic_accuracy, synthetic_f1, gap): linear models trained on the other folds' real rows, and on as many synthetic ones.
+
+    Both are tested on the fold's real rows; gap is real less synthetic accuracy. The synthetic rows of all folds and
+    classes come from one plan: a row takes part in the training set of every other fold, and (fold, class) is the
+    class that is drawn. Classes of under 10 rows in a training set are not drawn. Rows with a null in any column are left
+    out; a table of one fold has nothing to train on and gives no rows, nor does an empty one.
+    """
+    numbers = list(numbers if numbers is not None else [c for c in quality.numeric_columns(table) if c not in (label, fold)])
+    rows = table.select(F.col(f"`{fold}`").cast("int").alias("_fold"), F.col(f"`{label}`").cast("string").alias("_t"), *[F.col(f"`{c}`").cast("double").alias(f"_n{i}") for i, c in enumerate(numbers)]).na.drop()
+    columns = [f"_n{i}" for i in range(len(numbers))]
+    folds = sorted(r[0] for r in rows.select("_fold").distinct().collect())  # a handful
+    schema = "fold int, accuracy double, f1 double, synthetic_accuracy double, synthetic_f1 double, gap double"
+    if len(folds) < 2:
+        return table.sparkSession.createDataFrame([], schema)
+    others = rows.select(F.explode(F.filter(F.array(*[F.lit(f) for f in folds]), lambda f: f != F.col("_fold"))).alias("_f"), "_t", *columns)
+    train = others.select(F.concat_ws("|", "_f", "_t").alias("_k"), *columns)
+    sizes = {r["_k"]: r["count"] for r in train.groupBy("_k").count().collect() if r["count"] >= 10}  # one row a fold and class
+    drawn = generate_classes(train, "_k", sizes, columns, seed)
+    made = drawn.select(F.substring_index("_k", "|", 1).cast("int").alias("_fold"), F.expr("substring(_k, locate('|', _k) + 1)").alias("_t"), *columns)
+    found: dict[int, dict[str, tuple[float, float]]] = {}
+    for f, side, accuracy, f1 in linear.transfer(rows, made, columns, "_t", "_fold"):
+        found.setdefault(f, {})[side] = (accuracy, f1)
+    out = [(f, *s["real"], *s.get("synthetic", (None, None)), s["real"][0] - s["synthetic"][0] if "synthetic" in s else None) for f, s in found.items()]
+    return table.sparkSession.createDataFrame(out, schema)

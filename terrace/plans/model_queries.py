@@ -1,11 +1,11 @@
-"""Queries of models whose scores follow from sums: ablation and permutation importance."""
+"""Queries of models whose scores follow from sums: ablation and permutation importance, models of synthetic rows."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from terrace.operators import linear, quality
+from terrace.operators import linear, quality, synth
 
 from .registry import query, read
 
@@ -82,3 +82,15 @@ SELECT unnest([{{'feature': 'a', 'importance': round(a / greatest(a, b), 6)}}, {
 def permutation_importance(spark, d):
     rows = _rows(spark, d, _price())
     return _named(spark, linear.permutation(rows, ["a", "b"], "y", "fold"))
+
+
+@query(f"""WITH {_ridge_sql(_HIGH)},
+h AS (SELECT d.fold, y = 1 AS truth, w0 + wa * a + wb * b >= 0.5 AS said FROM m JOIN d ON m.fold = d.fold WHERE ua + ub = 2),
+k AS (SELECT fold, count(*) AS n, count(*) FILTER (truth AND said) AS hh, count(*) FILTER (NOT truth AND NOT said) AS ll, count(*) FILTER (truth) AS th, count(*) FILTER (said) AS sh FROM h GROUP BY fold)
+SELECT CAST(fold AS INTEGER) AS fold, round((hh + ll)::DOUBLE / n, 6) AS accuracy,
+  round((th * (2.0::DOUBLE * hh / (th + sh)) + (n - th) * (2.0::DOUBLE * ll / (2 * n - th - sh))) / n, 6) AS f1, TRUE AS close FROM k""")
+def synthetic_benchmark(spark, d):
+    rows = _rows(spark, d, F.when(_price() > 115, "high").otherwise("low"))
+    found = synth.fold_benchmark(rows, "y", "fold", ["a", "b"])
+    # a linear model needs means and correlations of the classes, which the draws keep
+    return found.select("fold", F.round("accuracy", 6).alias("accuracy"), F.round("f1", 6).alias("f1"), (F.abs("gap") < 0.02).alias("close"))

@@ -96,3 +96,42 @@ def test_benchmark_of_synthetic_rows(spark):
     rows = [(i, "pq"[i % 2], float(rng.normal() + 4 * (i % 2)), float(rng.normal())) for i in range(300)]
     out = synth.benchmark(spark.createDataFrame(rows, "_rid int, label string, u double, v double"), "label", seeds=(42,)).collect()
     assert out and all(r.accuracy > 0.8 and abs(r.gap) < 0.2 for r in out), out
+
+
+def test_transfer_between_real_and_made_rows(spark):
+    x, y, f = data()
+    names = np.where(y > 1, "high", np.where(y < -3, "low", "middle"))
+    rng = np.random.default_rng(9)
+    made_x = x + rng.normal(size=x.shape) * [0.3, 1, 0.1, 0]
+    made_fold = np.where(names == "low", 0, (f + 1) % 3)  # folds 1 and 2 have no made row of the class low
+    features = ["a", "b", "c", "k"]
+    real = frame(spark, x, names, f, "string").unionByName(spark.createDataFrame([(None, 1.0, 1.0, 1.0, "high", 0), (1.0, 1.0, 1.0, 1.0, None, 1)], "a double, b double, c double, k double, y string, fold int"))
+    got = {(r[0], r[1]): r[2:] for r in linear.transfer(real, frame(spark, made_x, names, made_fold, "string"), features, "y", "fold")}
+    assert len(got) == 6
+    for (k, side), (accuracy, f1) in got.items():
+        own_x, own_y = (x[f != k], names[f != k]) if side == "real" else (made_x[made_fold == k], names[made_fold == k])
+        classes = [n for n in ("high", "low", "middle") if (own_y == n).any()]
+        models = [fit(own_x, (own_y == n).astype(float)) for n in classes]
+        said, truth = np.array(classes)[np.argmax([b + x[f == k] @ w for b, w in models], axis=0)], names[f == k]
+        assert accuracy == pytest.approx((said == truth).mean())
+        per = {n: 2 * ((said == n) & (truth == n)).sum() / max((said == n).sum() + (truth == n).sum(), 1) for n in ("high", "low", "middle")}
+        assert f1 == pytest.approx(sum(per[n] * (truth == n).mean() for n in per))
+    assert linear.transfer(real.limit(0), real, features, "y", "fold") == []
+    assert [r[:2] for r in linear.transfer(real, real.limit(0), features, "y", "fold")] == [(0, "real"), (1, "real"), (2, "real")]
+
+
+def test_fold_benchmark(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.normal() + (2 if i % 2 else 0)), float(rng.normal()), "p|q" if i % 2 else "r", i // 2 % 3) for i in range(3000)]
+    rows += [(9000 + i, 0.0, 0.0, "rare", i % 3) for i in range(6)] + [(9990, None, 0.0, "r", 0)]
+    table = spark.createDataFrame(rows, "_k long, a double, b double, kind string, part int")
+    got = synth.fold_benchmark(table.drop("_k"), "kind", "part").orderBy("fold").collect()
+    assert [r.fold for r in got] == [0, 1, 2]
+    for r in got:
+        assert 0.78 < r.accuracy < 0.9 and 0.78 < r.f1 < 0.9 and abs(r.gap) < 0.02 and r.gap == pytest.approx(r.accuracy - r.synthetic_accuracy)
+    clashing = table.withColumnsRenamed({"a": "_n1", "b": "_t", "part": "_f"})
+    assert [round(r.accuracy, 9) for r in synth.fold_benchmark(clashing, "kind", "_f", ["_n1", "_t"]).orderBy("fold").collect()] == [round(r.accuracy, 9) for r in got]
+    assert synth.fold_benchmark(table.limit(0), "kind", "part").count() == 0
+    assert synth.fold_benchmark(table.filter("part = 1"), "kind", "part").count() == 0
+    few = synth.fold_benchmark(table.filter("kind = 'rare'"), "kind", "part", ["a", "b"]).collect()
+    assert len(few) == 3 and all(r.accuracy == 1 and r.gap is None for r in few)
