@@ -156,7 +156,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFram
     Words are runs of ASCII letters (A-Z as a-z), digits and characters beyond ASCII. A window is ``span`` consecutive
     words of an item; an item of fewer words, but not none, is one window. Null and empty texts have no words and no
     hits; null item ids count as no item, though their windows mark words; an item that occurs twice counts once;
-    each document row gives one result row, also if rows repeat. Without items nothing is hit.
+    each document row gives one result row, also if rows repeat. Without items nothing is hit; without documents there
+    are no rows. Other columns of either table are left out.
     """
     bits, short, windows = _benchmark(items, span)
     rows = candidates(docs, bits, short, span).withColumn("row", F.monotonically_increasing_id())

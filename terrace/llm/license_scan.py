@@ -302,7 +302,7 @@ def scan(docs: DataFrame, known: tuple = SENTENCES, rules: tuple = RULES) -> Dat
     """(doc_id, licenses, sentence_ids, n_unmatched): for every document its licences, sorted and distinct.
 
     sentence_ids is the sequence found; n_unmatched counts its members that no rule used. Null and empty texts have
-    none; every row gives one row, whatever its id; other columns are left out.
+    none; every row gives one row, whatever its id, so an empty table gives none; other columns are left out.
     """
     # A search for plain words in the lower-cased text spares most texts the pattern, which is many times as slow.
     maybe = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col("_low").contains(word) for word in words]) for words in _HOLDS])

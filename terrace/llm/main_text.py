@@ -243,8 +243,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page, and its code points.
 
-    Null and empty html give an empty text; every row gives one row, whatever its id and url, repeated or null.
-    Other columns are left out.
+    Null and empty html give an empty text; every row gives one row, whatever its id and url, repeated or null, so an
+    empty table gives none. Other columns are left out.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -263,7 +263,7 @@ def near_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     the whole sequence of a shorter text. Documents of ``percent`` % Jaccard similarity are linked; component_id is
     the least doc_id that links reach, and kept marks that document. Null, empty and blank texts have no shingles and
     stand alone; a null id stays null, has no component and is kept; rows repeat as in the input, as one document each
-    with the same id. Other columns are left out.
+    with the same id. Other columns are left out; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     sketched = stage(sketches(docs, band_count(percent)))

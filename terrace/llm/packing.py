@@ -110,7 +110,8 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, open_windows: int =
     A document is its ids and ``end_id``; null and empty texts are ``end_id`` alone; null ids and repeated rows stay
     as they are. Every id lies in exactly one piece. A document longer than a window fills whole windows first. Pieces
     are cut only to fill a window of ``min_cut`` or more free places that must be closed. ``group`` is the number of
-    tasks whose open windows one task of the next round merges.
+    tasks whose open windows one task of the next round merges. Of windows that are equally full any may be taken. Other
+    columns are left out; an empty table gives no rows.
     """
     path = vocabulary or default_vocabulary()
 

@@ -155,7 +155,7 @@ def measure(docs: DataFrame, rules: Rules = Rules(), clean: bool = False) -> Dat
 
     Words are runs of characters other than ASCII white space. base_failed: under 20 words, or over 30 % of the words
     in repeated 8-word windows. kept: not base_failed, and the line rules take no more than ``max_lost`` of the words.
-    Null and empty texts have no words and fail; null stays null. Every row gives one row, whatever its id; other
+    Null and empty texts have no words and fail; null stays null. Every row gives one row, whatever its id (none for an empty table); other
     columns stay, those of the result's names are replaced. A row's result depends on its own text alone: no phrase, window or line runs
     over the end of a text.
     """

@@ -101,7 +101,8 @@ def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple
 
     A rule fits its host and all subdomains where the path starts with the rule's path; the longest rule wins, and
     where none fits the model decides: ``block`` from a score of ``threshold`` on. Null and malformed urls have empty
-    host and path and get the model's verdict; rows repeat as they do in the input; other columns are left out.
+    host and path and get the model's verdict; rows repeat as they do in the input, so an empty table gives none; other
+    columns are left out.
     """
     bias, weights = fit(labelled if labelled is not None else labelled_urls(pages.sparkSession))
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded into one constant of FEATURES doubles

@@ -69,3 +69,12 @@ def test_decontaminate_judges_each_row(spark):
     d = spark.createDataFrame([(None, "x " + passage), (None, "nothing here"), (4, passage), (4, "clean text")], "doc_id long, text string")
     b = spark.createDataFrame([(1, passage)], "item_id long, text string")
     assert sorted(r.text for r in decontaminate.decontaminate(d.withColumn("__row", d.text), b).collect()) == ["clean text", "nothing here"]
+
+
+def test_texts_longer_than_a_block(spark):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(50_000)}" for _ in range(220_000))  # over 1 MB
+    own = text.split()
+    items = [(1, " ".join(own[:12])), (2, " ".join(own[150_000:150_025])), (3, " ".join(own[-10:])), (4, " ".join(own[5:14]) + " elsewhere"), (5, own[100_000])]
+    docs = [(0, text), (1, " ".join(own[-30:])), (2, text[: 1 << 20]), (3, "short text")]
+    assert len(text) > 1 << 20 and run(spark, docs, items) == brute(docs, items)

@@ -34,3 +34,14 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_longer_than_a_block(spark):
+    rng = random.Random(6)
+    pool = [f"a shared line, the {i}th of them" for i in range(3000)]
+    docs = [(i, "\n".join(rng.choices(pool, k=40_000 if i < 2 else 300))) for i in range(12)]  # the first two over 1 MB
+    docs += [(20, "one line " * 150_000), (21, "one line " * 150_000), (22, "one line " * 150_000)]
+    assert len(docs[0][1]) > 1 << 20
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(df).collect()), key=repr)
+    assert got == brute(docs)

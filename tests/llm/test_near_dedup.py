@@ -88,3 +88,18 @@ def test_one_row_of_each_component_stays(spark):
     assert left == sorted([(4, c, "c"), (4, b + " other words of length", "d"), (1, None, "n"), (1, None, "n"), (None, "", "e")], key=repr)
     assert [(r[0], r[1]) for r in got if r[1] in (a, b)] == [(7, a), (None, b)]
     assert near_dedup.keep_one(df.limit(0)).count() == 0
+
+
+def test_texts_longer_than_a_block(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(220_000)]  # over 1 MB
+    near, far = list(words), list(words)
+    for i in rng.sample(range(len(words)), 2500):
+        near[i] = "changed"
+    for i in rng.sample(range(len(words)), 20_000):
+        far[i] = "changed"
+    texts = {3: near, 7: words, 8: far, 9: words[: len(words) // 2], 11: words}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(df, 85).collect()}
+    sizes = {k: len(shingles(" ".join(v))) for k, v in texts.items()}
+    assert got == {3: (sizes[3], 3), 7: (sizes[7], 3), 8: (sizes[8], 8), 9: (sizes[9], 9), 11: (sizes[11], 3)}

@@ -63,3 +63,21 @@ def test_best_fit_takes_the_fullest_window_with_room():
     assert w.place([("c", 0, 5)], 5) == []
     closed = w.place([("d", 0, 7)], 7)
     assert [p[0] for p in closed] == ["a", "b"]
+
+
+def test_null_and_repeated_ids(spark):
+    docs = [(None, "one two three"), (None, "a b"), (5, "same words here"), (5, "same words here"), (5, "other"), (6, None), (6, None)]
+    df = spark.createDataFrame([(k, v, 7, "x") for k, v in docs], "doc_id long, text string, length int, start string").repartition(3)
+    rows = packing.pack(df, size=64, open_windows=4, group=2).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for doc, text in docs:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        want.append((doc, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids)))
+    assert sorted(((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows), key=repr) == sorted(want, key=repr)  # few enough that none is cut
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [at for at, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 64
