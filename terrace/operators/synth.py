@@ -113,7 +113,7 @@ def class_factors(rows: DataFrame, label: str, numbers: Sequence[str]) -> dict[o
         m = np.eye(d)
         for i, j in pairs:
             v = r[f"r{i}_{j}"]
-            m[i, j] = m[j, i] = 0.0 if v is None or np.isnan(v) else v
+            m[i, j] = m[j, i] = 0.0 if v is None or np.isnan(v) else round(v, 9)  # the last bits follow the order of the sum
         out[r[label]] = np.linalg.cholesky(positive(m))
     return out
 
