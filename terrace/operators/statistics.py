@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from terrace.functions.numeric import place_among
+
 #: Distinct values that are looked at on the driver, for all columns together; beyond, ranges are narrowed on the cluster.
 VALUES = 100_000
 #: Accuracy of the sketch: its ranks are off by n / ACCURACY at most.
@@ -135,7 +137,7 @@ def _narrowed(values: DataFrame, kept: dict[tuple[int, int], tuple[int, list[int
         # cuts come from the distinct values, so each round leaves about one in RANGES of them for each rank
         shares = [k / RANGES for k in range(1, RANGES)]
         cuts = values.groupBy("c", "s").agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in shares]), 4 * RANGES).alias("cuts"))
-        at = F.size(F.filter("cuts", lambda x: x < F.col("v")))
+        at = place_among(F.col("cuts"), RANGES, lambda x: x < F.col("v"))
         placed = values.join(F.broadcast(cuts), ["c", "s"]).withColumn("r", at).drop("cuts")  # one row for each column and rank
         sums = {(x.c, x.s, x.r): x.f for x in placed.groupBy("c", "s", "r").agg(F.sum("f").alias("f")).collect()}
         after: dict[tuple[int, int], tuple[int, list[int]]] = {}
@@ -168,27 +170,41 @@ def _narrowed(values: DataFrame, kept: dict[tuple[int, int], tuple[int, list[int
 def group_quantiles(table: DataFrame, by: Sequence[str], value: str, wanted: Sequence[float] = (0.5,), name: str = "quantiles") -> DataFrame:
     """(by..., name): the exact quantiles of a column in each group as an array; a group without values gives null.
 
-    Distinct values of groups are counted and their running sums dealt over ranges of (group, value): a group that
-    holds most rows isn't one task's.
+    A group of up to ``windows.PLAIN_ROWS`` values is ordered by one task. Of larger ones the distinct values are counted
+    and their running sums dealt over ranges of (group, value), so that such a group isn't one task's. A value finds the
+    wanted ranks that it holds by halving; no value is joined with the ranks of its group.
     """
-    from .windows import kept as written
-    from .windows import running
+    from . import windows
+    from .joins import small
 
-    by = list(by)
+    by, shares = list(by), sorted({float(p) for p in wanted})
     groups = table.groupBy(*by).agg(F.count(_double(value)).alias("_n")).withColumn("_g", F.struct(*by))
-    counts = table.select(F.struct(*by).alias("_g"), _double(value).alias("_v")).filter("_v IS NOT NULL").groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_f"))
-    summed = written(running(counts, F.struct("_g", "_v"), _upto=F.col("_f")))
-    starts = summed.groupBy("_g").agg(F.min(F.col("_upto") - F.col("_f")).alias("_before"))
-    shares = F.posexplode(F.array(*[F.lit(float(p)) for p in wanted])).alias("_i", "_p")  # folded into one constant
-    asked = groups.filter("_n > 0").select("_g", "_n", shares).select("_g", "_i", (F.col("_p") * (F.col("_n") - 1)).alias("_at"))
-    asked = asked.select("_g", "_i", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_k"))
-    placed = summed.join(starts, "_g").select("_g", "_v", (F.col("_upto") - F.col("_f") - F.col("_before")).alias("_from"), (F.col("_upto") - F.col("_before")).alias("_to"))
-    hit = placed.join(asked, "_g").filter((F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_to")))
-    each = hit.groupBy("_g", "_i", "_at").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    if not shares:
+        return groups.select(*by, F.lit(None).cast("array<double>").alias(name))
+    values = table.select(F.struct(*by).alias("_g"), _double(value).alias("_v")).filter("_v IS NOT NULL")
+    large = windows.kept(groups.filter(F.col("_n") > windows.PLAIN_ROWS).select("_g", "_n"))  # one in PLAIN_ROWS of the rows at most
+    alone = large.isEmpty()
+    own = Window.partitionBy("_g")
+    placed = (values if alone else values.join(small(large.select("_g")), "_g", "left_anti")).withColumns({"_to": F.row_number().over(own.orderBy("_v")).cast("long"), "_n": F.count(F.lit(1)).over(own)})
+    placed = placed.select("_g", "_v", "_n", (F.col("_to") - 1).alias("_from"), "_to")
+    if not alone:
+        starts = windows.kept(windows.running(large, F.col("_g"), _upto=F.col("_n")).select("_g", "_n", (F.col("_upto") - F.col("_n")).alias("_before")))
+        counts = values.join(small(large.select("_g")), "_g", "left_semi").groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_f"))
+        summed = windows.running(counts, F.struct("_g", "_v"), _upto=F.col("_f")).join(small(starts), "_g")
+        placed = placed.unionByName(summed.select("_g", "_v", "_n", (F.col("_upto") - F.col("_f") - F.col("_before")).alias("_from"), (F.col("_upto") - F.col("_before")).alias("_to")))
+    p = F.array(*[F.lit(x) for x in shares])  # folded into one constant
+    place = lambda x: x * (F.col("_n") - 1)
+    first = place_among(p, len(shares), lambda x: F.ceil(place(x)) < F.col("_from"))
+    after = place_among(p, len(shares), lambda x: F.floor(place(x)) < F.col("_to"))
+    hit = placed.withColumns({"_first": first, "_after": after}).filter("_after > _first")
+    hit = hit.select("_g", "_v", "_n", F.explode(F.sequence("_first", F.col("_after") - 1)).alias("_i"))
+    each = hit.groupBy("_g", "_i").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.max("_n").alias("_n"))
+    each = each.withColumn("_at", place(F.get(p, F.col("_i"))))
     low, high = F.floor("_at"), F.ceil("_at")
     between = F.when((low == high) | (F.col("_a") == F.col("_b")), F.col("_a")).otherwise((high - F.col("_at")) * F.col("_a") + (F.col("_at") - low) * F.col("_b"))
-    lists = each.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", between.alias("q")))), lambda x: x["q"]).alias(name))  # as many as were asked for
-    lists = lists.withColumnRenamed("_g", "_h")
+    lists = each.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", between.alias("q")))), lambda x: x["q"]).alias("_q"))  # as many as were asked for
+    asked = F.array(*[F.lit(shares.index(float(x))) for x in wanted])
+    lists = lists.select(F.col("_g").alias("_h"), F.transform(asked, lambda i: F.get("_q", i)).alias(name))
     return groups.join(lists, F.col("_g").eqNullSafe(F.col("_h")), "left").select(*by, name)
 
 

@@ -149,3 +149,29 @@ def test_pairs_of_boxes_grow_near_linearly(spark, monkeypatch):
         rng = np.random.default_rng(7)
         windows.nearest(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(rng.random((n, 2)))], "i int, v array<double>"), "i", "v", 3)
     assert met[1] < 7 * met[0], met
+
+
+def test_place_among(spark):
+    """Halving finds the place that counting all known values finds, also among equal and null keys."""
+    from terrace.functions.numeric import place_among
+
+    for size in (0, 1, 2, 7, 8, 31):
+        known = sorted(random.Random(size).choices(range(20), k=size))
+        rows = spark.range(-2, 23).withColumn("known", F.lit(known).cast("array<long>"))
+        got = rows.select("id", place_among(F.col("known"), max(size, 1), lambda x: x <= F.col("id")).alias("n")).collect()
+        assert all(r.n == sum(k <= r.id for k in known) for r in got), size
+
+
+@pytest.mark.parametrize("plain", [30, 100_000])
+def test_group_quantiles_of_small_and_large_groups(spark, monkeypatch, plain):
+    """A thousand ranks of each group; ranks are not joined to values, so no row of the plan meets them all."""
+    monkeypatch.setattr(windows, "PLAIN_ROWS", plain)
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.0, rng.gauss(0, 5)])) for _ in range(900)] + [("c", 2.0), ("d", None)]
+    grid = [i / 1000 for i in range(1001)][::-1]
+    out = statistics.group_quantiles(spark.createDataFrame(data, "g string, v double").repartition(3), ["g"], "v", grid)
+    got = {r.g: r.quantiles for r in out.collect()}
+    assert set(got) == {"a", "b", "c", "d", None} and got["d"] is None
+    for g in ("a", "b", "c", None):
+        assert got[g] == pytest.approx([brute([v for h, v in data if h == g], p) for p in grid])
+    assert "_k#" not in out._jdf.queryExecution().analyzed().toString()
