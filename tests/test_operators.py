@@ -337,3 +337,35 @@ def test_global_orders_are_dealt_over_ranges(spark, monkeypatch):
     plain = every()
     monkeypatch.setattr(windows, "PLAIN_ROWS", 10)
     assert every() == plain
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """A key of many pairs is dealt over parts; nothing is lost or doubled, null keys and unmatched rows included."""
+    monkeypatch.setattr(joins, "TASK_PAIRS", 50)
+    left = spark.createDataFrame([(i, [None, 1, 1, 1, 2, 3][i % 6]) for i in range(120)], "a long, k int")
+    right = spark.createDataFrame([(i, [None, 1, 2, 4][i % 4]) for i in range(80)], "b long, k int")
+    x, y = left.collect(), right.collect()
+    both = sorted((p.a, q.b) for p in x for q in y if p.k is not None and p.k == q.k)
+    alone = [(p.a, None) for p in x if p.k in (None, 3)] + [(None, q.b) for q in y if q.k in (None, 4)]
+    out = joins.key_join(left, right, "k", "k")
+    assert out.columns == ["a", "k", "b", "k_right"]
+    assert sorted(map(str, ((r.a, r.b) for r in out.collect()))) == sorted(map(str, both + alone))
+    a, b, on = joins.dealt(left, right, "k")
+    assert on == ["k", "_part"] and a.filter("k = 1").select("_part").distinct().count() > 3
+    assert sorted((r.a, r.b) for r in joins.common_key_join(left, right).collect()) == both
+
+
+def test_links_of_repeated_ids_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_PAIRS", 5)
+    left = spark.createDataFrame([(i // 2 if i < 8 else i, f"v{i % 3}", "w" if i % 4 else None) for i in range(30)], "i long, v string, w string")
+    right = spark.createDataFrame([(i // 3 if i < 9 else i, f"V{i % 4} ", "w" if i % 5 else "u") for i in range(20)], "j long, v string, w string")
+    best = {}
+    for p in left.collect():
+        for q in right.collect():
+            for same, score in ((p.v == q.v.strip().lower(), 0.5), (p.w is not None and p.w == q.w, 0.9)):
+                if same:
+                    best[p.i, q.j] = max(best.get((p.i, q.j), 0), score)
+    got = [(r.src, r.dst, r.score) for r in discovery.row_links(left, right, "i", "j", [("v", "v", 0.5), ("w", "w", 0.9)]).collect()]
+    assert sorted(got) == sorted((i, j, s) for (i, j), s in best.items())
+    edges = [(r.src, r.dst) for r in joins.key_edges(left, right.withColumn("v", F.lower("v")), "i", "j", "v", "v").collect()]
+    assert sorted(edges) == sorted({(p.i, q.j) for p in left.collect() for q in right.collect() if p.v == q.v.strip().lower()})
