@@ -369,3 +369,19 @@ def test_links_of_repeated_ids_are_made_once(spark, monkeypatch):
     assert sorted(got) == sorted((i, j, s) for (i, j), s in best.items())
     edges = [(r.src, r.dst) for r in joins.key_edges(left, right.withColumn("v", F.lower("v")), "i", "j", "v", "v").collect()]
     assert sorted(edges) == sorted({(p.i, q.j) for p in left.collect() for q in right.collect() if p.v == q.v.strip().lower()})
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    """Texts of the same letters are one class; rows of a class get the least of the most similar right texts."""
+    met = []
+    real = joins.similar_pairs
+    monkeypatch.setattr(joins, "similar_pairs", lambda a, b, *args, **kw: met.append((a.count(), b.count())) or real(a, b, *args, **kw))
+    left = spark.createDataFrame([(i, ["abc", "bca", "cab", "xy", None][i % 5]) for i in range(50)], "i long, t string")
+    right = spark.createDataFrame([(1, "cba"), (2, "acb"), (3, "yx"), (4, None)], "j long, u string")
+    got = joins.semantic_join(left, right, "t", "u", 0.9, best_only=True, embed=queries._letters).collect()
+    assert sorted((r.i, r.j) for r in got) == sorted((i, 2 if i % 5 < 3 else 3) for i in range(50) if i % 5 < 4)
+    edges = joins.similarity_edges(left, right, "i", "j", "t", "u", 0.9, embed=queries._letters).collect()
+    assert sorted((r.src, r.dst) for r in edges) == sorted((i, j) for i in range(50) for j in (1, 2, 3) if i % 5 < 4 and (i % 5 == 3) == (j == 3))
+    rows = joins.row_similarity_join(left.na.drop(), right.na.drop(), ["t"], ["u"], "i", "j", 0.9, embed=queries._letters).collect()
+    assert {(r.left_id, r.right_id) for r in rows} == {(i, 1 if i % 5 < 3 else 3) for i in range(50) if i % 5 < 4}
+    assert met == [(2, 2)] * 3
