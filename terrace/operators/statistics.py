@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
@@ -192,19 +193,20 @@ def group_quantiles(table: DataFrame, by: Sequence[str], value: str, wanted: Seq
         counts = values.join(small(large.select("_g")), "_g", "left_semi").groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_f"))
         summed = windows.running(counts, F.struct("_g", "_v"), _upto=F.col("_f")).join(small(starts), "_g")
         placed = placed.unionByName(summed.select("_g", "_v", "_n", (F.col("_upto") - F.col("_f") - F.col("_before")).alias("_from"), (F.col("_upto") - F.col("_before")).alias("_to")))
-    p = F.array(*[F.lit(x) for x in shares])  # folded into one constant
+    p = F.lit(np.array(shares))  # one constant
     place = lambda x: x * (F.col("_n") - 1)
     first = place_among(p, len(shares), lambda x: F.ceil(place(x)) < F.col("_from"))
     after = place_among(p, len(shares), lambda x: F.floor(place(x)) < F.col("_to"))
-    hit = placed.withColumns({"_first": first, "_after": after}).filter("_after > _first")
+    hit = placed.withColumn("_first", first).filter(F.floor(place(F.get(p, F.col("_first")))) < F.col("_to")).withColumn("_after", after)
     hit = hit.select("_g", "_v", "_n", F.explode(F.sequence("_first", F.col("_after") - 1)).alias("_i"))
     each = hit.groupBy("_g", "_i").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.max("_n").alias("_n"))
     each = each.withColumn("_at", place(F.get(p, F.col("_i"))))
     low, high = F.floor("_at"), F.ceil("_at")
     between = F.when((low == high) | (F.col("_a") == F.col("_b")), F.col("_a")).otherwise((high - F.col("_at")) * F.col("_a") + (F.col("_at") - low) * F.col("_b"))
     lists = each.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", between.alias("q")))), lambda x: x["q"]).alias("_q"))  # as many as were asked for
-    asked = F.array(*[F.lit(shares.index(float(x))) for x in wanted])
-    lists = lists.select(F.col("_g").alias("_h"), F.transform(asked, lambda i: F.get("_q", i)).alias(name))
+    at = {x: i for i, x in enumerate(shares)}
+    asked = F.lit(np.array([at[float(x)] for x in wanted]))
+    lists = lists.select(F.col("_g").alias("_h"), F.transform(asked, lambda i: F.get("_q", i.cast("int"))).alias(name))
     return groups.join(lists, F.col("_g").eqNullSafe(F.col("_h")), "left").select(*by, name)
 
 
