@@ -34,6 +34,27 @@ def test_similar_values(spark, least, q):
     assert got == pytest.approx(want) and found.count() == len(want)
 
 
+@pytest.mark.parametrize("least, pairs, depth", [(0.8, 0, 12), (0.6, 0, 2), (0.7, 4, 12)])
+def test_similar_values_in_narrowed_blocks(spark, monkeypatch, least, pairs, depth):
+    """Names that differ in digits share most grams: blocks are narrowed, and each pair is still met once."""
+    monkeypatch.setattr(discovery, "PAIRS_A_ROW", pairs)
+    monkeypatch.setattr(discovery, "DEPTH", depth)
+    rng = random.Random(depth)
+    left = [f"name#{i:06}" for i in rng.sample(range(3000), 150)]
+    right = [v[:5] + v[6:] + "x" * (i % 2) for i, v in enumerate(left)]
+    x, y = (spark.createDataFrame([(v,) for v in side], "v string") for side in (left, right))
+    found = discovery.similar_values(x, y, least).collect()
+    want = {(a, b): s for a in left for b in set(right) if a != b and (s := jaccard(a, b, 3)) >= least}
+    assert {(r.a, r.b): r.similarity for r in found} == pytest.approx(want) and len(found) == len(want) > 50
+
+
+def test_similar_row_links_pass_no_side_through_the_driver(spark):
+    """The tables' size on disk says little of their grams: neither these nor rows are broadcast because a file is small."""
+    df = spark.range(40).select("id", F.format_string("name %06d", "id").alias("v"))
+    out = discovery.similar_row_links(df, df.withColumn("v", F.concat("v", F.lit("x"))), "id", "id", [("v", "v", 0.9)])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_similar_row_links(spark):
     left = spark.createDataFrame([(1, " Grenoble Lycee "), (2, "Lyon"), (3, None), (4, "grenoble lycee"), (5, "Grenoble Licee")], "i int, a string").withColumn("b", F.lit("z"))
     right = spark.createDataFrame([(10, "grenoble lycée"), (11, "lyon"), (12, "GRENOBLE LYCEE"), (13, None)], "j int, c string").withColumn("d", F.when(F.col("j") == 11, "z"))
