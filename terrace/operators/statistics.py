@@ -137,7 +137,8 @@ def _narrowed(values: DataFrame, kept: dict[tuple[int, int], tuple[int, list[int
     while values.count() > max(VALUES, least):
         # cuts come from the distinct values, so each round leaves about one in RANGES of them for each rank
         shares = [k / RANGES for k in range(1, RANGES)]
-        cuts = values.groupBy("c", "s").agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in shares]), 4 * RANGES).alias("cuts"))
+        # a sketch follows the order in which parts of it arrive, so the cuts are written: sums and values are told apart by the same ones
+        cuts = written(values.groupBy("c", "s").agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in shares]), 4 * RANGES).alias("cuts")))
         at = place_among(F.col("cuts"), RANGES, lambda x: x < F.col("v"))
         placed = values.join(F.broadcast(cuts), ["c", "s"]).withColumn("r", at).drop("cuts")  # one row for each column and rank
         sums = {(x.c, x.s, x.r): x.f for x in placed.groupBy("c", "s", "r").agg(F.sum("f").alias("f")).collect()}

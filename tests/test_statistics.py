@@ -175,3 +175,20 @@ def test_group_quantiles_of_small_and_large_groups(spark, monkeypatch, plain):
     for g in ("a", "b", "c", None):
         assert got[g] == pytest.approx([brute([v for h, v in data if h == g], p) for p in grid])
     assert "_k#" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_quantiles_of_sketches_that_differ_when_computed_again(spark, monkeypatch):
+    """On a cluster a sketch's parts are merged in the order of their arrival: a second computation may cut elsewhere."""
+    known = statistics.F.percentile_approx
+
+    def shifting(*args):
+        import random
+
+        moved = statistics.F.udf(lambda xs: sorted(x + random.SystemRandom().uniform(-30, 30) for x in xs), "array<double>")
+        return moved(known(*args))
+
+    monkeypatch.setattr(statistics, "VALUES", 20)
+    monkeypatch.setattr(statistics, "RANGES", 4)
+    monkeypatch.setattr(statistics.F, "percentile_approx", shifting)
+    df = spark.range(500).select((F.col("id") * 1.0).alias("v"))
+    assert statistics.quantiles(df, {"v": [0.0, 0.3, 0.5, 1.0]})["v"] == pytest.approx([0.0, 149.7, 249.5, 499.0])
