@@ -92,18 +92,20 @@ def validate(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> D
 
 #: Most rows that one row of the plan of draws is exploded into.
 DRAWS = 10_000
+#: Steps of all classes' distributions of a column up to which they are broadcast, if their bytes are few too.
+STEPS = 1_000_000
 
 
 def class_factors(rows: DataFrame, label: str, numbers: Sequence[str]) -> dict[object, np.ndarray]:
     """{class: lower factor of the correlations of its columns' normal scores}; a class is a few d x d numbers on the driver."""
     scored, d = rows, len(numbers)
-    for i, c in enumerate(numbers):
+    for i, c in enumerate(numbers if d > 1 else ()):  # a single column has no correlations
         counts = rows.groupBy(label, c).agg(F.count(F.lit(1)).alias("_f"))
         summed = windows.kept(windows.running(counts, F.struct(label, c), _upto=F.col("_f")))
         sizes = summed.groupBy(label).agg(F.min(F.col("_upto") - F.col("_f")).alias("_before"), F.sum("_f").alias("_n"))  # one row a class
         rank = F.col("_upto") - F.col("_before") - F.col("_f") + (F.col("_f") + 1) / 2
         ranks = summed.join(small(sizes), label).select(F.col(label).alias("_l"), F.col(c).alias("_v"), normal_quantile(rank / (F.col("_n") + 1)).alias(f"_z{i}"))
-        scored = scored.join(ranks, (F.col(label) == F.col("_l")) & (F.col(c) == F.col("_v"))).drop("_l", "_v")
+        scored = scored.join(small(windows.kept(ranks)), (F.col(label) == F.col("_l")) & (F.col(c) == F.col("_v"))).drop("_l", "_v")
     pairs = [(i, j) for i in range(d) for j in range(i)]
     spread = lambda i, j: F.stddev_pop(f"_z{i}") * F.stddev_pop(f"_z{j}")
     together = lambda i, j: F.when(spread(i, j) > 1e-12, F.covar_pop(f"_z{i}", f"_z{j}") / spread(i, j))  # noqa: E731  (null for a column of one value)
@@ -140,22 +142,20 @@ def generate_classes(table: DataFrame, label: str, sizes: Mapping[object, int],
     plan = parts.withColumn("_to", F.least(F.col("_from") + DRAWS, F.col("_n")) - 1)
     drawn = plan.repartition(label, "_from").select(label, "_l", F.explode(F.sequence("_from", "_to")).alias("_i"))
     grid = [i / knots for i in range(knots + 1)]
-    for i, c in enumerate(numbers):
-        marginal = windows.kept(statistics.group_quantiles(rows, [label], c, grid, f"_q{i}"))  # one row a class
-        drawn = drawn.join(small(marginal), label)
     even = lambda i: (F.pmod(F.xxhash64(F.col(label), "_i", F.lit(i), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     d = len(numbers)
     drawn = drawn.select("*", *[normal_quantile(even(i)).alias(f"_e{i}") for i in range(d)])
     z = [reduce(lambda a, b: a + b, [F.col("_l")[i * d + j] * F.col(f"_e{j}") for j in range(i + 1)]) for i in range(d)]
-    placed = drawn.select(label, *[f"_q{i}" for i in range(d)], *[(normal_cdf(x) * knots).alias(f"_u{i}") for i, x in enumerate(z)])
-
-    def value(i: int) -> Column:
+    out = drawn.select(label, *[(normal_cdf(x) * knots).alias(f"_u{i}") for i, x in enumerate(z)])
+    for i, c in enumerate(numbers):
+        # a row for each class and step of its distribution, so that no draw carries a whole distribution
+        marginal = statistics.group_quantiles(rows, [label], c, grid, "_q")
+        steps = marginal.select(F.col(label).alias("_m"), "_q", F.posexplode(F.slice("_q", 1, knots)).alias("_p", "_a")).select("_m", "_p", "_a", F.get("_q", F.col("_p") + 1).alias("_b"))
         at = F.col(f"_u{i}")
         low = F.greatest(F.lit(0), F.least(F.floor(at), F.lit(knots - 1))).cast("int")
-        a, b = F.col(f"_q{i}")[low], F.col(f"_q{i}")[low + 1]
-        return a + (b - a) * (at - low)
-
-    return placed.select(label, *[value(i).alias(c) for i, c in enumerate(numbers)])
+        out = out.join(small(windows.kept(steps), STEPS), (F.col(label) == F.col("_m")) & (low == F.col("_p")))
+        out = out.withColumn(f"_v{i}", F.col("_a") + (F.col("_b") - F.col("_a")) * (at - F.col("_p"))).drop("_m", "_p", "_a", "_b")
+    return out.select(label, *[F.col(f"_v{i}").alias(c) for i, c in enumerate(numbers)])
 
 
 def targeted(table: DataFrame, label: str, of: object, n: int, numbers: Sequence[str] | None = None, seed: int = 42) -> DataFrame:

@@ -192,3 +192,29 @@ def test_quantiles_of_sketches_that_differ_when_computed_again(spark, monkeypatc
     monkeypatch.setattr(statistics.F, "percentile_approx", shifting)
     df = spark.range(500).select((F.col("id") * 1.0).alias("v"))
     assert statistics.quantiles(df, {"v": [0.0, 0.3, 0.5, 1.0]})["v"] == pytest.approx([0.0, 149.7, 249.5, 499.0])
+
+
+def test_a_global_order_computes_its_rows_once(spark, monkeypatch):
+    """Counting rows, finding cuts and dealing rows read what was written, whatever computing them costs."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(windows, "PLAIN_ROWS", 100)
+    df = spark.range(1000).mapInArrow(each, "id long")
+    out = windows.running(df, F.col("id"), s=F.lit(1))
+    assert out.agg(F.max("s"), F.count("s")).first() == (1000, 1000) and seen.value == 1000
+
+
+def test_one_column_is_drawn_without_ranks_of_its_values(spark, monkeypatch):
+    """A single column has no correlations: no value is ranked for them, and draws keep the class's distribution."""
+    from terrace.operators import synth
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("t"), (F.col("id") * 1.0).alias("v"))
+    monkeypatch.setattr(synth.windows, "running", lambda *a, **k: pytest.fail("values were ranked"))
+    made = synth.generate_classes(rows, "t", {"a": 2000, "b": 500}, ["v"])
+    got = {r.t: (r.n, r.m) for r in made.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m")).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {"a": 2000, "b": 500} and all(abs(m - 1500) < 120 for _, m in got.values())
