@@ -73,9 +73,9 @@ def _between(p: float, n: int, values: Mapping[int, float]) -> float:
 
 def _around(i: int, wanted: Sequence[float]) -> list[Column]:
     """Sketched values below and above each probability, by twice the sketch's error; the ends are the column's own."""
-    lows = F.array(*[F.lit(max(p - 2 / ACCURACY, 0.0)) for p in wanted])
-    highs = F.array(*[F.lit(min(p + 2 / ACCURACY, 1.0)) for p in wanted])
-    return [F.percentile_approx(f"v{i}", lows, ACCURACY).alias(f"a{i}"), F.percentile_approx(f"v{i}", highs, ACCURACY).alias(f"b{i}")]
+    shares = [F.lit(x) for p in wanted for x in (max(p - 2 / ACCURACY, 0.0), min(p + 2 / ACCURACY, 1.0))]
+    ends = F.percentile_approx(f"v{i}", F.array(*shares), ACCURACY)  # one sketch for both
+    return [F.filter(ends, lambda _, j: j % 2 == 0).alias(f"a{i}"), F.filter(ends, lambda _, j: j % 2 == 1).alias(f"b{i}")]
 
 
 def _key(x: float) -> tuple[bool, float]:
@@ -234,7 +234,7 @@ def top_values(table: DataFrame, columns: Sequence[str], most: int) -> dict[str,
 
 @dataclass(frozen=True)
 class Fitted:
-    """What a table's columns were found to hold: fills for nulls, and for text the codes of its values."""
+    """What a table's columns were found to hold: fills for nulls, and for text the codes of its values, which are their places in byte order."""
 
     fills: dict[str, float] = field(default_factory=dict)
     codes: dict[str, dict[str, int]] = field(default_factory=dict)
@@ -248,9 +248,10 @@ class Fitted:
         known = self.codes[name]
         if not known:
             return F.lit(-1).alias(name)
-        # a list of values before which each value's code stands: looked up by its place
-        place = F.array_position(F.array(*[F.lit(v) for v in known]), c).cast("int")
-        code = F.get(F.array(*[F.lit(k) for k in known.values()]), place - 1)
+        # looked up by halving, with a lambda: Spark runs that outside of whole-stage code, so the projection of a wide table is
+        # split into methods that are compiled; in one method over 8000 bytes all its columns would be interpreted
+        values = F.array(*[F.lit(v) for v in known])
+        code = place_among(values, len(known), lambda x: x < c, lambda at: F.when(F.get(values, at) == c, at))
         return F.when(c.isNull(), F.lit(-1)).otherwise(F.coalesce(code, F.lit(self.others.get(name, -1)))).alias(name)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from terrace.operators import metrics, quality, statistics
 
@@ -66,5 +67,7 @@ d_{c} AS (SELECT v, CAST(dense_rank() OVER (ORDER BY b) - 1 AS INTEGER) AS code
     + " FROM r " + " ".join(f"LEFT JOIN d_{c} ON r.{c} = d_{c}.v" for c in _TEXTS)
 )
 def wide_preparation(spark, d):
-    rows, _ = quality.prepare(_wide(spark, d), "target")
-    return rows.withColumns({f"n{i}": F.round(f"n{i}", 4) for i in range(20)})
+    wide = _wide(spark, d)
+    rows, _ = quality.prepare(wide, "target")
+    # whole numbers and their medians have no digits to round
+    return rows.withColumns({f"n{i}": F.round(f"n{i}", 4) for i in range(20) if isinstance(wide.schema[f"n{i}"].dataType, FractionalType)})

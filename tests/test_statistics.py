@@ -116,6 +116,38 @@ def test_scans_of_the_preparation_do_not_grow(spark, k, tmp_path):
     assert rows.count() == 300 and rows.filter(" OR ".join(f"{c} IS NULL" for c in features)).count() == 0
 
 
+def largest_method(spark, df) -> int:
+    """Bytes of the largest method that Spark makes for the stages of a plan; the JVM compiles none over 8000."""
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max((stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())), default=0)
+
+
+def test_methods_of_the_preparation_are_compiled(spark):
+    out = QUERIES["wide_preparation"](spark, "/root/testdata/sf0.001")
+    assert largest_method(spark, out) < 8000
+
+
+def test_one_sketch_gives_both_ends(spark):
+    df = spark.range(2000).select((F.col("id") * 1.0).alias("v0"), (F.col("id") * -1.0).alias("v1"))
+    out = df.agg(F.count("v0"), *statistics._around(0, [0.25, 0.5]), *statistics._around(1, [1.0]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_percentile_approx(") == 2
+    r = out.first()
+    assert len(r.a0) == len(r.b0) == 2 and r.a0[0] < 500 < r.b0[0] < r.a0[1] < 1000 < r.b0[1] and r.a1[0] <= r.b1[0] == 0
+
+
+def test_codes_follow_the_order_of_bytes(spark):
+    values = ["Z", "a", "é", "\uffff", "\U0001f600", "", "ab", "A"]
+    df = spark.createDataFrame([(i, "t", v) for i, v in enumerate([*values, None])], "_rid int, y string, v string")
+    rows, _ = quality.prepare(df, "y")
+    got = {values[r["_rid"]]: r.v for r in rows.filter("_rid < 8").collect()}
+    assert got == {v: i for i, v in enumerate(sorted(values, key=str.encode))} and rows.filter("_rid = 8").first().v == -1
+    fitted = statistics.fit_columns(df, ["v"])
+    other = spark.createDataFrame([("b",), ("A0",), ("\U0010ffff",), ("a",)], "v string").select(fitted.applied("v"))
+    assert [r.v for r in other.collect()] == [-1, -1, -1, got["a"]]
+
+
 @pytest.mark.parametrize("name", ["five_numbers", "ascend_median_split", "quantile_category", "impute_median", "numeric_datum", "categorical_datum", "prepared_features", "wide_preparation", "applied_suggestions", "dimension_medians"])
 def test_no_aggregate_that_holds_all_values(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
