@@ -1,6 +1,7 @@
 """Traps, edge cases and properties of the operators, on small hand-made tables."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -355,6 +356,17 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in joins.common_key_join(left, right).collect()) == both
 
 
+def test_full_outer_pairs_of_hot_keys_are_an_inner_join(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_PAIRS", 50)
+    left = spark.createDataFrame([(i, [None, 1, 1, 2, 3][i % 5]) for i in range(100)], "a long, k int")
+    right = spark.createDataFrame([(i, [None, 1, 2, 4][i % 4]) for i in range(60)], "b long, k int").union(spark.createDataFrame([(60, 5)], "b long, k int"))
+    out = joins.key_join(left, right.union(right), "k", "k")
+    assert re.search(r"Join Inner, .*_part", out._jdf.queryExecution().optimizedPlan().toString())
+    both, alone = out.filter("a IS NOT NULL AND b IS NOT NULL"), out.filter("a IS NULL OR b IS NULL")
+    assert both.count() == 40 * 30 + 20 * 30 and both.filter("k <> k_right").count() == 0
+    assert sorted(map(str, ((r.a, r.k, r.b, r.k_right) for r in alone.collect()))) == sorted(map(str, [(r.a, r.k, None, None) for r in left.collect() if r.k in (None, 3)] + [(None, None, r.b, r.k) for r in right.collect() * 2 if r.k in (None, 4, 5)]))
+
+
 def test_links_of_repeated_ids_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(joins, "TASK_PAIRS", 5)
     left = spark.createDataFrame([(i // 2 if i < 8 else i, f"v{i % 3}", "w" if i % 4 else None) for i in range(30)], "i long, v string, w string")
