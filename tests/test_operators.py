@@ -356,6 +356,24 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in joins.common_key_join(left, right).collect()) == both
 
 
+def test_pairs_of_a_hot_key_are_a_grid(spark, monkeypatch):
+    """Rows of both sides are copied to the cells of their slice and not to all parts; a cell's right rows are few."""
+    monkeypatch.setattr(joins, "TASK_PAIRS", 1000)
+    left = spark.range(900).select(F.col("id").alias("a"), F.lit("x").alias("k"))
+    right = spark.range(800).select(F.col("id").alias("b"), F.lit("x").alias("k"))
+    a, b, on = joins.dealt(left, right, "k")
+    assert a.count() + b.count() < 60_000  # 720 cells
+    met = a.join(b, on)
+    assert "merge" in met._jdf.queryExecution().optimizedPlan().toString()  # copies are never broadcast
+    assert met.count() == met.select("a", "b").distinct().count() == 720_000
+    monkeypatch.setattr(joins, "SLICE_ROWS", 10)
+    a, b, on = joins.dealt(left, right, "k")
+    assert b.groupBy("_part").count().agg(F.max("count")).first()[0] < 30 and a.join(b, on).count() == 720_000
+    monkeypatch.setattr(joins, "MOST_TASKS", 20)
+    a, b, on = joins.dealt(left, right, "k")
+    assert a.select("_part").distinct().count() <= 40 and a.join(b, on).count() == 720_000
+
+
 def test_full_outer_pairs_of_hot_keys_are_an_inner_join(spark, monkeypatch):
     monkeypatch.setattr(joins, "TASK_PAIRS", 50)
     left = spark.createDataFrame([(i, [None, 1, 1, 2, 3][i % 5]) for i in range(100)], "a long, k int")
