@@ -385,6 +385,17 @@ def test_full_outer_pairs_of_hot_keys_are_an_inner_join(spark, monkeypatch):
     assert sorted(map(str, ((r.a, r.k, r.b, r.k_right) for r in alone.collect()))) == sorted(map(str, [(r.a, r.k, None, None) for r in left.collect() if r.k in (None, 3)] + [(None, None, r.b, r.k) for r in right.collect() * 2 if r.k in (None, 4, 5)]))
 
 
+@pytest.mark.parametrize("name", ["key_edges"])
+def test_pairs_of_ids_with_one_key_are_not_grouped(spark, name):
+    left = spark.createDataFrame([(i, str(i % 3)) for i in range(30)], "i long, v string")
+    several = left.union(left).union(spark.createDataFrame([(0, "2"), (None, "1")], "i long, v string"))
+    for df, grouped in ((left, False), (several, True)):
+        other = left.withColumnsRenamed({"i": "j", "v": "w"})
+        out = joins.key_edges(df, other, "i", "j", "v", "w") if name == "key_edges" else discovery.row_links(df, other, "i", "j", [("v", "w", 0.5)])
+        assert bool(re.search(r"Aggregate \[src#\d+L?, dst#\d+", out._jdf.queryExecution().optimizedPlan().toString())) == grouped
+        assert sorted(str((r.src, r.dst)) for r in out.collect()) == sorted(map(str, {(p.i, q.j) for p in df.collect() for q in other.collect() if p.v == q.w}))
+
+
 def test_links_of_repeated_ids_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(joins, "TASK_PAIRS", 5)
     left = spark.createDataFrame([(i // 2 if i < 8 else i, f"v{i % 3}", "w" if i % 4 else None) for i in range(30)], "i long, v string, w string")
