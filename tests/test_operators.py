@@ -385,7 +385,7 @@ def test_full_outer_pairs_of_hot_keys_are_an_inner_join(spark, monkeypatch):
     assert sorted(map(str, ((r.a, r.k, r.b, r.k_right) for r in alone.collect()))) == sorted(map(str, [(r.a, r.k, None, None) for r in left.collect() if r.k in (None, 3)] + [(None, None, r.b, r.k) for r in right.collect() * 2 if r.k in (None, 4, 5)]))
 
 
-@pytest.mark.parametrize("name", ["key_edges"])
+@pytest.mark.parametrize("name", ["key_edges", "row_links"])
 def test_pairs_of_ids_with_one_key_are_not_grouped(spark, name):
     left = spark.createDataFrame([(i, str(i % 3)) for i in range(30)], "i long, v string")
     several = left.union(left).union(spark.createDataFrame([(0, "2"), (None, "1")], "i long, v string"))
